@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame
@@ -88,10 +89,16 @@ def safe_ratio(num: Column, den: Column, empty: float = 0.0) -> Column:
 # -- time ---------------------------------------------------------------------------------------
 
 def parse_timestamp(c: Column | str, formats: Sequence[str] = ()) -> Column:
-    """First format that fits, else ISO; null when nothing fits."""
+    """First format that fits, else ISO; null when nothing fits. The result has no time zone."""
     text = as_column(c).cast("string")
-    tries = [F.try_to_timestamp(text, F.lit(f)) for f in formats]
-    return F.coalesce(*tries, text.try_cast("timestamp")).cast("timestamp_ntz")
+
+    def attempt(fmt: str) -> Column:
+        found = F.try_to_timestamp(text, F.lit(fmt)).cast("timestamp_ntz")
+        if re.search("(?<!y)yy(?!y)", fmt):  # two-digit years from 69 on belong to the 1900s
+            return F.when(F.year(found) >= 2069, found - F.make_ym_interval(F.lit(100))).otherwise(found)
+        return found
+
+    return F.coalesce(*map(attempt, formats), text.try_cast("timestamp_ntz"))
 
 
 def parse_date(c: Column | str, fmt: str | None = None) -> Column:
