@@ -1 +1,306 @@
-"""Registered later."""
+"""Learned models, contributions and scoring on the tables, with small settings.
+
+Fitted models have no SQL; these entries are rows-only, except where a property of the result can be
+stated in SQL (contributions add up, splits are complete, reports have all their rows).
+"""
+
+from __future__ import annotations
+
+from functools import partial
+
+from pyspark.ml.functions import vector_to_array
+from pyspark.sql import functions as F
+
+from gridpulse.functions.columns import zfill
+from gridpulse.operators import contributions as C
+from gridpulse.operators import features as X
+from gridpulse.operators import live as L
+from gridpulse.operators import models as M
+from gridpulse.operators import sessions as S
+from gridpulse.operators.anomaly import fit_autoencoder, fit_isolation_forest
+from gridpulse.plans import training as T
+from gridpulse.plans.bindings import EVENT_TYPES, GOOD, LARGE, LONG_MINUTES, SESS, sessions
+from gridpulse.plans.catalog import query, table
+from gridpulse.plans.queries_features import panel
+from gridpulse.plans.queries_live import hourly_arrays, polls
+from gridpulse.plans.scoring import explain_entities, forecast_scoring, live_scoring
+from gridpulse.session import cut_lineage, scratch_path
+from gridpulse.streaming import jobs as J
+
+EVENT_KEYS = ["key_fips_code", "start_time"]
+DAY_KEYS = ["fips_code", "date"]
+BOOST = M.BoostSettings(rounds=3, depth=3)
+STACK = M.StackSettings(
+    boost=M.BoostSettings(2, 3, 0.3, subsample=0.8, columns="0.8"), forest_trees=3, forest_depth=4,
+    plain=M.BoostSettings(2, 2, 0.3), logistic_rounds=5, meta_rounds=10, folds=2)
+
+
+def is_late(column: str = "start_time"):
+    return F.col(column) >= F.lit("2024-01-24").cast("timestamp_ntz")
+
+
+def duration_matrix(spark, sf):
+    return cut_lineage(X.duration_features(sessions(spark, sf), EVENT_TYPES, LONG_MINUTES), "duration")
+
+
+def scope_matrix(spark, sf):
+    return cut_lineage(X.scope_features(sessions(spark, sf), EVENT_TYPES, LARGE), "scope")
+
+
+def occurrence_matrix(spark, sf):
+    return cut_lineage(X.occurrence_features(panel(spark, sf), check=False), "occurrence")
+
+
+def two_stage(matrix, kind: str):
+    base = M.duration_settings(LONG_MINUTES) if kind == "duration" else M.scope_settings(LARGE)
+    return M.fit_two_stage(matrix, T.feature_names(matrix, EVENT_KEYS), EVENT_KEYS, settings=base.with_rounds(3, 3))
+
+
+@query("ml1_duration_regressor")
+def _(spark, sf):
+    m = duration_matrix(spark, sf)
+    model = M.fit_regressor(m, T.feature_names(m, EVENT_KEYS), BOOST, heavy_from=LONG_MINUTES, heavy_weight=3.0)
+    return model.predict(m).select(*EVENT_KEYS, "label", "prediction")
+
+
+@query("ml1_scope_regressor")
+def _(spark, sf):
+    m = scope_matrix(spark, sf)
+    model = M.fit_regressor(m, T.feature_names(m, EVENT_KEYS), M.BoostSettings(3, 3, 0.05))
+    return model.predict(m).select(*EVENT_KEYS, "label", "prediction")
+
+
+@query("ml2_two_stage_fit")
+def _(spark, sf):
+    m = scope_matrix(spark, sf)
+    return two_stage(m, "scope").predict(m).select(*EVENT_KEYS, "label", "p_long", "short_pred", "long_pred", "prediction", "routed")
+
+
+@query("ml6_stacking_fit")
+def _(spark, sf):
+    m = occurrence_matrix(spark, sf)
+    model = M.fit_stacking(m, T.feature_names(m, DAY_KEYS), DAY_KEYS, settings=STACK)
+    return model.base_probabilities(m).select(*DAY_KEYS, "label", "p_boost", "p_forest", "p_plain", "p_logistic")
+
+
+@query("ml7_stacking_predict")
+def _(spark, sf):
+    docs = table(spark, sf, "documents").select(
+        "doc_id", F.col("n_chars").cast("double").alias("n_chars"), F.length(F.translate("text", "0123456789", "")).alias("letters"),
+        F.size(F.split("text", " ")).alias("words"))
+    m = cut_lineage(table(spark, sf, "labels").join(docs, "doc_id").withColumn("label", F.col("quality").cast("double")), "quality")
+    model = M.fit_stacking(m, ["n_chars", "letters", "words"], ["doc_id"], settings=STACK)
+    return model.predict(docs).select("doc_id", "occ_prob", "occ_pred")
+
+
+@query("ml15_split_importances")
+def _(spark, sf):
+    return two_stage(duration_matrix(spark, sf), "duration").importances(spark)
+
+
+@query("top3_top_importances")
+def _(spark, sf):
+    return M.top_importances(two_stage(duration_matrix(spark, sf), "duration").importances(spark), 10, "classifier")
+
+
+@query("ml16_model_persist", f"WITH {SESS}, {GOOD} SELECT count(*) AS rows, 0.0::DOUBLE AS largest_difference FROM good")
+def _(spark, sf):
+    m = duration_matrix(spark, sf)
+    model, path = two_stage(m, "duration"), scratch_path(spark, "model")
+    model.save(path)
+    again = M.TwoStageModel.load(spark, path)
+    both = again.predict(model.predict(m).select(*m.columns, F.col("prediction").alias("first")))
+    return both.agg(F.count(F.lit(1)).alias("rows"), F.max(F.abs(F.col("first") - F.col("prediction"))).alias("largest_difference"))
+
+
+# -- anomalies ----------------------------------------------------------------------------------
+
+def vectors(spark, sf):
+    e = table(spark, sf, "embeddings")
+    return cut_lineage(e.select("vec_id", "label", *[F.get("embedding", F.lit(i)).cast("double").alias(f"f{i}") for i in range(64)]), "vectors")
+
+
+FEATURES = [f"f{i}" for i in range(64)]
+
+
+@query("ml10_autoencoder_fit")
+def _(spark, sf):
+    v = vectors(spark, sf)
+    model = fit_autoencoder(v.where("label <> 0"), FEATURES, epochs=5)
+    return model.detect(v).select("vec_id", "ae_error", "anomaly_flag")
+
+
+@query("ml11_reconstruction_anomaly")
+def _(spark, sf):
+    m = occurrence_matrix(spark, sf)
+    names = T.feature_names(m, DAY_KEYS)
+    model = fit_autoencoder(m.where(F.dayofmonth("date") < 24), names, epochs=5)
+    return model.detect(m).select(*DAY_KEYS, "ae_error", "anomaly_flag")
+
+
+@query("ml12_isolation_forest")
+def _(spark, sf):
+    v = vectors(spark, sf)
+    return fit_isolation_forest(v, FEATURES, ["vec_id"], trees=20).detect(v).select("vec_id", "iso_score", "iso_anomaly")
+
+
+@query("pip13_anomaly_training")
+def _(spark, sf):
+    m = occurrence_matrix(spark, sf)
+    autoencoder, forest = T.train_anomaly(m, DAY_KEYS, F.dayofmonth("date") >= 24, epochs=3, trees=10, path=scratch_path(spark, "ae"))
+    return forest.detect(autoencoder.detect(m)).select(*DAY_KEYS, "ae_error", "anomaly_flag", "iso_score", "iso_anomaly")
+
+
+# -- contributions ------------------------------------------------------------------------------
+
+@query("ml13_contributions")
+def _(spark, sf):
+    m = duration_matrix(spark, sf)
+    model = two_stage(m, "duration")
+    return C.explain(m, C.tree_explainer(spark, model.classifier, model.features), EVENT_KEYS)
+
+
+@query("ml13_contributions_add_up", f"WITH {SESS}, {GOOD} SELECT part, count(*) AS rows, 0.0::DOUBLE AS largest_gap FROM good, "
+       "(VALUES ('classifier'), ('short'), ('long')) AS parts(part) GROUP BY part")
+def _(spark, sf):
+    m = duration_matrix(spark, sf)
+    model = two_stage(m, "duration")
+    out = []
+    for part in ("classifier", "short", "long"):
+        fitted = getattr(model, part)
+        raw = vector_to_array("_raw")[1] if part == "classifier" else F.col("_log_pred")
+        truth = fitted.transform(M.assemble(m, model.features)).select(*EVENT_KEYS, raw.alias("raw"))
+        summed = C.explain(m, C.tree_explainer(spark, fitted, model.features), EVENT_KEYS).groupBy(*EVENT_KEYS).agg(
+            (F.max("base_value") + F.sum("shap")).alias("total"))
+        out.append(truth.join(summed, EVENT_KEYS).agg(
+            F.count(F.lit(1)).alias("rows"), F.round(F.max(F.abs(F.col("raw") - F.col("total"))), 9).alias("largest_gap")
+        ).withColumn("part", F.lit(part)))
+    return out[0].unionByName(out[1]).unionByName(out[2])
+
+
+@query("ml17_background_sample")
+def _(spark, sf):
+    return C.background_sample(sessions(spark, sf).select("fips_code", "start_time", "duration_minutes"), ["fips_code", "start_time"], 1000)
+
+
+@query("pip11_explain_entity")
+def _(spark, sf):
+    m = duration_matrix(spark, sf)
+    model = two_stage(m, "duration")
+    latest = L.latest_cache(m.withColumn("run_ts", F.col("start_time")).withColumn(
+        "fips", zfill(F.col("fips_code").cast("long"), 5)).drop(*EVENT_KEYS, "label"), ["fips"])
+    rows = latest.withColumnRenamed("fips", "entity_code")
+    explainers = {n: C.tree_explainer(spark, getattr(model, n), model.features) for n in ("classifier", "short")}
+    records = explain_entities(rows, explainers, ["entity_code", "run_ts"], n=10)
+    return records.select("entity_code", "run_ts", "model", "base_value", F.explode("features").alias("f")).select(
+        "entity_code", "run_ts", "model", "base_value", "f.name", "f.value", "f.shap")
+
+
+# -- training and cascade -----------------------------------------------------------------------
+
+@query("pip7_train_duration")
+def _(spark, sf):
+    _, _, report = T.train_two_stage(duration_matrix(spark, sf), "duration", EVENT_KEYS, M.duration_settings(LONG_MINUTES).with_rounds(3, 3),
+                                     BOOST, is_late(), path=scratch_path(spark, "duration-model"))
+    return report
+
+
+@query("pip7_train_scope")
+def _(spark, sf):
+    _, _, report = T.train_two_stage(scope_matrix(spark, sf), "scope", EVENT_KEYS, M.scope_settings(LARGE).with_rounds(3, 3),
+                                     BOOST, is_late(), generalise=True)
+    return report
+
+
+@query("pip7_train_occurrence")
+def _(spark, sf):
+    _, report = T.train_occurrence(occurrence_matrix(spark, sf), DAY_KEYS, STACK, F.dayofmonth("date") >= 24, path=scratch_path(spark, "occ"))
+    return report
+
+
+def _day_keyed(matrix):
+    """Entity code as text key next to the numeric feature, as the occurrence matrix has it."""
+    return matrix.withColumn("code", F.col("key_fips_code"))
+
+
+@query("pip8_cascade_batch")
+def _(spark, sf):
+    occ = occurrence_matrix(spark, sf).withColumn("code", F.col("fips_code"))
+    scope, duration = _day_keyed(scope_matrix(spark, sf)), _day_keyed(duration_matrix(spark, sf))
+    keys = EVENT_KEYS + ["code"]
+    names = lambda m, k: T.feature_names(m, k)
+    occ_model = M.fit_stacking(occ, names(occ, [*DAY_KEYS, "code"]), DAY_KEYS, settings=STACK)
+    scope_model = M.fit_two_stage(scope, names(scope, keys), EVENT_KEYS, settings=M.scope_settings(LARGE).with_rounds(3, 3))
+    duration_model = M.fit_two_stage(duration, names(duration, keys), EVENT_KEYS, settings=M.duration_settings(LONG_MINUTES).with_rounds(3, 3))
+    return T.cascade_batch(occ, scope, duration, occ_model, scope_model, duration_model, ["code", "year", "month", "day"],
+                           F.col("day") >= 24)
+
+
+# -- scoring ------------------------------------------------------------------------------------
+
+def scoring_inputs(spark, sf):
+    """Positions, history and small models shared by live and forecast scoring."""
+    events = cut_lineage(S.valid_durations(sessions(spark, sf)), "events")
+    stats = cut_lineage(S.entity_stats(events, long_minutes=LONG_MINUTES, large=LARGE), "stats")
+    e = table(spark, sf, "embeddings")
+    place = e.select(zfill("vec_id", 5).alias("fips_code"), (F.get("embedding", F.lit(0)) * 90).cast("double").alias("latitude"),
+                     (F.get("embedding", F.lit(1)) * 180).cast("double").alias("longitude"))
+    geo = stats.select("fips_code").join(place, "fips_code")
+    occ = occurrence_matrix(spark, sf)
+    occ_model = M.fit_stacking(occ, T.feature_names(occ, DAY_KEYS), DAY_KEYS, settings=STACK)
+    occ_model.threshold = 0.3
+    growth = list(X.GROWTH_FEATURES)
+    scope = X.scope_features(events, EVENT_TYPES, LARGE)
+    duration = X.duration_features(events, EVENT_TYPES, LONG_MINUTES)
+    return stats, geo, occ_model, two_stage(cut_lineage(scope.drop(*growth)), "scope"), two_stage(cut_lineage(duration.drop(*growth)), "duration")
+
+
+def live_weather(spark, sf):
+    raw = hourly_arrays(spark, sf).where("cast(fips_code as int) % 6 <> 0").withColumn(
+        "now", F.lit("2024-02-01 10:00:00").cast("timestamp_ntz"))
+    return L.live_day(raw)
+
+
+@query("pip9_live_scoring")
+def _(spark, sf):
+    stats, geo, occ, scope, duration = scoring_inputs(spark, sf)
+    changes = L.poll_delta(polls(spark, sf)).where("poll_no = 5").drop("poll_no")
+    m = occurrence_matrix(spark, sf)
+    autoencoder = fit_autoencoder(m, T.feature_names(m, DAY_KEYS), epochs=2)
+    return live_scoring(live_weather(spark, sf), changes, stats, geo, occ, scope, duration, autoencoder)
+
+
+@query("pip10_forecast_scoring")
+def _(spark, sf):
+    stats, geo, occ, scope, duration = scoring_inputs(spark, sf)
+    raw = hourly_arrays(spark, sf).where("cast(fips_code as int) % 6 <> 0")
+    return forecast_scoring(raw, stats, geo, occ, scope, duration)
+
+
+@query("str1_live_prediction_stream")
+def _(spark, sf):
+    stats, geo, occ, scope, duration = scoring_inputs(spark, sf)
+    weather = cut_lineage(live_weather(spark, sf), "weather")
+    score = partial(_score_live, weather, stats, geo, occ, scope, duration)
+    raw = polls(spark, sf).where("poll_no between 3 and 5").withColumnRenamed("customers", "cust_a")
+    source, history, published, progress = (scratch_path(spark, n) for n in ("polls", "history", "published", "progress"))
+    raw.write.partitionBy("poll_no").parquet(source)
+    stream = J.file_stream(spark, source, "fips_code string, cust_a double, poll_no long")
+    J.live_prediction_stream(stream, progress, history, published, score, every=None).awaitTermination()
+    return spark.read.parquet(published).withColumn("run_ts", F.col("run_ts").cast("string"))
+
+
+def _score_live(weather, stats, geo, occ, scope, duration, changes):
+    return live_scoring(weather, changes, stats, geo, occ, scope, duration)
+
+
+@query("str2_forecast_refresh")
+def _(spark, sf):
+    stats, geo, occ, scope, duration = scoring_inputs(spark, sf)
+    raw = hourly_arrays(spark, sf).where("cast(fips_code as int) % 6 <> 0")
+    source, published, progress = (scratch_path(spark, n) for n in ("raw", "published", "progress"))
+    raw.write.parquet(source)
+    stream = J.file_stream(spark, source, raw.schema)
+    J.forecast_refresh_stream(stream, progress, published, lambda batch: forecast_scoring(batch, stats, geo, occ, scope, duration),
+                              every=None).awaitTermination()
+    return spark.read.parquet(published).withColumn("run_ts", F.col("run_ts").cast("string"))

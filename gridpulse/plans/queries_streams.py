@@ -1 +1,69 @@
-"""Registered later."""
+"""Streams over the tables, drained once; results must equal the batch operators'."""
+
+from __future__ import annotations
+
+from functools import partial
+
+from pyspark.sql import functions as F
+
+from gridpulse.plans.bindings import SESS, SNAPSHOT_MINUTES, rounded, snapshots
+from gridpulse.plans.catalog import query
+from gridpulse.plans.queries_live import POLL, polls
+from gridpulse.plans.queries_rollups import daily_sql, hourly
+from gridpulse.session import scratch_path
+from gridpulse.streaming import jobs as J
+
+
+def replayed(df, name: str, order: str, build, keys: list[str], mode: str, parts: int = 3):
+    """Rows arrive in ``parts`` consecutive time slices; the stream is stopped and resumed in between.
+
+    Each run continues from the checkpoint of the one before. Returns the last version per key.
+    """
+    spark = df.sparkSession
+    source, target, progress = (scratch_path(spark, f"{name}-{what}") for what in ("in", "out", "progress"))
+    moment = F.col(order) if order == "poll_no" else F.unix_micros(F.col(order).cast("timestamp"))
+    cuts = []
+    if parts > 1:
+        shares = [i / parts for i in range(1, parts)]
+        cuts = df.agg(F.percentile_approx(moment, shares, 1000)).first()[0]
+    for low, high in zip([None, *cuts], [*cuts, None]):
+        part = df if low is None else df.where(moment > low)
+        part = part if high is None else part.where(moment <= high)
+        part.write.mode("append").parquet(source)
+        stream = build(J.file_stream(spark, source, df.schema))
+        J.start(stream, progress, J.batch_writer(target), mode=mode).awaitTermination()
+    return J.read_updates(spark, target, keys)
+
+
+@query("str3_poll_delta_state", f"WITH {POLL} SELECT poll_no, fips_code, round(customers, 6) AS customers, round(delta, 6) AS delta, round(pct_growth, 6) AS pct_growth FROM delta")
+def _(spark, sf):
+    return rounded(replayed(polls(spark, sf), "polls", "poll_no", J.poll_delta_stream, ["fips_code", "poll_no"], "append"), 6)
+
+
+@query("str4_session_stream", f"WITH {SESS} SELECT fips_code, start_time, end_time, peak_customers_affected, initial_customers_affected, "
+       "CAST(snapshot_count AS BIGINT) AS snapshot_count, round(delta_customers_affected_15m, 6) AS delta_customers_affected_15m, duration_minutes FROM sess")
+def _(spark, sf):
+    rows = snapshots(spark, sf).select("event_id", "fips_code", "run_start_time", "customers_affected")
+    versions = replayed(rows, "sessions", "run_start_time", partial(
+        J.session_stream, tiebreak="event_id", snapshot_minutes=SNAPSHOT_MINUTES), ["fips_code", "start_us"], "update")
+    out = J.finished_sessions(versions, SNAPSHOT_MINUTES)
+    return out.withColumn("delta_customers_affected_15m", F.round("delta_customers_affected_15m", 6))
+
+
+@query("str4_session_window", """WITH e AS (SELECT lpad(CAST(user_id AS VARCHAR), 5, '0') AS fips_code, ts, value FROM events WHERE value > 20),
+  g AS (SELECT *, CASE WHEN epoch_us(ts) - epoch_us(lag(ts) OVER w) <= 43200000000 THEN 0 ELSE 1 END AS s FROM e WINDOW w AS (PARTITION BY fips_code ORDER BY ts)),
+  b AS (SELECT *, sum(s) OVER (PARTITION BY fips_code ORDER BY ts ROWS UNBOUNDED PRECEDING) AS block FROM g)
+  SELECT fips_code, min(ts) AS start_time, max(ts) AS end_time, max(value) AS peak_customers_affected, count(*) AS snapshot_count,
+  (epoch_us(max(ts)) - epoch_us(min(ts))) / 60000000.0 + 360 AS duration_minutes FROM b GROUP BY fips_code, block""")
+def _(spark, sf):
+    rows = snapshots(spark, sf).select("fips_code", "run_start_time", "customers_affected")
+    # One slice: the start of a still open window, its key here, may change with later rows.
+    out = replayed(rows, "windows", "run_start_time", partial(
+        J.session_window_stream, gap_minutes=720, snapshot_minutes=SNAPSHOT_MINUTES), ["fips_code", "start_time"],
+        "complete", parts=1)
+    return out.withColumns({c: F.col(c).cast("timestamp_ntz") for c in ("start_time", "end_time")})
+
+
+@query("str5_daily_tumbling_weather", daily_sql(False))
+def _(spark, sf):
+    return rounded(replayed(hourly(spark, sf), "daily", "time", J.daily_weather_stream, ["fips_code", "date"], "update"), 6)
