@@ -1,6 +1,6 @@
 """Building blocks that stay even when one key owns a large share of the rows.
 
-* ``salted_join``: the big side's rows of one key go to several tasks, the small side is repeated.
+* ``salted_join``: the big side's rows of a hot key go to several tasks, the small side is repeated.
 * ``value_bins``: equally filled value ranges. A bin holds about ``rows / bins`` distinct values
   whatever the keys look like, so a sort inside (key, bin) is never a sort of one whole key.
 * ``running_totals`` / ``group_quantiles``: exact ranks built from bin totals plus in-bin sorts.
@@ -15,35 +15,52 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from gridpulse.functions.columns import micros
-
 DEFAULT_SALTS = 16
 DEFAULT_BINS = 256           # a power of two: the bin lookup halves the cut list
-MAX_BROADCAST_ROWS = 100_000
+HOT_SHARE = 1 / 256          # a key is hot when it owns more than this share of the rows
+
 
+def hot_key_hashes(df: DataFrame, keys: Sequence[str], share: float = HOT_SHARE) -> Column:
+    """Scalar array with the hashes of keys that own more than ``share`` of the rows.
+
+    There are fewer than ``1 / share`` of them, whatever the data. Costs one map-side combined count.
+    """
+    counts = df.groupBy(_hash(keys).alias("_h")).agg(F.count(F.lit(1)).alias("_n"))
+    total = counts.agg(F.sum("_n")).scalar()
+    return counts.where(F.col("_n") > total * share).agg(F.collect_list("_h")).scalar()
 
-def fits_broadcast(df: DataFrame, max_rows: int = MAX_BROADCAST_ROWS) -> bool:
-    """Row-count check before a broadcast; reads at most ``max_rows + 1`` rows."""
-    return df.select(F.lit(1)).limit(max_rows + 1).count() <= max_rows
+
+def _hash(keys: Sequence[str]) -> Column:
+    # As text, so that an int key on one side and a long key on the other hash alike.
+    return F.xxhash64(*[F.col(f"`{k}`").cast("string") for k in keys])
 
 
 def salted_join(big: DataFrame, small: DataFrame, on: Sequence[str], how: str = "left",
-                salts: int = DEFAULT_SALTS, small_is_tiny: bool = False) -> DataFrame:
+                salts: int = DEFAULT_SALTS, only_hot: bool = False) -> DataFrame:
     """Equi join whose hot keys are spread over ``salts`` tasks.
 
     ``how`` keeps rows of ``big`` only (inner, left, left_semi, left_anti). ``small`` is repeated
-    ``salts`` times; pass ``small_is_tiny`` after a size check to broadcast it instead.
+    ``salts`` times: right for dimension tables. With ``only_hot`` the hot keys are looked up first
+    and only their rows are spread and repeated: right when ``small`` is large itself. Spark still
+    broadcasts ``small`` when its measured size is under the session's limit.
     """
     if how not in ("inner", "left", "left_semi", "left_anti"):
         raise ValueError(f"salted_join cannot do {how}")
-    if small_is_tiny:
-        return big.join(F.broadcast(small), list(on), how)
     if salts <= 1:
         return big.join(small, list(on), how)
     others = [c for c in big.columns if c not in on] or list(on)
     salt = F.pmod(F.xxhash64(*[F.col(f"`{c}`") for c in others]), F.lit(salts)).cast("int")
+    copies = F.sequence(F.lit(0), F.lit(salts - 1))
+    if only_hot:
+        hot = hot_key_hashes(big, on)
+        big, small = big.withColumn("_hot", hot), small.withColumn("_hot", hot)
+        is_hot = F.coalesce(F.array_contains("_hot", _hash(on)), F.lit(False))
+        salt = F.when(is_hot, salt).otherwise(0)
+        copies = F.when(is_hot, copies).otherwise(F.array(F.lit(0)))
     left = big.withColumn("_salt", salt)
-    right = small.withColumn("_salt", F.explode(F.lit(list(range(salts))).cast("array<int>")))
+    right = small.withColumn("_salt", F.explode(copies))
+    if only_hot:
+        left, right = left.drop("_hot"), right.drop("_hot")
     return left.join(right, [*on, "_salt"], how).drop("_salt")
 
 
@@ -145,22 +162,26 @@ def group_quantiles(df: DataFrame, keys: Sequence[str], value: str, quantiles: d
     return flat.select(*keys, *out, *shares, *tail)
 
 
-def time_carry(df: DataFrame, entity: str, ts: str, tiebreak: Sequence[str], bucket_minutes: float,
-               carry: Sequence[str]) -> DataFrame:
+def time_buckets(df: DataFrame, bucket_minutes: float | None, time_bins: int | None = None) -> DataFrame:
+    """Add ``_bucket`` from the microsecond column ``_us``: fixed width, or equally filled bins."""
+    if time_bins:
+        return value_bins(df, "_us", time_bins, "_bucket")
+    return df.withColumn("_bucket", F.floor(F.col("_us") / F.lit(int(bucket_minutes * 60_000_000))))
+
+
+def time_carry(df: DataFrame, entity: str, tiebreak: Sequence[str], carry: Sequence[str]) -> DataFrame:
     """Add ``prev_<c>`` (value on the entity's previous row) for each column in ``carry``.
 
-    Rows are sorted inside (entity, time bucket). The last row of each bucket is handed to the next
-    non-empty one through a summary that has one row per (entity, bucket).
+    Rows, with ``_us`` and ``_bucket``, are sorted inside (entity, bucket). The last row of each
+    bucket is handed to the next non-empty one through a summary of one row per (entity, bucket).
     """
-    width = F.lit(int(bucket_minutes * 60_000_000))
-    rows = df.withColumn("_us", micros(ts)).withColumn("_bucket", F.floor(F.col("_us") / width))
     order = ["_us", *tiebreak]
     inside = Window.partitionBy(entity, "_bucket").orderBy(*order)
     packed = F.struct(*[F.col(c).alias(c) for c in carry])
-    last = rows.groupBy(entity, "_bucket").agg(F.max_by(packed, F.struct(*order)).alias("_last"))
+    last = df.groupBy(entity, "_bucket").agg(F.max_by(packed, F.struct(*order)).alias("_last"))
     handed = last.select(entity, "_bucket", F.lag("_last").over(
         Window.partitionBy(entity).orderBy("_bucket")).alias("_handed"))
-    local = rows.withColumn("_prev", F.lag(packed).over(inside))
+    local = df.withColumn("_prev", F.lag(packed).over(inside))
     joined = local.join(handed, [entity, "_bucket"], "left")
     prev = F.coalesce(F.col("_prev"), F.col("_handed"))
     return joined.withColumn("_prev", prev).withColumns(

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from gridpulse.functions.columns import clip, require_columns, to_number, weekday
 from gridpulse.functions.skew import group_quantiles
-from gridpulse.functions.weather import CODE_FLAGS
+from gridpulse.session import cut_lineage
 
 # Default feature lists of the three models, in model order.
 DURATION_FEATURES = (
@@ -244,12 +244,18 @@ def export_sample(df: DataFrame, keys: Sequence[str], n: int = 100, seed: int =
 # -- composite feature sets ---------------------------------------------------------------------
 
 def duration_features(events: DataFrame, categories: Sequence[str] = (), long_minutes: float = 240,
-                      stats_until=None, keys: Sequence[str] = ("fips_code", "start_time")) -> DataFrame:
+                      stats_until=None, keys: Sequence[str] = ("fips_code", "start_time"),
+                      materialise: bool = True) -> DataFrame:
     """Sessionised events to the duration matrix. History covers all events given, or those that
-    start before ``stats_until``."""
+    start before ``stats_until``.
+
+    The events feed both the history and the matrix, so they are stored once in the shared folder;
+    pass ``materialise=False`` for a frame that already is a table.
+    """
     from gridpulse.operators.sessions import (add_history, duration_category, duration_history,
                                               valid_durations)
-    good = duration_category(valid_durations(events), long_minutes)
+    good = valid_durations(events)
+    good = duration_category(cut_lineage(good, "events") if materialise else good, long_minutes)
     past = good if stats_until is None else good.where(F.col("start_time") < F.lit(stats_until))
     full = add_history(good, duration_history(past, long_minutes=long_minutes))
     if "event_type" in full.columns:
@@ -259,9 +265,12 @@ def duration_features(events: DataFrame, categories: Sequence[str] = (), long_mi
 
 
 def scope_features(events: DataFrame, categories: Sequence[str] = (), large: float = 500,
-                   stats_until=None, keys: Sequence[str] = ("fips_code", "start_time")) -> DataFrame:
+                   stats_until=None, keys: Sequence[str] = ("fips_code", "start_time"),
+                   materialise: bool = True) -> DataFrame:
+    """As ``duration_features`` for the number of customers affected."""
     from gridpulse.operators.sessions import add_history, scope_category, scope_history, valid_scopes
-    good = scope_category(valid_scopes(events), large)
+    good = valid_scopes(events)
+    good = scope_category(cut_lineage(good, "events") if materialise else good, large)
     past = good if stats_until is None else good.where(F.col("start_time") < F.lit(stats_until))
     full = impact_density(add_history(good, scope_history(past, large=large)))
     if "event_type" in full.columns:

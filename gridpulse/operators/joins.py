@@ -41,7 +41,7 @@ def interval_join(snapshots: DataFrame, intervals: DataFrame, entity: str = "fip
     require_columns(intervals, [entity, options.get("begin", "begin_date"), "event_type"])
     days = expand_intervals(intervals, entity, **options)
     dated = snapshots.withColumn("date", F.to_date(ts))
-    return salted_join(dated, days, [entity, "date"], "left", salts).drop("date")
+    return salted_join(dated, days, [entity, "date"], "left", salts, only_hot=True).drop("date")
 
 
 def expand_zones(events: DataFrame, zone_map: DataFrame, zone: str = "cz_fips",
@@ -67,13 +67,13 @@ def join_daily(snapshots: DataFrame, daily: DataFrame, entity: str = "fips_code"
     """Each snapshot gets its entity-day's weather, null when the day is missing."""
     require_columns(snapshots, [entity, ts])
     dated = snapshots.withColumn("date", F.to_date(ts))
-    return salted_join(dated, daily, [entity, "date"], "left", salts).drop("date")
+    return salted_join(dated, daily, [entity, "date"], "left", salts, only_hot=True).drop("date")
 
 
 def join_on_date(snapshots: DataFrame, daily: DataFrame, ts: str = "run_start_time",
                  salts: int = DEFAULT_SALTS) -> DataFrame:
     """Join on the date alone; fans out over all entities of the day."""
-    return salted_join(snapshots.withColumn("date", F.to_date(ts)), daily, ["date"], "left", salts)
+    return salted_join(snapshots.withColumn("date", F.to_date(ts)), daily, ["date"], "left", salts, only_hot=True)
 
 
 def label_panel(daily: DataFrame, labels: DataFrame, entity: str = "fips_code") -> DataFrame:
@@ -115,7 +115,7 @@ def interval_flag(rows: DataFrame, intervals: DataFrame, ts: str = "run_start_ti
     covered = running_totals(line, "_t", ["_reach"], how="max").where(
         F.col("_asked") & (F.col("cum__reach") >= F.col("_t"))).select(
         F.col("_t").alias("_us"), F.lit(1).alias("storm_event"))
-    marked = salted_join(rows.withColumn("_us", micros(ts)), covered, ["_us"], "left", salts).drop("_us")
+    marked = salted_join(rows.withColumn("_us", micros(ts)), covered, ["_us"], "left", salts, only_hot=True).drop("_us")
     return marked.withColumns({
         "storm_event": F.coalesce("storm_event", F.lit(0)),
         "outage_occurred": F.coalesce(F.col(value) > 0, F.lit(False)).cast("int")})

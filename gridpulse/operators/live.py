@@ -91,8 +91,9 @@ def poll_delta(polls: DataFrame, poll: str = "poll_no", entity: str = "fips_code
         "pct_growth": (F.col(value) - prev) / F.greatest(prev, F.lit(1.0))}).drop("_prev")
 
 
-def live_totals(polls: DataFrame, value: str = "customers") -> DataFrame:
-    return polls.agg(F.count_distinct("fips_code").alias("counties_affected"),
+def live_totals(polls: DataFrame, by: Sequence[str] = (), value: str = "customers") -> DataFrame:
+    """Affected entities and customers, of one poll or per poll."""
+    return polls.groupBy(*by).agg(F.count_distinct("fips_code").alias("counties_affected"),
                      F.coalesce(F.sum(value), F.lit(0.0)).alias("customers_total"))
 
 

@@ -219,7 +219,7 @@ def cascade_join(events: DataFrame, occurrence: DataFrame,
     """Events keep their prediction only when their entity-day was predicted; else 0."""
     from gridpulse.functions.skew import salted_join
     flags = occurrence.groupBy(*keys).agg(F.max("occ_pred").alias("occ_pred"))
-    joined = salted_join(events, flags, list(keys), "left", salts)
+    joined = salted_join(events, flags, list(keys), "left", salts, only_hot=True)
     hit = F.coalesce(F.col("occ_pred") == 1, F.lit(False))
     return joined.withColumns({
         "occ_pred": F.coalesce("occ_pred", F.lit(0)),

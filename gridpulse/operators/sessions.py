@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from gridpulse.functions.columns import micros, minutes_between, require_columns, to_number
-from gridpulse.functions.skew import group_quantiles, salted_join, time_carry
+from gridpulse.functions.skew import group_quantiles, salted_join, time_buckets, time_carry
 from gridpulse.functions.weather import CODE_FLAGS
 
 # Columns whose first known value inside an event is kept when the input has them.
@@ -17,15 +17,12 @@ CARRIED = ("county", "state", "prcp_mm", "tmax_c", "tmin_c", "awnd_ms", "wsfg_ms
 DAY_OF_SNAPSHOTS = 96
 
 
-def _bucket_minutes(bucket_minutes: float | None, snapshot_minutes: float) -> float:
-    return bucket_minutes or DAY_OF_SNAPSHOTS * snapshot_minutes
-
-
 def gap_to_previous(df: DataFrame, entity: str = "fips_code", ts: str = "run_start_time",
-                    tiebreak: Sequence[str] = (), bucket_minutes: float = 1440,
-                    name: str = "gap_minutes") -> DataFrame:
+                    tiebreak: Sequence[str] = (), bucket_minutes: float | None = 1440,
+                    time_bins: int | None = None, name: str = "gap_minutes") -> DataFrame:
     """Minutes since the entity's previous row, null on its first row."""
-    rows = time_carry(df.where(F.col(ts).isNotNull()), entity, ts, tiebreak, bucket_minutes, [ts])
+    rows = time_buckets(df.where(F.col(ts).isNotNull()).withColumn("_us", micros(ts)), bucket_minutes, time_bins)
+    rows = time_carry(rows, entity, tiebreak, [ts])
     return rows.withColumn(name, minutes_between(f"prev_{ts}", ts)).drop(
         f"prev_{ts}", "_us", "_bucket")
 
@@ -33,13 +30,14 @@ def gap_to_previous(df: DataFrame, entity: str = "fips_code", ts: str = "run_sta
 def island_ids(df: DataFrame, entity: str = "fips_code", ts: str = "run_start_time",
                value: str = "customers_affected", tiebreak: Sequence[str] = (),
                snapshot_minutes: float = 15, gap_multiplier: float = 2,
-               bucket_minutes: float | None = None, name: str = "block") -> DataFrame:
+               bucket_minutes: float | None = None, time_bins: int | None = None,
+               name: str = "block") -> DataFrame:
     """Number each entity's runs of equal on/off state, broken by long gaps, from 1."""
-    bucket_minutes = _bucket_minutes(bucket_minutes, snapshot_minutes)
     limit = gap_multiplier * snapshot_minutes
-    rows = df.where(F.col(ts).isNotNull()).withColumn(
-        "is_outage", F.coalesce(F.col(value) > 0, F.lit(False)))
-    rows = time_carry(rows, entity, ts, tiebreak, bucket_minutes, [ts, "is_outage"])
+    rows = df.where(F.col(ts).isNotNull()).withColumns({
+        "is_outage": F.coalesce(F.col(value) > 0, F.lit(False)), "_us": micros(ts)})
+    rows = time_buckets(rows, bucket_minutes or DAY_OF_SNAPSHOTS * snapshot_minutes, time_bins)
+    rows = time_carry(rows, entity, tiebreak, [ts, "is_outage"])
     rows = rows.withColumn("_start", (
         F.col("prev_is_outage").isNull() | (F.col("prev_is_outage") != F.col("is_outage"))
         | (minutes_between(f"prev_{ts}", ts) > limit)).cast("long"))
@@ -59,7 +57,8 @@ def sessionize(df: DataFrame, entity: str = "fips_code", ts: str = "run_start_ti
                value: str = "customers_affected", snapshot_minutes: float = 15,
                gap_multiplier: float = 2, tiebreak: Sequence[str] = (),
                carried: Sequence[str] | None = None, event_type: str = "event_type",
-               magnitude: str = "magnitude", bucket_minutes: float | None = None) -> DataFrame:
+               magnitude: str = "magnitude", bucket_minutes: float | None = None,
+              time_bins: int | None = None) -> DataFrame:
     """Snapshots to events with early-growth features.
 
     An event is a maximal run of an entity's rows with ``value > 0`` in which no step from one row
@@ -68,9 +67,12 @@ def sessionize(df: DataFrame, entity: str = "fips_code", ts: str = "run_start_ti
     Runs are cut first inside (entity, time bucket). Runs that do not touch a bucket edge are whole
     events already; only edge runs, at most two per bucket, are chained per entity. An entity with
     very many rows is thus sorted by as many tasks as it has buckets.
+
+    Buckets are ``bucket_minutes`` wide, by default 96 expected snapshots. When rows may come far more
+    often than expected, pass ``time_bins`` (a power of two): buckets are then cut so that each holds
+    the same share of all rows, at the price of one extra pass over the time column.
     """
     require_columns(df, [entity, ts, value])
-    bucket_minutes = _bucket_minutes(bucket_minutes, snapshot_minutes)
     gap_us = F.lit(int(gap_multiplier * snapshot_minutes * 60_000_000))
     has_type, has_size = event_type in df.columns, magnitude in df.columns
     first_of = [c for c in (CARRIED if carried is None else carried) if c in df.columns]
@@ -85,8 +87,8 @@ def sessionize(df: DataFrame, entity: str = "fips_code", ts: str = "run_start_ti
             *[F.col(t).alias(f"_tie{i}") for i, t in enumerate(tiebreak)],
             *[F.col(c) for c in first_of],
             *([to_number(magnitude).alias("_size")] if has_size else []))
-        .withColumn("_bucket", F.floor(F.col("_us") / F.lit(int(bucket_minutes * 60_000_000))))
     )
+    rows = time_buckets(rows, bucket_minutes or DAY_OF_SNAPSHOTS * snapshot_minutes, time_bins)
     inside = Window.partitionBy(entity, "_bucket").orderBy(
         "_us", *[f"_tie{i}" for i in range(len(tiebreak))])
     upto = inside.rowsBetween(Window.unboundedPreceding, 0)

@@ -75,12 +75,12 @@ def _(spark, sf):
     return rounded(X.scaling_stats(daily_panel(spark, sf).withColumn("flat", F.lit(7.0)), ["prcp_mm", "wt_ice", "flat"]), 6)
 
 
-@query("prj22_zero_weather_rows", f"WITH {DAILY}, d AS (SELECT * FROM daily WHERE date = DATE '2024-01-05'), e AS (SELECT DISTINCT fips_code FROM daily) "
+@query("prj22_zero_weather_rows", f"WITH {DAILY}, d AS (SELECT * FROM daily WHERE date = (SELECT max(date) FROM daily)), e AS (SELECT DISTINCT fips_code FROM daily) "
        "SELECT e.fips_code, coalesce(prcp_mm, 0.0) AS prcp_mm, coalesce(wt_ice, 0) AS wt_ice, CAST(d.fips_code IS NULL AS INT) AS magnitude_missing "
        "FROM e LEFT JOIN d ON e.fips_code = d.fips_code")
 def _(spark, sf):
     daily = daily_panel(spark, sf)
-    day = daily.where(F.col("date") == F.lit("2024-01-05").cast("date")).select("fips_code", "prcp_mm", "wt_ice")
+    day = daily.where(F.col("date") == daily.agg(F.max("date")).scalar()).select("fips_code", "prcp_mm", "wt_ice")
     return X.zero_weather_rows(daily.select("fips_code").distinct(), day)
 
 

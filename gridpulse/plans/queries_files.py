@@ -182,7 +182,7 @@ _OBSF = """o AS (SELECT 'S' || CAST(user_id AS VARCHAR) AS station_id, strftime(
   CASE WHEN k % 23 <> 0 THEN CAST(floor(value) AS DOUBLE) END AS value, k % 10 = 0 AS bad, user_id
   FROM (SELECT *, CAST(regexp_extract(props, '([0-9]+)', 1) AS INT) AS k FROM events)),
 kept AS (SELECT station_id, date, element, round(value * CASE WHEN element IN ('PRCP', 'TMAX') THEN 0.1::DOUBLE ELSE 1.0::DOUBLE END, 6) AS value, user_id FROM o
-  WHERE NOT bad AND value IS NOT NULL AND element <> 'XXXX' AND user_id % 5 <> 0)"""
+  WHERE NOT bad AND value IS NOT NULL AND element <> 'XXXX' AND user_id IN (SELECT user_id FROM events WHERE value > 300))"""
 
 
 def landed_observations(spark, sf) -> str:
@@ -199,13 +199,13 @@ def landed_observations(spark, sf) -> str:
 
 def station_list(spark, sf) -> DataFrame:
     """Stations are users, placed at the embedding whose id equals the user's modulo the vector count."""
-    e = events(spark, sf).where("user_id % 5 <> 0").select("user_id").distinct()
+    e = events(spark, sf).where("value > 300").select("user_id").distinct()
     return e.join(points(spark, sf), F.col("user_id") == F.col("vec_id")).select(
         F.concat(F.lit("S"), F.col("user_id").cast("string")).alias("station_id"), F.lit("n").alias("name"), "lat", "lon")
 
 
 def known_stations(spark, sf) -> DataFrame:
-    return events(spark, sf).where("user_id % 5 <> 0").select(
+    return events(spark, sf).where("value > 300").select(
         F.concat(F.lit("S"), F.col("user_id").cast("string")).alias("station_id")).distinct()
 
 
@@ -294,10 +294,10 @@ def _daily_archive(where: str) -> str:
             f"round(avg(v * 0.213371::DOUBLE) / 3.6, 6) AS awnd_ms, max(CAST(v IS NOT NULL AND c IN (61, 63, 65, 80, 81, 82) AS INT)) AS wt_rain FROM hours WHERE {where} GROUP BY 1, 2")
 
 
-@query("pip6_historical_weather_job", _daily_archive("CAST(fips_code AS INT) % 2 = 1"))
+@query("pip6_historical_weather_job", _daily_archive("CAST(fips_code AS INT) NOT IN (SELECT user_id FROM events WHERE value > 450)"))
 def _(spark, sf):
     raw = weather_json(spark, sf)
-    done = raw.where(F.col("fips_code").cast("int") % 2 == 0).select("fips_code")
+    done = events(spark, sf).where("value > 450").select(zfill("user_id", 5).alias("fips_code"))
     out = jobs.historical_weather_job(raw, path=scratch_path(spark, "history"), done=done)
     return rounded(out.select("fips_code", "date", "tmax_c", "prcp_mm", "awnd_ms", "wt_rain"), 6)
 
@@ -306,7 +306,8 @@ def _(spark, sf):
 def _(spark, sf):
     raw = weather_json(spark, sf)
     path = scratch_path(spark, "history")
-    first = jobs.historical_weather_job(raw.where(F.col("fips_code").cast("int") % 3 == 0))
+    early = events(spark, sf).where("value > 450").select(zfill("user_id", 5).alias("fips_code")).distinct()
+    first = jobs.historical_weather_job(raw.join(early, "fips_code", "left_semi"))
     W.append_resumable(first, path)
     everything = jobs.historical_weather_job(raw)
     W.append_resumable(everything, path)

@@ -125,11 +125,11 @@ USNAP = """usnap AS (SELECT event_id, lpad(CAST(user_id AS VARCHAR), 5, '0') AS
   ts AS run_start_time, value FROM events)"""
 
 
-@query("jn3_join_daily_weather", f"WITH {DAILY}, {USNAP}, part AS (SELECT * FROM daily WHERE day(date) % 9 <> 0) "
+@query("jn3_join_daily_weather", f"WITH {DAILY}, {USNAP}, part AS (SELECT * FROM daily WHERE wt_thunder = 1) "
        "SELECT event_id, prcp_mm, tmax_c, wt_thunder FROM usnap LEFT JOIN part ON usnap.fips_code = part.fips_code "
        "AND CAST(run_start_time AS DATE) = part.date")
 def _(spark, sf):
-    daily = daily_panel(spark, sf).where(F.dayofmonth("date") % 9 != 0)
+    daily = daily_panel(spark, sf).where("wt_thunder = 1")
     return J.join_daily(user_snapshots(spark, sf), daily).select("event_id", "prcp_mm", "tmax_c", "wt_thunder")
 
 
@@ -159,12 +159,13 @@ def _(spark, sf):
     return J.interval_flag(rows, spans).select("event_id", "storm_event", "outage_occurred")
 
 
-@query("jn7_join_on_date", f"WITH {DAILY}, dd AS (SELECT date, fips_code AS w_fips, prcp_mm FROM daily WHERE CAST(fips_code AS INT) % 50 = 0), {USNAP} "
-       "SELECT event_id, w_fips, prcp_mm FROM usnap LEFT JOIN dd ON CAST(run_start_time AS DATE) = date")
+@query("jn7_join_on_date", f"WITH dd AS (SELECT CAST(ts AS DATE) AS date, event_type AS station, max(value) AS prcp_mm FROM events WHERE value > 100 GROUP BY 1, 2), {USNAP} "
+       "SELECT event_id, station, prcp_mm FROM usnap LEFT JOIN dd ON CAST(run_start_time AS DATE) = date")
 def _(spark, sf):
-    daily = daily_panel(spark, sf).where(F.col("fips_code").cast("int") % 50 == 0).select(
-        "date", F.col("fips_code").alias("w_fips"), "prcp_mm")
-    return J.join_on_date(user_snapshots(spark, sf), daily).select("event_id", "w_fips", "prcp_mm")
+    # One station per event type, so a day has up to five rows.
+    daily = events(spark, sf).where("value > 100").groupBy(F.to_date("ts").alias("date"), F.col("event_type").alias("station")).agg(
+        F.max("value").alias("prcp_mm"))
+    return J.join_on_date(user_snapshots(spark, sf), daily).select("event_id", "station", "prcp_mm")
 
 
 # -- nearest ------------------------------------------------------------------------------------
@@ -216,9 +217,9 @@ def _(spark, sf):
 
 
 FILL = f"""{PTS}, geo AS (SELECT vec_id AS fips_code, lat AS latitude, lon AS longitude FROM pts),
-ok AS (SELECT g.*, round(latitude * 2, 3) AS prcp_mm, CAST(fips_code % 2 AS INT) AS wt_fog FROM geo g WHERE fips_code % 7 <> 0),
+ok AS (SELECT g.*, round(latitude * 2, 3) AS prcp_mm, CAST(fips_code % 2 AS INT) AS wt_fog FROM geo g JOIN embeddings ON vec_id = fips_code WHERE embedding[3] < 0.1),
 cand AS (SELECT f.fips_code, o.fips_code AS src, {hav('f.latitude', 'f.longitude', 'o.latitude', 'o.longitude')} AS d
-  FROM geo f, ok o WHERE f.fips_code % 7 = 0),
+  FROM geo f JOIN ok o ON f.fips_code NOT IN (SELECT fips_code FROM ok)),
 best AS (SELECT fips_code, arg_min(src, d) AS src FROM cand GROUP BY fips_code),
 filled AS (SELECT fips_code, prcp_mm, wt_fog, 0 AS magnitude_missing FROM ok UNION ALL
   SELECT best.fips_code, prcp_mm, wt_fog, 1 FROM best JOIN ok ON ok.fips_code = best.src)"""
@@ -229,7 +230,9 @@ def _geo(spark, sf):
 
 
 def _ok_rows(spark, sf):
-    return _geo(spark, sf).where("fips_code % 7 <> 0").select(
+    """Entities whose fetch succeeded: the third embedding entry is below 0.1."""
+    succeeded = table(spark, sf, "embeddings").where(F.get("embedding", F.lit(2)) < 0.1).select(F.col("vec_id").alias("fips_code"))
+    return _geo(spark, sf).join(succeeded, "fips_code").select(
         "fips_code", F.round(F.col("latitude") * 2, 3).alias("prcp_mm"), (F.col("fips_code") % 2).cast("int").alias("wt_fog"))
 
 
@@ -239,7 +242,7 @@ for _name in ("jn9_fill_from_nearest", "set4_union_filled"):
         return J.fill_from_nearest(_ok_rows(spark, sf), _geo(spark, sf), ["prcp_mm", "wt_fog"])
 
 
-@query("set5_missing_entities", "SELECT vec_id AS fips_code FROM embeddings WHERE vec_id % 7 = 0")
+@query("set5_missing_entities", "SELECT vec_id AS fips_code FROM embeddings WHERE embedding[3] >= 0.1")
 def _(spark, sf):
     return J.missing_entities(_geo(spark, sf), _ok_rows(spark, sf)).select("fips_code")
 
@@ -253,17 +256,17 @@ def station_days(spark, sf):
 
 
 @query("jn13_station_to_entity", "SELECT user_id AS station_id, CAST(ts AS DATE) AS date, round(avg(value), 6) AS prcp_mm, "
-       "CASE WHEN user_id % 4 <> 0 THEN user_id % 20 END AS fips_code FROM events GROUP BY 1, 2")
+       "any_value(CASE WHEN user_id IN (SELECT user_id FROM events WHERE value > 400) THEN user_id % 20 END) AS fips_code FROM events GROUP BY 1, 2")
 def _(spark, sf):
-    mapping = events(spark, sf).where("user_id % 4 <> 0").select(
+    mapping = events(spark, sf).where("value > 400").select(
         F.col("user_id").alias("station_id"), (F.col("user_id") % 20).alias("fips_code")).distinct()
     return R.station_to_entity(station_days(spark, sf), mapping)
 
 
-@query("jn14_station_membership", "SELECT event_id FROM events WHERE user_id % 4 <> 0")
+@query("jn14_station_membership", "SELECT event_id FROM events WHERE user_id IN (SELECT user_id FROM events WHERE value > 400)")
 def _(spark, sf):
     from gridpulse.sources.readers import station_members
-    listed = events(spark, sf).where("user_id % 4 <> 0").select(F.col("user_id").alias("station_id"))
+    listed = events(spark, sf).where("value > 400").select(F.col("user_id").alias("station_id"))
     return station_members(events(spark, sf).withColumnRenamed("user_id", "station_id"), listed).select("event_id")
 
 

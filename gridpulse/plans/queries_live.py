@@ -11,6 +11,7 @@ from gridpulse.operators import rollups as R
 from gridpulse.operators import sessions as S
 from gridpulse.plans.bindings import (DAILY, GOOD, LARGE, LONG_MINUTES, SESS, STATS, daily_panel, events, rounded, sessions)
 from gridpulse.plans.catalog import query, table
+from gridpulse.session import cut_lineage
 
 
 def raw_polls(spark, sf):
@@ -40,10 +41,9 @@ def _(spark, sf):
     return rounded(L.poll_delta(polls(spark, sf)), 6)
 
 
-@query("agg20_live_totals", f"WITH {POLL} SELECT poll_no, count(DISTINCT fips_code) AS counties_affected, round(sum(customers), 4) AS customers_total FROM poll WHERE poll_no = 3 GROUP BY poll_no")
+@query("agg20_live_totals", f"WITH {POLL} SELECT poll_no, count(DISTINCT fips_code) AS counties_affected, round(sum(customers), 4) AS customers_total FROM poll GROUP BY poll_no")
 def _(spark, sf):
-    third = polls(spark, sf).where("poll_no = 3")
-    return rounded(L.live_totals(third).withColumn("poll_no", F.lit(3).cast("long")), 4)
+    return rounded(L.live_totals(polls(spark, sf), ["poll_no"]), 4)
 
 
 @query("jn12_attach_live", f"WITH {POLL}, {DAILY} SELECT daily.fips_code, date, round(coalesce(customers, 0), 6) AS initial_customers_affected, "
@@ -133,7 +133,7 @@ def _(spark, sf):
 
 def scored(spark, sf):
     """Sessions with fixed formulas standing in for model outputs."""
-    good = S.valid_durations(sessions(spark, sf))
+    good = cut_lineage(S.valid_durations(sessions(spark, sf)), "events")
     stats = S.entity_stats(good, long_minutes=LONG_MINUTES, large=LARGE)
     full = S.add_history(good, stats)
     return full.withColumns({

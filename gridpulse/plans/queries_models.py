@@ -126,7 +126,7 @@ FEATURES = [f"f{i}" for i in range(64)]
 @query("ml10_autoencoder_fit")
 def _(spark, sf):
     v = vectors(spark, sf)
-    model = fit_autoencoder(v.where("label <> 0"), FEATURES, epochs=5)
+    model = fit_autoencoder(v, FEATURES, epochs=5)
     return model.detect(v).select("vec_id", "ae_error", "anomaly_flag")
 
 
@@ -238,8 +238,19 @@ def _(spark, sf):
 
 # -- scoring ------------------------------------------------------------------------------------
 
+_INPUTS: dict[tuple, tuple] = {}
+
+
 def scoring_inputs(spark, sf):
-    """Positions, history and small models shared by live and forecast scoring."""
+    """Positions, history and small models shared by live and forecast scoring; fitted once per session."""
+    key = (spark.sparkContext.applicationId, sf)
+    if key not in _INPUTS:
+        _INPUTS.clear()
+        _INPUTS[key] = _scoring_inputs(spark, sf)
+    return _INPUTS[key]
+
+
+def _scoring_inputs(spark, sf):
     events = cut_lineage(S.valid_durations(sessions(spark, sf)), "events")
     stats = cut_lineage(S.entity_stats(events, long_minutes=LONG_MINUTES, large=LARGE), "stats")
     e = table(spark, sf, "embeddings")
@@ -250,13 +261,18 @@ def scoring_inputs(spark, sf):
     occ_model = M.fit_stacking(occ, T.feature_names(occ, DAY_KEYS), DAY_KEYS, settings=STACK)
     occ_model.threshold = 0.3
     growth = list(X.GROWTH_FEATURES)
-    scope = X.scope_features(events, EVENT_TYPES, LARGE)
-    duration = X.duration_features(events, EVENT_TYPES, LONG_MINUTES)
+    scope = X.scope_features(events, EVENT_TYPES, LARGE, materialise=False)
+    duration = X.duration_features(events, EVENT_TYPES, LONG_MINUTES, materialise=False)
     return stats, geo, occ_model, two_stage(cut_lineage(scope.drop(*growth)), "scope"), two_stage(cut_lineage(duration.drop(*growth)), "duration")
 
 
+def fetched(spark, sf):
+    """Responses that arrived: users without a reading for the first hour count as failed."""
+    return hourly_arrays(spark, sf).where(F.get("hourly.precipitation", F.lit(0)).isNotNull())
+
+
 def live_weather(spark, sf):
-    raw = hourly_arrays(spark, sf).where("cast(fips_code as int) % 6 <> 0").withColumn(
+    raw = fetched(spark, sf).withColumn(
         "now", F.lit("2024-02-01 10:00:00").cast("timestamp_ntz"))
     return L.live_day(raw)
 
@@ -264,7 +280,8 @@ def live_weather(spark, sf):
 @query("pip9_live_scoring")
 def _(spark, sf):
     stats, geo, occ, scope, duration = scoring_inputs(spark, sf)
-    changes = L.poll_delta(polls(spark, sf)).where("poll_no = 5").drop("poll_no")
+    every = polls(spark, sf)
+    changes = L.poll_delta(every).where(F.col("poll_no") == every.agg(F.max("poll_no")).scalar()).drop("poll_no")
     m = occurrence_matrix(spark, sf)
     autoencoder = fit_autoencoder(m, T.feature_names(m, DAY_KEYS), epochs=2)
     return live_scoring(live_weather(spark, sf), changes, stats, geo, occ, scope, duration, autoencoder)
@@ -273,7 +290,7 @@ def _(spark, sf):
 @query("pip10_forecast_scoring")
 def _(spark, sf):
     stats, geo, occ, scope, duration = scoring_inputs(spark, sf)
-    raw = hourly_arrays(spark, sf).where("cast(fips_code as int) % 6 <> 0")
+    raw = fetched(spark, sf)
     return forecast_scoring(raw, stats, geo, occ, scope, duration)
 
 
@@ -282,7 +299,7 @@ def _(spark, sf):
     stats, geo, occ, scope, duration = scoring_inputs(spark, sf)
     weather = cut_lineage(live_weather(spark, sf), "weather")
     score = partial(_score_live, weather, stats, geo, occ, scope, duration)
-    raw = polls(spark, sf).where("poll_no between 3 and 5").withColumnRenamed("customers", "cust_a")
+    raw = polls(spark, sf).withColumnRenamed("customers", "cust_a")
     source, history, published, progress = (scratch_path(spark, n) for n in ("polls", "history", "published", "progress"))
     raw.write.partitionBy("poll_no").parquet(source)
     stream = J.file_stream(spark, source, "fips_code string, cust_a double, poll_no long")
@@ -297,7 +314,7 @@ def _score_live(weather, stats, geo, occ, scope, duration, changes):
 @query("str2_forecast_refresh")
 def _(spark, sf):
     stats, geo, occ, scope, duration = scoring_inputs(spark, sf)
-    raw = hourly_arrays(spark, sf).where("cast(fips_code as int) % 6 <> 0")
+    raw = fetched(spark, sf)
     source, published, progress = (scratch_path(spark, n) for n in ("raw", "published", "progress"))
     raw.write.parquet(source)
     stream = J.file_stream(spark, source, raw.schema)

@@ -136,10 +136,10 @@ def _(spark, sf):
     return R.load_summary(events(spark, sf).withColumn("date", F.to_date("ts")), "user_id", "event_type", "date")
 
 
-@query("agg17_value_counts", "SELECT p_type, count(*) AS n, (SELECT greatest(count(DISTINCT p_type) - 3, 0) FROM part) AS more_values "
-       "FROM part GROUP BY p_type ORDER BY n DESC, p_type LIMIT 3")
+@query("agg17_value_counts", "SELECT p_type, count(*) AS n, (SELECT greatest(count(DISTINCT p_type) - 15, 0) FROM part) AS more_values "
+       "FROM part GROUP BY p_type ORDER BY n DESC, p_type LIMIT 15")
 def _(spark, sf):
-    return R.value_counts(table(spark, sf, "part"), "p_type", 3)
+    return R.value_counts(table(spark, sf, "part"), "p_type")
 
 
 @query("agg18_nonzero_report", "SELECT * FROM (SELECT 'l_discount' AS \"column\", count(*) FILTER (l_discount > 0) AS nonzero, "

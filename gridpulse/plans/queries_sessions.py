@@ -9,6 +9,7 @@ from gridpulse.operators import sessions as S
 from gridpulse.plans.bindings import (EVENT_TYPES, GOOD, LARGE, LONG_MINUTES, SESS, SESSION_OPTIONS, SNAP, SNAPSHOT_MINUTES,
                                       STATS, rounded, sess_sql, sessions, snapshots)
 from gridpulse.plans.catalog import query, table
+from gridpulse.session import cut_lineage
 
 KEY = ["fips_code", "start_time"]
 
@@ -27,14 +28,14 @@ def _(spark, sf):
         F.round("pct_growth_15m", 6).alias("pct"), "snapshot_count", "county", "state")
 
 
-# Events per user and hour repeat across the year in the supplier's shipments: many rows per bucket.
+# Three entities own all shipments: buckets are cut by row count instead of by width.
 _SHIP = """snap AS (SELECT l_orderkey * 10 + l_linenumber AS event_id, CAST(l_suppkey % 3 AS VARCHAR) AS fips_code,
   l_shipdate AS run_start_time, CASE WHEN l_quantity > 3 THEN l_quantity ELSE 0 END AS customers_affected,
   'c' AS county, 's' AS state, nullif(l_returnflag, 'N') AS event_type, l_tax AS magnitude,
-  l_discount AS prcp_mm, l_tax AS tmax_c, CAST(l_linenumber = 1 AS INT) AS wt_fog FROM lineitem)"""
+  l_discount AS prcp_mm, l_tax AS tmax_c, CAST(l_linenumber = 1 AS INT) AS wt_fog, l_partkey, l_extendedprice FROM lineitem)"""
 
 
-@query("ops1_sessionize_few_entities", f"WITH {_SHIP}, {sess_sql()} SELECT fips_code, start_time, "
+@query("ops1_sessionize_few_entities", f"WITH {_SHIP}, {sess_sql(order='event_id, l_partkey, l_extendedprice')} SELECT fips_code, start_time, "
        "end_time, duration_minutes, peak_customers_affected, initial_customers_affected, "
        "delta_customers_affected_15m AS delta, CAST(snapshot_count AS BIGINT) AS snapshot_count, event_type, prcp_mm, wt_fog FROM sess")
 def _(spark, sf):
@@ -43,8 +44,9 @@ def _(spark, sf):
         (F.col("l_suppkey") % 3).cast("string").alias("fips_code"), F.col("l_shipdate").alias("run_start_time"),
         F.when(F.col("l_quantity") > 3, F.col("l_quantity")).otherwise(0.0).alias("customers_affected"),
         F.expr("nullif(l_returnflag, 'N')").alias("event_type"), F.col("l_tax").alias("magnitude"),
-        F.col("l_discount").alias("prcp_mm"), (F.col("l_linenumber") == 1).cast("int").alias("wt_fog"))
-    out = S.sessionize(li, **SESSION_OPTIONS)
+        F.col("l_discount").alias("prcp_mm"), (F.col("l_linenumber") == 1).cast("int").alias("wt_fog"), "l_partkey", "l_extendedprice")
+    out = S.sessionize(li, snapshot_minutes=SNAPSHOT_MINUTES, 
+                        tiebreak=["event_id", "l_partkey", "l_extendedprice"], time_bins=64)
     return out.select("fips_code", F.col("start_time").cast("timestamp_ntz").alias("start_time"),
                       F.col("end_time").cast("timestamp_ntz").alias("end_time"), "duration_minutes",
                       "peak_customers_affected", "initial_customers_affected",
@@ -62,7 +64,7 @@ _BLOCKS = sess_sql().split(",\nranked AS")[0]
 
 @query("win2_island_id", f"WITH {SNAP}, {_BLOCKS} SELECT event_id, is_on AS is_outage, block FROM blocks")
 def _(spark, sf):
-    return S.island_ids(snapshots(spark, sf), **SESSION_OPTIONS).select("event_id", "is_outage", "block")
+    return S.island_ids(snapshots(spark, sf), snapshot_minutes=SNAPSHOT_MINUTES, tiebreak=["event_id"], time_bins=32).select("event_id", "is_outage", "block")
 
 
 @query("win3_first_and_second", f"WITH {SESS} SELECT fips_code, start_time, initial_customers_affected, "
@@ -178,7 +180,7 @@ def _(spark, sf):
        "round(least(initial_customers_affected * 3 / greatest(county_max_customers, 1), 1.0), 9) AS capped "
        "FROM good JOIN stats USING (fips_code)")
 def _(spark, sf):
-    good = good_sessions(spark, sf)
+    good = cut_lineage(good_sessions(spark, sf), "events")
     full = S.add_history(good, S.scope_history(good, large=LARGE))
     trained = X.impact_density(full).withColumnRenamed("initial_impact_density", "trained")
     tripled = trained.withColumn("initial_customers_affected", F.col("initial_customers_affected") * 3)
@@ -193,14 +195,14 @@ def _(spark, sf):
         "event_id", F.round("delta_customers_affected_15m", 6).alias("delta"), F.round("pct_growth_15m", 6).alias("pct"))
 
 
-@query("jn5_join_entity_stats", f"WITH {SESS}, {GOOD}, {STATS}, part_stats AS (SELECT * FROM stats WHERE CAST(fips_code AS INT) % 3 <> 0) "
+@query("jn5_join_entity_stats", f"WITH {SESS}, {GOOD}, {STATS}, part_stats AS (SELECT * FROM stats WHERE county_long_rate > 0.25) "
        "SELECT fips_code, start_time, " + ", ".join(f"round(coalesce({c}, 0), 9) AS {c}" for c in (*DUR_COLS, *SCOPE_COLS)) +
        " FROM sess LEFT JOIN part_stats USING (fips_code)")
 def _(spark, sf):
     from gridpulse.operators.joins import join_stats
-    s = sessions(spark, sf)
+    s = cut_lineage(sessions(spark, sf), "events")
     stats = S.entity_stats(S.valid_durations(s), long_minutes=LONG_MINUTES, large=LARGE)
-    stats = stats.where(F.col("fips_code").cast("int") % 3 != 0).withColumn(
+    stats = stats.where("county_long_rate > 0.25").withColumn(
         "fips_code", F.col("fips_code").cast("int").cast("string"))
     return rounded(join_stats(s, stats).select(*KEY, *DUR_COLS, *SCOPE_COLS))
 
