@@ -23,11 +23,15 @@ HOT_SHARE = 1 / 256          # a key is hot when it owns more than this share of
 def hot_key_hashes(df: DataFrame, keys: Sequence[str], share: float = HOT_SHARE) -> Column:
     """Scalar array with the hashes of keys that own more than ``share`` of the rows.
 
-    There are fewer than ``1 / share`` of them, whatever the data. Costs one map-side combined count.
+    A frequent-items sketch of fixed size finds them in one pass that moves no keys between tasks;
+    there are fewer than ``1 / share`` of them, whatever the data. A key the sketch missed would only
+    cost balance: results never depend on this list.
     """
-    counts = df.groupBy(_hash(keys).alias("_h")).agg(F.count(F.lit(1)).alias("_n"))
-    total = counts.agg(F.sum("_n")).scalar()
-    return counts.where(F.col("_n") > total * share).agg(F.collect_list("_h")).scalar()
+    limit = int(1 / share)
+    sketch = df.select(_hash(keys).alias("_h")).agg(
+        F.expr(f"approx_top_k(_h, {limit}, {16 * limit})").alias("_top"), F.count(F.lit(1)).alias("_n"))
+    return sketch.select(F.expr(
+        f"transform(filter(_top, t -> t.count > _n * {share!r}D), t -> t.item)")).scalar()
 
 
 def _hash(keys: Sequence[str]) -> Column:
@@ -69,7 +73,7 @@ def value_bins(df: DataFrame, value: str, bins: int = DEFAULT_BINS, name: str =
     if bins & (bins - 1):
         raise ValueError("bins must be a power of two")
     shares = ",".join(repr(i / bins) + "D" for i in range(1, bins))
-    cuts = df.agg(F.expr(f"percentile_approx(`{value}`, array({shares}), {100 * bins})")).scalar()
+    cuts = df.agg(F.expr(f"percentile_approx(`{value}`, array({shares}), {4 * bins})")).scalar()
     jumps = ",".join(str(1 << k) for k in reversed(range(bins.bit_length() - 1)))
 
     def advance(position: Column, jump: Column) -> Column:

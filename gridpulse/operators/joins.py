@@ -45,7 +45,8 @@ def interval_join(snapshots: DataFrame, intervals: DataFrame, entity: str = "fip
 
 
 def expand_zones(events: DataFrame, zone_map: DataFrame, zone: str = "cz_fips",
-                 kind: str = "cz_type", code: str = "fips_code", salts: int = 1) -> DataFrame:
+                 kind: str = "cz_type", code: str = "fips_code",
+                 salts: int = DEFAULT_SALTS) -> DataFrame:
     """Zone rows get one copy per mapped county (unmapped zones go); other rows stay as they are."""
     if kind not in events.columns:
         return events
