@@ -16,9 +16,9 @@ from gridpulse.functions.weather import (KMH_PER_MS, MM_PER_CM, MM_PER_M, code_f
 ZSCORE_COLUMNS = ("prcp_mm", "tmax_c", "tmin_c", "awnd_ms", "snow_mm")
 MIN_SCOPE_CUSTOMERS = 50.0
 FLAG_LABELS = {
-    "wt_thunder": "Thunderstorm", "wt_fog": "Fog", "wt_snow": "Snow",
-    "wt_freezing_rain": "Freezing Rain", "wt_ice": "Ice", "wt_blowing_snow": "Blowing Snow",
-    "wt_rain": "Rain", "wt_drizzle": "Drizzle",
+    "wt_thunder": "⛈ Thunderstorm", "wt_fog": "🌫 Fog", "wt_snow": "❄ Snow",
+    "wt_freezing_rain": "🌨 Freezing Rain", "wt_ice": "🧊 Ice", "wt_blowing_snow": "💨 Blowing Snow",
+    "wt_rain": "🌧 Rain", "wt_drizzle": "🌦 Drizzle",
 }
 WEATHER_LABELS = {
     "tmax_c": ("Max Temp", "°C"), "tmin_c": ("Min Temp", "°C"), "awnd_ms": ("Avg Wind", "m/s"),

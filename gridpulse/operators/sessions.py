@@ -72,39 +72,54 @@ def sessionize(df: DataFrame, entity: str = "fips_code", ts: str = "run_start_ti
     often than expected, pass ``time_bins`` (a power of two): buckets are then cut so that each holds
     the same share of all rows, at the price of one extra pass over the time column.
     """
+    runs = snapshot_runs(df, entity, ts, value, snapshot_minutes, gap_multiplier, tiebreak, carried, event_type,
+                         magnitude, bucket_minutes, time_bins)
+    blocks = chain_runs(runs, entity, snapshot_minutes, gap_multiplier)
+    return finish_events(blocks.where("_on"), entity, snapshot_minutes, event_type)
+
+
+# Columns of a run; any further ones are carried values whose first known one counts.
+RUN_COLUMNS = ("_bucket", "_run", "_on", "_last_run", "_first_us", "_last_us", "_t0", "_t1", "_peak", "_v1",
+               "_v2", "_rows", "_types", "_size")
+
+
+def _first_known(column: str, order: str) -> Column:
+    return F.expr(f"min_by(`{column}`, {order}) filter (where `{column}` is not null)").alias(column)
+
+
+def snapshot_runs(df: DataFrame, entity: str = "fips_code", ts: str = "run_start_time",
+                  value: str = "customers_affected", snapshot_minutes: float = 15,
+                  gap_multiplier: float = 2, tiebreak: Sequence[str] = (),
+                  carried: Sequence[str] | None = None, event_type: str = "event_type",
+                  magnitude: str = "magnitude", bucket_minutes: float | None = None,
+                  time_bins: int | None = None) -> DataFrame:
+    """Runs of equal state inside each (entity, time bucket), summed up. One shuffle of the rows.
+
+    Off runs stay only at bucket edges, where they decide what the neighbour bucket continues.
+    """
     require_columns(df, [entity, ts, value])
     gap_us = F.lit(int(gap_multiplier * snapshot_minutes * 60_000_000))
     has_type, has_size = event_type in df.columns, magnitude in df.columns
     first_of = [c for c in (CARRIED if carried is None else carried) if c in df.columns]
     if has_type:
         first_of.append(event_type)
-
-    rows = (
-        df.where(F.col(ts).isNotNull())
-        .select(
-            F.col(entity), F.col(ts).alias("_ts"), F.col(value).alias("_v"),
-            micros(ts).alias("_us"), F.coalesce(F.col(value) > 0, F.lit(False)).alias("_on"),
-            *[F.col(t).alias(f"_tie{i}") for i, t in enumerate(tiebreak)],
-            *[F.col(c) for c in first_of],
-            *([to_number(magnitude).alias("_size")] if has_size else []))
-    )
+    ties = [f"_tie{i}" for i in range(len(tiebreak))]
+    rows = df.where(F.col(ts).isNotNull()).select(
+        F.col(entity), F.col(ts).alias("_ts"), F.col(value).alias("_v"), micros(ts).alias("_us"),
+        F.coalesce(F.col(value) > 0, F.lit(False)).alias("_on"),
+        *[F.col(t).alias(name) for t, name in zip(tiebreak, ties)], *[F.col(c) for c in first_of],
+        *([to_number(magnitude).alias("_size")] if has_size else []))
     rows = time_buckets(rows, bucket_minutes or DAY_OF_SNAPSHOTS * snapshot_minutes, time_bins)
-    inside = Window.partitionBy(entity, "_bucket").orderBy(
-        "_us", *[f"_tie{i}" for i in range(len(tiebreak))])
-    upto = inside.rowsBetween(Window.unboundedPreceding, 0)
+    inside = Window.partitionBy(entity, "_bucket").orderBy("_us", *ties)
     rows = rows.withColumns({
         "_start": F.when(
             F.lag("_on").over(inside).isNull() | (F.lag("_on").over(inside) != F.col("_on"))
             | (F.col("_us") - F.lag("_us").over(inside) > gap_us), 1).otherwise(0),
         "_seq": F.row_number().over(inside)})
     rows = rows.withColumns({
-        "_run": F.sum("_start").over(upto),
+        "_run": F.sum("_start").over(inside.rowsBetween(Window.unboundedPreceding, 0)),
         "_runs": F.sum("_start").over(Window.partitionBy(entity, "_bucket")),
         "_next": F.when(F.lead("_start").over(inside) == 0, F.lead("_v").over(inside))})
-
-    def first_known(column: str, order: str) -> Column:
-        return F.expr(f"min_by(`{column}`, {order}) filter (where `{column}` is not null)").alias(column)
-
     runs = rows.groupBy(entity, "_bucket", "_run").agg(
         F.max("_on").alias("_on"),
         (F.max("_runs") == F.col("_run")).alias("_last_run"),
@@ -114,46 +129,61 @@ def sessionize(df: DataFrame, entity: str = "fips_code", ts: str = "run_start_ti
         F.max(F.when(F.col("_start") == 1, F.col("_v"))).alias("_v1"),
         F.max(F.when(F.col("_start") == 1, F.col("_next"))).alias("_v2"),
         F.count(F.lit(1)).alias("_rows"),
-        *[first_known(c, "_seq") for c in first_of],
+        *[_first_known(c, "_seq") for c in first_of],
         *([F.count(event_type).alias("_types")] if has_type else []),
         *([F.max("_size").alias("_size")] if has_size else []))
+    return runs.where(F.col("_on") | (F.col("_run") == 1) | F.col("_last_run"))
+
 
+def chain_runs(runs: DataFrame, entity: str = "fips_code", snapshot_minutes: float = 15,
+               gap_multiplier: float = 2) -> DataFrame:
+    """Runs joined across bucket edges to blocks. Inner runs pass through; one shuffle of the runs.
+
+    ``_open`` marks the entity's last block, which later rows may continue.
+    """
+    gap_us = F.lit(int(gap_multiplier * snapshot_minutes * 60_000_000))
+    first_of = [c for c in runs.columns if c not in (entity, *RUN_COLUMNS)]
     edge = (F.col("_run") == 1) | F.col("_last_run")
-    runs = runs.where(F.col("_on") | edge).withColumn("_lane", F.when(~edge, F.col("_bucket")))
+    lanes = runs.withColumn("_lane", F.when(~edge, F.col("_bucket")))
     chain = Window.partitionBy(entity, "_lane").orderBy("_bucket", "_run")
     before = F.lag("_bucket").over(chain)
-    runs = runs.withColumn("_start", F.when(
+    lanes = lanes.withColumn("_start", F.when(
         before.isNull() | (before == F.col("_bucket")) | (F.lag("_on").over(chain) != F.col("_on"))
         | (F.col("_first_us") - F.lag("_last_us").over(chain) > gap_us), 1).otherwise(0))
-    runs = runs.withColumns({
+    lanes = lanes.withColumns({
         "_block": F.sum("_start").over(chain.rowsBetween(Window.unboundedPreceding, 0)),
-        "_v2": F.coalesce("_v2", F.when(F.lead("_start").over(chain) == 0,
-                                        F.lead("_v1").over(chain)))})
-
-    events = runs.where("_on").groupBy(entity, "_lane", "_block").agg(
-        F.min("_t0").alias("start_time"), F.max("_t1").alias("end_time"),
-        F.min("_first_us").alias("_us0"), F.max("_last_us").alias("_us1"),
-        F.max("_peak").alias("peak_customers_affected"),
-        F.min_by("_v1", "_bucket").alias("initial_customers_affected"),
-        F.min_by("_v2", "_bucket").alias("_second"),
-        F.sum("_rows").alias("snapshot_count"),
-        *[first_known(c, "_bucket") for c in first_of],
-        *([F.sum("_types").alias("weather_event_count")] if has_type else []),
-        *([F.max("_size").alias("max_magnitude")] if has_size else []))
-
-    initial = F.col("initial_customers_affected")
-    delta = F.coalesce(F.col("_second"), initial) - initial
-    derived = {
-        "duration_minutes": (F.col("_us1") - F.col("_us0")) / F.lit(60_000_000.0) + F.lit(snapshot_minutes),
-        "delta_customers_affected_15m": delta,
-        "pct_growth_15m": (delta / F.greatest(initial, F.lit(1))).cast("double"),
-    }
-    if has_type:
-        derived["has_weather_event"] = (F.col("weather_event_count") > 0).cast("int")
-    if has_size:
-        derived["magnitude_missing"] = F.col("max_magnitude").isNull().cast("int")
-        derived["max_magnitude"] = F.coalesce(F.col("max_magnitude"), F.lit(0.0))
-    return events.withColumns(derived).drop("_lane", "_block", "_us0", "_us1", "_second")
+        "_blocks": F.sum("_start").over(Window.partitionBy(entity, "_lane")),
+        "_v2": F.coalesce("_v2", F.when(F.lead("_start").over(chain) == 0, F.lead("_v1").over(chain)))})
+    return lanes.groupBy(entity, "_lane", "_block").agg(
+        F.max("_on").alias("_on"), F.min("_first_us").alias("_first_us"), F.max("_last_us").alias("_last_us"),
+        F.min("_t0").alias("_t0"), F.max("_t1").alias("_t1"), F.max("_peak").alias("_peak"),
+        F.min_by("_v1", "_bucket").alias("_v1"), F.min_by("_v2", "_bucket").alias("_v2"),
+        F.sum("_rows").alias("_rows"), F.max("_bucket").alias("_bucket"),
+        (F.col("_lane").isNull() & (F.max("_blocks") == F.col("_block"))).alias("_open"),
+        *[_first_known(c, "_bucket") for c in first_of],
+        *([F.sum("_types").alias("_types")] if "_types" in runs.columns else []),
+        *([F.max("_size").alias("_size")] if "_size" in runs.columns else [])).drop("_lane", "_block")
+
+
+def finish_events(blocks: DataFrame, entity: str = "fips_code", snapshot_minutes: float = 15,
+                  event_type: str = "event_type", also: Sequence[str] = ()) -> DataFrame:
+    """Blocks to events: duration, growth and weather columns under their final names."""
+    first_of = [c for c in blocks.columns if c not in (entity, "_open", *RUN_COLUMNS, event_type, *also)]
+    initial = F.col("_v1")
+    delta = F.coalesce(F.col("_v2"), initial) - initial
+    cols = [F.col(entity), F.col("_t0").alias("start_time"), F.col("_t1").alias("end_time"),
+            F.col("_peak").alias("peak_customers_affected"), initial.alias("initial_customers_affected"),
+            F.col("_rows").alias("snapshot_count"), *first_of]
+    if event_type in blocks.columns:
+        cols += [F.col(event_type), F.col("_types").alias("weather_event_count"),
+                 (F.col("_types") > 0).cast("int").alias("has_weather_event")]
+    if "_size" in blocks.columns:
+        cols += [F.coalesce(F.col("_size"), F.lit(0.0)).alias("max_magnitude"),
+                 F.col("_size").isNull().cast("int").alias("magnitude_missing")]
+    return blocks.select(
+        *cols, ((F.col("_last_us") - F.col("_first_us")) / F.lit(60_000_000.0) + F.lit(snapshot_minutes)).alias("duration_minutes"),
+        delta.alias("delta_customers_affected_15m"),
+        (delta / F.greatest(initial, F.lit(1))).cast("double").alias("pct_growth_15m"), *also)
 
 
 def valid_durations(events: DataFrame, low: float = 0, high: float = 10080) -> DataFrame:

@@ -171,8 +171,8 @@ def _(spark, sf):
     return L.scope_sanity(scored(spark, sf).withColumn("county_max_customers", F.col("county_median_scope"))).select(*KEYS)
 
 
-@query("prj19_active_flag_labels", f"WITH {DAILY} SELECT fips_code, date, concat_ws('|', CASE WHEN wt_thunder = 1 THEN 'Thunderstorm' END, CASE WHEN wt_snow = 1 THEN 'Snow' END, "
-       "CASE WHEN wt_ice = 1 THEN 'Ice' END, CASE WHEN wt_blowing_snow = 1 THEN 'Blowing Snow' END) AS active FROM daily")
+@query("prj19_active_flag_labels", f"WITH {DAILY} SELECT fips_code, date, concat_ws('|', CASE WHEN wt_thunder = 1 THEN '⛈ Thunderstorm' END, CASE WHEN wt_snow = 1 THEN '❄ Snow' END, "
+       "CASE WHEN wt_ice = 1 THEN '🧊 Ice' END, CASE WHEN wt_blowing_snow = 1 THEN '💨 Blowing Snow' END) AS active FROM daily")
 def _(spark, sf):
     return L.active_flag_labels(daily_panel(spark, sf)).select("fips_code", "date", F.concat_ws("|", "active_flags").alias("active"))
 

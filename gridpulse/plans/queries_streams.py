@@ -6,7 +6,7 @@ from functools import partial
 
 from pyspark.sql import functions as F
 
-from gridpulse.plans.bindings import SESS, SNAPSHOT_MINUTES, rounded, snapshots
+from gridpulse.plans.bindings import SESS, SESSION_OPTIONS, SNAPSHOT_MINUTES, rounded, snapshots
 from gridpulse.plans.catalog import query
 from gridpulse.plans.queries_live import POLL, polls
 from gridpulse.plans.queries_rollups import daily_sql, hourly
@@ -14,7 +14,7 @@ from gridpulse.session import scratch_path
 from gridpulse.streaming import jobs as J
 
 
-def replayed(df, name: str, order: str, build, keys: list[str], mode: str, parts: int = 3):
+def replayed(df, name: str, order: str, run, keys: list[str], parts: int = 3):
     """Rows arrive in ``parts`` consecutive time slices; the stream is stopped and resumed in between.
 
     Each run continues from the checkpoint of the one before. Returns the last version per key.
@@ -30,24 +30,33 @@ def replayed(df, name: str, order: str, build, keys: list[str], mode: str, parts
         part = df if low is None else df.where(moment > low)
         part = part if high is None else part.where(moment <= high)
         part.write.mode("append").parquet(source)
-        stream = build(J.file_stream(spark, source, df.schema))
-        J.start(stream, progress, J.batch_writer(target), mode=mode).awaitTermination()
+        run(J.file_stream(spark, source, df.schema), progress, target).awaitTermination()
     return J.read_updates(spark, target, keys)
 
 
+def versions(build, mode: str):
+    """Runs a stream that writes its own rows batch by batch."""
+    return lambda stream, progress, target: J.start(build(stream), progress, J.batch_writer(target), mode=mode)
+
+
 @query("str3_poll_delta_state", f"WITH {POLL} SELECT poll_no, fips_code, round(customers, 6) AS customers, round(delta, 6) AS delta, round(pct_growth, 6) AS pct_growth FROM delta")
 def _(spark, sf):
-    return rounded(replayed(polls(spark, sf), "polls", "poll_no", J.poll_delta_stream, ["fips_code", "poll_no"], "append"), 6)
+    return rounded(replayed(polls(spark, sf), "polls", "poll_no", versions(J.poll_delta_stream, "append"), ["fips_code", "poll_no"]), 6)
 
 
 @query("str4_session_stream", f"WITH {SESS} SELECT fips_code, start_time, end_time, peak_customers_affected, initial_customers_affected, "
-       "CAST(snapshot_count AS BIGINT) AS snapshot_count, round(delta_customers_affected_15m, 6) AS delta_customers_affected_15m, duration_minutes FROM sess")
+       "CAST(snapshot_count AS BIGINT) AS snapshot_count, round(delta_customers_affected_15m, 6) AS delta_customers_affected_15m, duration_minutes, event_type, weather_event_count, max_magnitude, prcp_mm FROM sess")
 def _(spark, sf):
-    rows = snapshots(spark, sf).select("event_id", "fips_code", "run_start_time", "customers_affected")
-    versions = replayed(rows, "sessions", "run_start_time", partial(
-        J.session_stream, tiebreak="event_id", snapshot_minutes=SNAPSHOT_MINUTES), ["fips_code", "start_us"], "update")
-    out = J.finished_sessions(versions, SNAPSHOT_MINUTES)
-    return out.withColumn("delta_customers_affected_15m", F.round("delta_customers_affected_15m", 6))
+    state = scratch_path(spark, "sessions-state")
+
+    def run(stream, progress, target):
+        return J.session_stream(stream, progress, target, state, every=None, **SESSION_OPTIONS)
+
+    out = replayed(snapshots(spark, sf), "sessions", "run_start_time", run, ["fips_code", "start_time"])
+    return out.select(
+        "fips_code", "start_time", "end_time", "peak_customers_affected", "initial_customers_affected", "snapshot_count",
+        F.round("delta_customers_affected_15m", 6).alias("delta_customers_affected_15m"), "duration_minutes",
+        "event_type", "weather_event_count", "max_magnitude", "prcp_mm")
 
 
 @query("str4_session_window", """WITH e AS (SELECT lpad(CAST(user_id AS VARCHAR), 5, '0') AS fips_code, ts, value FROM events WHERE value > 20),
@@ -58,12 +67,11 @@ def _(spark, sf):
 def _(spark, sf):
     rows = snapshots(spark, sf).select("fips_code", "run_start_time", "customers_affected")
     # One slice: the start of a still open window, its key here, may change with later rows.
-    out = replayed(rows, "windows", "run_start_time", partial(
-        J.session_window_stream, gap_minutes=720, snapshot_minutes=SNAPSHOT_MINUTES), ["fips_code", "start_time"],
-        "complete", parts=1)
+    build = partial(J.session_window_stream, gap_minutes=720, snapshot_minutes=SNAPSHOT_MINUTES)
+    out = replayed(rows, "windows", "run_start_time", versions(build, "complete"), ["fips_code", "start_time"], parts=1)
     return out.withColumns({c: F.col(c).cast("timestamp_ntz") for c in ("start_time", "end_time")})
 
 
 @query("str5_daily_tumbling_weather", daily_sql(False))
 def _(spark, sf):
-    return rounded(replayed(hourly(spark, sf), "daily", "time", J.daily_weather_stream, ["fips_code", "date"], "update"), 6)
+    return rounded(replayed(hourly(spark, sf), "daily", "time", versions(J.daily_weather_stream, "update"), ["fips_code", "date"]), 6)
