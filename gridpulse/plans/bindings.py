@@ -10,7 +10,6 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gridpulse.functions.columns import zfill
-from gridpulse.operators.features import OCCURRENCE_FEATURES  # noqa: F401
 from gridpulse.operators.sessions import sessionize
 from gridpulse.plans.catalog import table
 

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from gridpulse.functions import columns as C
 from gridpulse.functions import weather as W
-from gridpulse.plans.bindings import DAILY, SESS, SNAP, daily_panel, events, rounded, sessions, snapshots
+from gridpulse.plans.bindings import DAILY, SESS, SNAP, daily_panel, events, sessions, snapshots
 from gridpulse.plans.catalog import query, table
 
 

@@ -11,7 +11,7 @@ from pyspark.sql import types as T
 
 from gridpulse.functions.columns import (fixed_width, json_number, lookup, number_in_name, parse_date,
                                          parse_timestamp, require_columns, to_count, zfill)
-from gridpulse.functions.weather import CODE_FLAGS, cm_to_mm, code_flags, m_to_mm, to_ms
+from gridpulse.functions.weather import cm_to_mm, code_flags, m_to_mm, to_ms
 from gridpulse.operators.joins import expand_zones
 from gridpulse.operators.rollups import quality_filter, union_years
 
