@@ -56,9 +56,11 @@ def collision_probability(similarity: float, bands: int = BANDS) -> float:
 
 def shingle_hashes(words: Column) -> Column:
     """64-bit hashes of all 5-word shingles, by place; a shorter text is one shingle, an empty one none."""
-    places = F.sequence(F.lit(1), F.greatest(F.size(words) - (SHINGLE - 1), F.lit(1)))
-    return F.when(F.size(words) > 0, F.transform(
-        places, lambda i: F.xxhash64(F.array_join(F.slice(words, i, SHINGLE), " "))))
+    def hashes(w: Column) -> Column:
+        places = F.sequence(F.lit(1), F.greatest(F.size(w) - (SHINGLE - 1), F.lit(1)))
+        return F.when(F.size(w) > 0, F.transform(places, lambda i: F.xxhash64(F.array_join(F.slice(w, i, SHINGLE), " "))))
+
+    return let(words, hashes)
 
 
 def band_values(shingles: Column, step: int) -> Column:
@@ -71,12 +73,14 @@ def band_values(shingles: Column, step: int) -> Column:
     masks = [(b << 61) + (1 << 60) for b in range(BANDS)]
     masks = [m - (1 << 64) if m >= 1 << 63 else m for m in masks]
     starts = F.sequence(F.lit(1), F.greatest(F.size(shingles) - (WINDOW - step), F.lit(1)), F.lit(step))
-    each = []
-    for b, mask in enumerate(masks):
-        turned = F.transform(shingles, lambda h, mask=mask: h.bitwiseXOR(F.lit(mask)))
-        each.append(let(turned, lambda t: F.array_distinct(F.transform(starts, lambda i: F.array_min(F.slice(t, i, WINDOW))))))
-    lows = [F.transform(e, lambda h, b=b: F.xxhash64(h, F.lit(b))) for b, e in enumerate(each)]
-    return F.concat(*lows)
+
+    def lows(b: int, mask: int) -> Column:
+        turned = F.transform(shingles, lambda h: h.bitwiseXOR(F.lit(mask)))
+        least = let(turned, lambda t: F.array_distinct(F.transform(
+            starts, lambda i: F.array_min(F.slice(t, i, WINDOW)))))
+        return F.transform(least, lambda h: F.xxhash64(h, F.lit(b)))
+
+    return F.concat(*[lows(b, m) for b, m in enumerate(masks)])
 
 
 def template_index(templates: DataFrame) -> tuple[DataFrame, DataFrame]:
