@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from gridpulse.llm.texts import map_texts
 
-SAMPLE_ROWS = 6000           # labelled documents that are fitted on, at most
+SAMPLE_ROWS = 4000           # labelled documents that are fitted on, at most
 BUCKETS = 1 << 15
 DIMENSION = 8
 GRAMS = (2, 3, 4)
@@ -176,9 +176,18 @@ def fit_quality(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text
         return work
 
     found = map_texts(rows, ["doc_id", "label"], "text", "buckets array<int>, weights array<float>", make) \
-        .orderBy("doc_id", F.hash("buckets")).limit(most).collect()
-    features = [(np.array(r["buckets"], np.int32), np.array(r["weights"], np.float32)) for r in found]
-    return train(features, np.array([r["label"] for r in found], np.int64))
+        .orderBy("doc_id", F.hash("buckets")).limit(most).toArrow().combine_chunks()
+    # Arrow lists, not Python ones: the sample stays a few dozen megabytes.
+    buckets, weights = (_arrays(found.column(c)) for c in ("buckets", "weights"))
+    return train(list(zip(buckets, weights)), found.column("label").to_numpy())
+
+
+def _arrays(column) -> list[np.ndarray]:
+    out = []
+    for chunk in column.chunks:
+        values, ends = chunk.values.to_numpy(), chunk.offsets.to_numpy()
+        out += [values[a:b] for a, b in zip(ends[:-1], ends[1:])]
+    return out
 
 
 def score_documents(docs: DataFrame, model: Model, keep: list[str], text: str = "text") -> DataFrame:

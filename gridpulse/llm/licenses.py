@@ -5,13 +5,14 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gridpulse.llm.texts import let, plain_words, text_key
+from gridpulse.llm.texts import in_set, let, plain_words, set_values, text_key
 
 SHINGLE = 5             # words in a shingle
-WINDOW = 8              # shingles in a window of a longer notice (12 words)
-STEP = 4                # shingles between the starts of two windows: each overlaps half of the next
+WINDOW = 16             # shingles in a window of a longer notice (20 words)
+STEP = 8                # shingles between the starts of two windows: each overlaps half of the next
 BANDS = 8               # bands of one row each
 BROADCAST_TEMPLATE_WORDS = 250_000
+ROW = "SELECT -2 AS ask, 0L AS value, 'row' AS kind, array('') AS templates"
 
 # Public license notices.
 TEMPLATES = {
@@ -57,49 +58,63 @@ def collision_probability(similarity: float, bands: int = BANDS) -> float:
 def shingle_hashes(words: Column) -> Column:
     """64-bit hashes of all 5-word shingles, by place; a shorter text is one shingle, an empty one none."""
     def hashes(w: Column) -> Column:
-        places = F.sequence(F.lit(1), F.greatest(F.size(w) - (SHINGLE - 1), F.lit(1)))
-        return F.when(F.size(w) > 0, F.transform(places, lambda i: F.xxhash64(F.array_join(F.slice(w, i, SHINGLE), " "))))
+        places = F.sequence(F.lit(0), F.greatest(F.size(w) - SHINGLE, F.lit(0)))
+        return F.when(F.size(w) > 0, F.transform(places, lambda i: F.xxhash64(*[F.get(w, i + k) for k in range(SHINGLE)])))
 
     return let(words, hashes)
 
 
-def band_values(shingles: Column, step: int) -> Column:
-    """The different band values of all windows of ``WINDOW`` shingles that start every ``step``.
+def _masks() -> list[int]:
+    """One mask per band, with the band's number as its top bits, as signed 64-bit numbers."""
+    masks = [(b << 61) + (1 << 60) for b in range(BANDS)]
+    return [m - (1 << 64) if m >= 1 << 63 else m for m in masks]
+
+
+def band_values(shingles: Column, every: bool = False, known: list[int] | None = None) -> Column:
+    """The different (band, value) pairs of all windows of ``WINDOW`` shingles.
 
     Band b's permutation of the hashes is XOR with a mask whose top bits are b, so its minimum is the hash
-    nearest to the b-th corner of the hash space: each band looks at other shingles of the window. Band values
-    are mixed with their band's number.
+    nearest to the b-th corner of the hash space: each band looks at other shingles of the window. Windows start
+    every ``STEP`` shingles and join two neighbouring blocks, whose minima are computed once; with ``every`` they
+    start at every shingle. A text shorter than a window is one window. Of the values only ``known`` ones are
+    returned, if given.
     """
-    masks = [(b << 61) + (1 << 60) for b in range(BANDS)]
-    masks = [m - (1 << 64) if m >= 1 << 63 else m for m in masks]
-    starts = F.sequence(F.lit(1), F.greatest(F.size(shingles) - (WINDOW - step), F.lit(1)), F.lit(step))
-
     def lows(b: int, mask: int) -> Column:
-        turned = F.transform(shingles, lambda h: h.bitwiseXOR(F.lit(mask)))
-        least = let(turned, lambda t: F.array_distinct(F.transform(
-            starts, lambda i: F.array_min(F.slice(t, i, WINDOW)))))
-        return F.transform(least, lambda h: F.xxhash64(h, F.lit(b)))
+        def low(i: Column, size: int) -> Column:
+            return F.array_min(F.transform(F.slice(shingles, i, size), lambda h: h.bitwiseXOR(F.lit(mask))))
+
+        if every:
+            least = F.transform(F.sequence(F.lit(1), F.greatest(F.size(shingles) - (WINDOW - 1), F.lit(1))),
+                                lambda i: low(i, WINDOW))
+        else:
+            blocks = F.transform(F.sequence(F.lit(1), F.size(shingles), F.lit(STEP)), lambda i: low(i, STEP))
+            least = let(blocks, lambda v: F.transform(v, lambda x, i: F.least(x, F.get(v, i + 1))))
+        if known is not None:
+            least = F.filter(least, lambda h: in_set(h, known))
+        return F.transform(F.array_distinct(least), lambda h: F.struct(F.lit(b).alias("band"), h.alias("value")))
 
-    return F.concat(*[lows(b, m) for b, m in enumerate(masks)])
+    return F.concat(*[lows(b, m) for b, m in enumerate(_masks())])
 
 
 def template_index(templates: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(sizes: template_id and its number of shingles; index: kind, value, template ids).
+    """(sizes: template_id and its number of shingles; index: ask, value, kind, template ids).
 
-    Kind 1: shingles, for verification. Kind 2: bands of all windows of templates of ``WINDOW`` and more shingles,
-    at every offset, so any window of a copied notice meets its equal. Shorter templates fill no window; their
-    windows are their single shingles, of which a band is the hash itself (kind 3).
+    ``ask`` -1 asks for shingles: kind "shingle" for verification, and kind "window" for templates too short to fill
+    a window, whose windows are their single shingles, of which any band is the hash itself. ``ask`` b from 0 on asks
+    for band b of the windows of longer templates, at every offset, so any window of a copied notice meets its equal.
     """
     rows = templates.select(F.col("template_id"), shingle_hashes(plain_words(F.col("text"))).alias("s")).where("s IS NOT NULL")
     rows = rows.withColumn("runs", F.col("s")).withColumn("s", F.array_distinct("s")).withColumn("n", F.size("s"))
 
-    def entries(kind: int, values: Column) -> Column:
-        return F.transform(values, lambda v: F.struct(F.lit(kind).alias("kind"), v.alias("value")))
+    def entry(ask: Column, value: Column, kind: str) -> Column:
+        return F.struct(ask.cast("int").alias("ask"), value.alias("value"), F.lit(kind).alias("kind"))
 
-    values = F.concat(entries(1, F.col("s")), F.when(F.col("n") >= WINDOW, entries(2, band_values(F.col("runs"), 1)))
-                      .otherwise(entries(3, F.col("s"))))
-    index = rows.select("template_id", F.explode(values).alias("e")).select("e.kind", "e.value", "template_id") \
-        .groupBy("kind", "value").agg(F.collect_set("template_id").alias("templates"))
+    values = F.concat(
+        F.transform("s", lambda v: entry(F.lit(-1), v, "shingle")),
+        F.when(F.col("n") >= WINDOW, F.transform(band_values(F.col("runs"), every=True), lambda p: entry(
+            p["band"], p["value"], "window"))).otherwise(F.transform("s", lambda v: entry(F.lit(-1), v, "window"))))
+    index = rows.select("template_id", F.explode(values).alias("e")).select("e.*", "template_id") \
+        .groupBy("ask", "value", "kind").agg(F.collect_set("template_id").alias("templates"))
     return rows.select("template_id", F.col("n").alias("shingles")), index
 
 
@@ -108,9 +123,9 @@ def scan_licenses(docs: DataFrame, templates: DataFrame, doc_id: str = "doc_id",
     """One row per row: key, and ``found``: array of (template_id, containment) by template.
 
     A template is found if a band of one of its windows equals a band of a window of the document, and at least
-    ``least`` of the template's different shingles stand in the document. A doc window that lies in a copied
-    notice equals a template window, so it collides for certain; one of similarity 0.5 still does with
-    probability 0.996, of 0.8 with 0.999997 (``collision_probability``).
+    ``least`` of the template's different shingles stand in the document. A document window that lies in a copied
+    notice equals a template window, so it collides for certain; one of similarity 0.6 still does with probability
+    0.9993, of 0.8 with 0.999997 (``collision_probability``).
     The index comes from the templates alone; it is broadcast up to ``BROADCAST_TEMPLATE_WORDS`` words of them,
     and joined by shuffle beyond. Null and empty texts have none; repeated rows give repeated rows; templates
     without words match nothing.
@@ -120,24 +135,26 @@ def scan_licenses(docs: DataFrame, templates: DataFrame, doc_id: str = "doc_id",
     base = docs.select(F.col(f"`{doc_id}`").alias("doc_id"), F.coalesce(F.col(f"`{text}`"), F.lit("")).alias("text"))
     base = base.select(text_key(F.col("doc_id"), F.col("text")).alias("key"),
                        F.coalesce(shingle_hashes(plain_words(F.col("text"))), F.array().cast("array<bigint>")).alias("s"))
-    # A single shingle is asked for once, and answers kinds 1 and 3.
-    none = F.array().cast("array<struct<kind:int,value:bigint>>")
+    # Hashes that no template has are dropped where they arise, unless there are too many templates for a hash set;
+    # the join would drop them as well.
+    shingles, bands = (set_values(index.where(test), "value") for test in ("ask = -1", "ask >= 0"))
+    own = F.col("s") if shingles is None else F.filter("s", lambda v: in_set(v, shingles))
+    none = F.array().cast("array<struct<ask:int,value:bigint>>")
     probes = F.concat(
-        F.array(F.struct(F.lit(0).alias("kind"), F.lit(0).cast("bigint").alias("value"))),
-        F.transform(F.array_distinct("s"), lambda v: F.struct(F.lit(1).alias("kind"), v.alias("value"))),
-        F.when(F.size("s") > 0, F.transform(F.array_distinct(band_values(F.col("s"), STEP)), lambda v: F.struct(
-            F.lit(2).alias("kind"), v.alias("value")))).otherwise(none))
-    asked = base.select("key", F.explode(probes).alias("p")).select("key", F.col("p.kind").alias("ask"), "p.value")
-    index = index.select(F.when(F.col("kind") == 3, 1).otherwise(F.col("kind")).alias("ask"), "value", "kind", "templates")
-    index = index.unionByName(templates.sparkSession.sql(
-        "SELECT 0 AS ask, 0L AS value, 0 AS kind, array('') AS templates"))
+        F.array(F.struct(F.lit(-2).alias("ask"), F.lit(0).cast("bigint").alias("value"))),
+        F.transform(F.array_distinct(own), lambda v: F.struct(F.lit(-1).alias("ask"), v.alias("value"))),
+        F.when(F.size("s") > 0, F.transform(band_values(F.col("s"), known=bands), lambda p: F.struct(
+            p["band"].alias("ask"), p["value"].alias("value")))).otherwise(none))
+    # ``ask`` -2 stands for the document itself, so that documents without a hit come through the join.
+    asked = base.select("key", F.explode_outer(probes).alias("p")).select("key", "p.ask", "p.value")
+    index = index.unionByName(templates.sparkSession.sql(ROW))
     small = words <= BROADCAST_TEMPLATE_WORDS
     hits = asked.join(F.broadcast(index) if small else index, ["ask", "value"])
     # One row per (document, template): verified shingles are counted, bands only make it a candidate.
     pairs = hits.select("key", "kind", "value", F.explode("templates").alias("template_id"))
     counted = pairs.groupBy("key", "template_id").agg(
-        F.count_if(F.col("kind") == 0).alias("rows"), F.max(F.col("kind") >= 2).alias("candidate"),
-        F.count_distinct(F.when(F.col("kind") == 1, F.col("value"))).alias("shared"))
+        F.count_if(F.col("kind") == "row").alias("rows"), F.max(F.col("kind") == "window").alias("candidate"),
+        F.size(F.collect_set(F.when(F.col("kind") == "shingle", F.col("value")))).alias("shared"))
     judged = counted.join(F.broadcast(sizes) if small else sizes, "template_id", "left")
     share = F.col("shared") / F.col("shingles")
     found = F.when(F.col("candidate") & (share >= least), F.struct("template_id", share.alias("containment")))

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from gridpulse.functions.skew import salted_join
 from gridpulse.llm.texts import let, space_words
+from gridpulse.session import cut_lineage
 
 SYMBOLS = "#*$%&|<>"
 
@@ -97,7 +98,8 @@ def apply_rules(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", hos
     Documents without a host are judged by their own rules; repeated rows count as often as they stand there;
     an empty table gives an empty one.
     """
-    rules = document_rules(docs, doc_id, text, host)
+    # Texts are read once: the counts are stored for the two passes over them.
+    rules = cut_lineage(document_rules(docs, doc_id, text, host), "quality-rules")
     verdicts = host_verdicts(rules, most=most).select("host", F.col("rate").alias("host_rate"), "rejected")
     joined = salted_join(rules, verdicts, ["host"], "left")
     return joined.withColumn("kept", ~F.col("base_failed") & ~F.coalesce(F.col("rejected"), F.lit(False))).drop("rejected")

@@ -10,12 +10,13 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+SET_VALUES = 100_000                           # numbers in a hash set that travels with the plan, at most
 CHUNK_ROWS, CHUNK_CHARS = 2048, 4_000_000      # what one call of a text function gets at most (or one text)
 
 
 def ascii_lower(text: Column) -> Column:
-    """Lower-case A-Z only."""
-    return F.translate(text, UPPER, LOWER)
+    """Lower-case A-Z only: ``lower`` does just that to a text of ASCII characters, several times faster."""
+    return F.when(F.length(text) == F.octet_length(text), F.lower(text)).otherwise(F.translate(text, UPPER, LOWER))
 
 
 def pieces(text: Column, separators: str) -> Column:
@@ -38,6 +39,17 @@ def let(value: Column, use: Callable[[Column], Column]) -> Column:
     return F.get(F.transform(F.array(value), use), F.lit(0))
 
 
+def set_values(table: DataFrame, column: str, most: int = SET_VALUES) -> list[int] | None:
+    """The different numbers in ``column`` if there are at most ``most`` (counted as they come), else None."""
+    rows = table.select(column).distinct().limit(most + 1).collect()
+    return [r[0] for r in rows] if len(rows) <= most else None
+
+
+def in_set(number: Column, values: list[int]) -> Column:
+    """Whether ``number`` is one of ``values``: a hash set that travels with the plan."""
+    return number.isin(values) if values else F.lit(False)
+
+
 def text_key(doc_id: Column, text: Column) -> Column:
     """What tells rows apart: rows with equal keys have the same id and text, and so the same result."""
     return F.struct(doc_id.alias("doc_id"), F.xxhash64(text).alias("hash"), F.length(text).alias("size"))
