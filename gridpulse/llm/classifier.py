@@ -21,6 +21,7 @@ BUCKETS = 1 << 15
 DIMENSION = 8
 GRAMS = (2, 3, 4)
 EPOCHS, BATCH, RATE = 10, 48, 20.0
+LEAST_STEPS = 800            # a small sample is gone through more often
 REPEAT = "\u21bb"
 SEED = 7
 
@@ -100,8 +101,10 @@ def train(features: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray) ->
     if not len(labels):
         return model
     model.layer = rng.normal(0, 0.5, (DIMENSION, 2))
-    steps, done = EPOCHS * -(-len(labels) // BATCH), 0
-    for _ in range(EPOCHS):
+    batches = -(-len(labels) // BATCH)
+    epochs = max(EPOCHS, -(-LEAST_STEPS // batches))
+    steps, done = epochs * batches, 0
+    for _ in range(epochs):
         order = rng.permutation(len(labels))
         for at in range(0, len(order), BATCH):
             rows = order[at:at + BATCH]

@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 
 from gridpulse.llm.texts import map_texts
 
+DEEPEST = 64                # block elements of a path that are told apart
 SAMPLE_PAGES = 512          # labelled pages that weights are fitted on, at most
 
 # Element names of HTML.
@@ -62,11 +63,12 @@ DEFAULT_TAG, LEAST_WORD, LEAST_TAG = -0.5, 0.1, -0.02
 def tokens(html: str):
     """(kind, text or tag, state) in page order. kind: "text", "open", "close", "break".
 
-    state is a tuple (furniture, link, article): whether the place is in page furniture, in a link, and in an
-    element that marks the article.
+    state is a tuple (furniture, link, article, path): whether the place is in page furniture, in a link, and in an
+    element that marks the article, and the numbers of the block elements around it.
     """
-    stack: list[tuple[str, bool, bool, bool]] = []      # name, furniture, link, article, as they hold inside
-    at, state = 0, (False, False, False)
+    stack: list[tuple] = []         # name and the state inside
+    at, number, outside = 0, 0, (False, False, False, ())
+    state = outside
     for m in TOKENS.finditer(html):
         if m.start() > at:
             yield "text", html[at:m.start()], state
@@ -88,7 +90,7 @@ def tokens(html: str):
                     break
                 if name not in BLOCKS and stack[i][0] in BLOCKS:
                     break
-            state = stack[-1][1:] if stack else (False, False, False)
+            state = stack[-1][1] if stack else outside
             yield "close", name, state
             continue
         if name in CLOSES:
@@ -106,10 +108,10 @@ def tokens(html: str):
                     break
                 if stack[i][0] in BLOCKS:
                     break
-        state = stack[-1][1:] if stack else (False, False, False)
+        state = stack[-1][1] if stack else outside
         rest = m["rest"] or m["rest2"] or ""
         if name not in VOID and not rest.rstrip().endswith("/"):
-            furniture, link, article = state
+            furniture, link, article, path = state
             marks = " ".join(a or b or c for a, b, c in MARKS.findall(rest)) if rest else ""
             hinted = bool(marks) and bool(HINTS.search(marks))
             if name in ("body", "html", "main") or name in TITLES:
@@ -119,9 +121,11 @@ def tokens(html: str):
             elif hinted and CONTENT_HINTS.search(marks) and not re.search(r"comment|sidebar|footer|nav|\bads?\b", marks, re.I):
                 hinted = False
             furniture = furniture or name in FURNITURE or hinted or bool(rest) and bool(HIDDEN.search(rest))
-            article = (article or name in ("article", "main")) and not furniture
-            state = (furniture, link or name == "a", article)
-            stack.append((name, *state))
+            number += 1
+            state = (furniture, link or name == "a", article or name in ("article", "main") and not furniture,
+                     (*path, number) if name in BLOCKS and name not in ("p", "body", "html") and len(path) < DEEPEST
+                     else path)
+            stack.append((name, state))
         yield "open", name, state
     if at < len(html):
         yield "text", html[at:], state
@@ -136,7 +140,7 @@ def label_counts(html: str) -> dict[str, tuple[int, int]]:
     inside, outside, marked = Counter(), Counter(), False
     for kind, what, state in tokens(html):
         marked |= state[2]
-        side = inside if state[2] else outside
+        side = inside if state[2] and not state[0] else outside
         if kind == "text":
             side[_kind(state)] += len(what.split())
         elif kind != "break":
@@ -209,26 +213,26 @@ def best_run(weights: list[float]) -> tuple[int, int]:
 def extract(html: str, weights: dict[str, float]) -> str:
     """The blocks of the best run, one per line: references decoded, white space as one space, trimmed."""
     parts = list(tokens(html))
-    marked = any(state[2] for kind, what, state in parts if kind == "text" and what.strip())
+    # On a page that marks its article, words outside of it are furniture.
+    marked = any(state[2] and not state[0] for kind, what, state in parts if kind == "text" and what.strip())
+    out = [state[0] or marked and not state[2] for _, _, state in parts]
     scores = []
-    for kind, what, state in parts:
+    for (kind, what, state), left in zip(parts, out):
         if kind == "text":
-            words = len(what.split())
-            # On a page that marks its article, words outside of it are furniture.
-            scores.append(words * weights[OTHER if marked and not state[2] else _kind(state)
-                                          if not (marked and state[2] and not state[0]) else WORD])
-        else:
-            scores.append(0.0 if kind == "break" else weights.get(what, DEFAULT_TAG) * (0.1 if marked and state[2] else 1))
+            scores.append(len(what.split()) * weights[OTHER if left else WORD if marked else _kind(state)])
+        else:       # tags count less in an article, which may hold lists and tables, and in what is left out
+            scores.append(0.0 if kind == "break" else weights.get(what, DEFAULT_TAG) * (0.1 if left or marked else 1))
     start, end = best_run(scores)
-    while end < len(parts) and parts[end][0] == "text" and not parts[end][2][0] and not marked:
-        end += 1
-    if marked:          # the run of an article's words reaches over all its blocks
-        inside = [i for i in range(start, end) if parts[i][2][2]]
-        if inside:
-            while start > 0 and parts[start - 1][2][2]:
-                start -= 1
-            while end < len(parts) and parts[end][2][2]:
-                end += 1
+    # The run stands for the element that holds all its words: short blocks at its ends belong to it too.
+    paths = [parts[i][2][3] for i in range(start, end) if parts[i][0] == "text" and not out[i] and parts[i][1].strip()]
+    if paths:
+        first, last = min(paths), max(paths)
+        depth = next((k for k, (a, b) in enumerate(zip(first, last)) if a != b), min(len(first), len(last)))
+        around = first[:depth]
+        while start > 0 and around and parts[start - 1][2][3][:depth] == around:
+            start -= 1
+        while end < len(parts) and around and parts[end][2][3][:depth] == around:
+            end += 1
     blocks, line = [], []
 
     def flush():
