@@ -5,7 +5,7 @@ from __future__ import annotations
 import re
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 EARTH_RADIUS_KM = 6371.0
@@ -109,8 +109,15 @@ def parse_date(c: Column | str, fmt: str | None = None) -> Column:
 
 
 def micros(c: Column | str) -> Column:
-    """Microseconds since 1970 (session time zone must be UTC for zone-free timestamps)."""
-    return F.unix_micros(as_column(c).cast("timestamp"))
+    """Microseconds since 1970 on the clock that the timestamp shows, whatever the session's time zone.
+
+    Through a time zone, hours that its clocks skip or repeat would change distances.
+    """
+    spark = SparkSession.getActiveSession()
+    if spark is None or spark.conf.get("spark.sql.session.timeZone") in ("UTC", "Etc/UTC", "GMT", "Z"):
+        return F.unix_micros(as_column(c).cast("timestamp"))
+    since = as_column(c).cast("timestamp_ntz") - F.expr("TIMESTAMP_NTZ'1970-01-01 00:00:00'")
+    return (since.cast("decimal(20,6)") * 1_000_000).cast("long")
 
 
 def minutes_between(start: Column | str, end: Column | str) -> Column:

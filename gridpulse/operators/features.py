@@ -65,10 +65,14 @@ def day_features(df: DataFrame, date: str = "date") -> DataFrame:
         "is_weekend": (weekday(date) >= 5).cast("int")})
 
 
-def categories_of(df: DataFrame, column: str, limit: int = 1000) -> list[str]:
-    """The category list to fit one-hot columns on; refuses more than ``limit`` of them."""
-    found = df.select(F.coalesce(column, F.lit("None")).alias("c")).distinct().limit(limit + 1).collect()
-    if len(found) > limit:
+def categories_of(df: DataFrame, column: str, limit: int | None = None) -> list[str]:
+    """The category list to fit one-hot columns on: every category becomes a column, so all come to the driver.
+
+    A caller that wants a column of free text refused passes ``limit``, the most categories it accepts.
+    """
+    found = df.select(F.coalesce(column, F.lit("None")).alias("c")).distinct()
+    found = (found if limit is None else found.limit(limit + 1)).collect()
+    if limit is not None and len(found) > limit:
         raise ValueError(f"{column} has more than {limit} categories")
     return sorted(r.c for r in found)
 

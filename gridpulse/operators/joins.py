@@ -127,36 +127,29 @@ def interval_flag(rows: DataFrame, intervals: DataFrame, ts: str = "run_start_ti
 def nearest(points: DataFrame, centers: DataFrame, point_id: str, center_id: str,
             lat: str = "lat", lon: str = "lon", center_lat: str = "lat", center_lon: str = "lon",
             chunk: int = 4096) -> DataFrame:
-    """Adds the closest center's id and ``dist_km`` to each point; equal distances: lowest id.
+    """Adds the closest center's id and ``dist_km`` to each point; equal distances: lowest id; null without a place.
 
-    Centers are packed into arrays of about ``chunk`` entries and each point takes the minimum of an
-    array, so no point-center pair becomes a row. Up to ``chunk`` centers travel as one literal
-    array; more of them form several arrays, joined on the array's number and reduced per point.
+    Centers are packed into arrays of about ``chunk`` entries, one column each, and a point takes the least of the
+    arrays' minima: the same for any number of centers. No point-center pair becomes a row, and points are neither
+    shuffled nor identified, so repeated and null ids keep their own result. The centers reach every task; the work
+    is points times centers, as for any exact search without an index.
     """
     packs = math.ceil(max(1, centers.count()) / chunk)
     places = centers.select(
         F.col(center_id).alias("_id"), F.col(center_lat).cast("double").alias("_lat"),
-        F.col(center_lon).cast("double").alias("_lon"))
-    entry = F.struct("_id", "_lat", "_lon")
-
-    def closest(pack: str) -> Column:
-        return F.array_min(F.transform(F.col(pack), lambda c: F.struct(
-            haversine_km(F.col(lat), F.col(lon), c["_lat"], c["_lon"]).alias("d"),
-            c["_id"].alias("id"))))
-
-    if packs == 1:
-        pack = places.agg(F.collect_list(entry)).scalar()
-        found = points.withColumn("_pack", pack).withColumn("_best", closest("_pack")).drop("_pack")
-    else:
-        packed = places.groupBy(F.pmod(F.xxhash64("_id"), F.lit(packs)).cast("int").alias("_no")).agg(
-            F.collect_list(entry).alias("_pack"))
-        asked = points.select(point_id, lat, lon).withColumn(
-            "_no", F.explode(F.sequence(F.lit(0), F.lit(packs - 1))))
-        best = asked.join(packed, "_no").select(point_id, closest("_pack").alias("_b")).groupBy(
-            point_id).agg(F.min("_b").alias("_best"))
-        found = points.join(best, point_id, "left")
+        F.col(center_lon).cast("double").alias("_lon")).where("_lat IS NOT NULL AND _lon IS NOT NULL")
+    number = F.pmod(F.xxhash64("_id", "_lat", "_lon"), F.lit(packs))
+    found, best = points, []
+    for k in range(packs):
+        pack = places.where(number == k).agg(F.collect_list(F.struct("_id", "_lat", "_lon"))).scalar()
+        found = found.withColumn(f"_pack{k}", pack)
+        best.append(F.array_min(F.transform(F.col(f"_pack{k}"), lambda c: F.struct(
+            haversine_km(F.col(lat), F.col(lon), c["_lat"], c["_lon"]).alias("d"), c["_id"].alias("id")))))
+    placed = F.col(lat).isNotNull() & F.col(lon).isNotNull()
+    found = found.withColumn("_best", F.when(placed, F.least(*best) if packs > 1 else best[0]))
     return found.withColumns({
-        f"nearest_{center_id}": F.col("_best.id"), "dist_km": F.col("_best.d")}).drop("_best")
+        f"nearest_{center_id}": F.col("_best.id"), "dist_km": F.col("_best.d")}).drop(
+        "_best", *[f"_pack{k}" for k in range(packs)])
 
 
 def map_stations(stations: DataFrame, counties: DataFrame) -> DataFrame:

@@ -27,7 +27,7 @@ ELEMENTS = {
 def occurrence_labels(snapshots: DataFrame, entity: str = "fips_code", ts: str = "run_start_time",
                       value: str = "customers_affected", min_customers: float = 100) -> DataFrame:
     require_columns(snapshots, [entity, ts, value])
-    daily = (snapshots.where(F.col(ts).isNotNull()).groupBy(entity, F.to_date(ts).alias("date"))
+    daily = (snapshots.where(F.col(ts).isNotNull() & F.col(entity).isNotNull()).groupBy(entity, F.to_date(ts).alias("date"))
              .agg(F.max(value).alias("max_customers_affected")))
     return daily.withColumn(
         "outage_occurred",

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
@@ -17,24 +18,34 @@ CARRIED = ("county", "state", "prcp_mm", "tmax_c", "tmin_c", "awnd_ms", "wsfg_ms
 DAY_OF_SNAPSHOTS = 96
 
 
+def _ties(df: DataFrame, tiebreak: Sequence[str] | None, known: Sequence[str]) -> list[str]:
+    """What orders rows of equal time: the given columns, else all others that have an order."""
+    if tiebreak is not None:
+        return list(tiebreak)
+    return [f.name for f in df.schema if f.name not in known and not re.search(
+        "map<|variant|interval", f.dataType.simpleString())]
+
+
 def gap_to_previous(df: DataFrame, entity: str = "fips_code", ts: str = "run_start_time",
-                    tiebreak: Sequence[str] = (), bucket_minutes: float | None = 1440,
+                    tiebreak: Sequence[str] | None = None, bucket_minutes: float | None = 1440,
                     time_bins: int | None = None, name: str = "gap_minutes") -> DataFrame:
-    """Minutes since the entity's previous row, null on its first row."""
-    rows = time_buckets(df.where(F.col(ts).isNotNull()).withColumn("_us", micros(ts)), bucket_minutes, time_bins)
+    """Minutes since the entity's previous row, null on its first row. Rows without entity or time go."""
+    tiebreak = _ties(df, tiebreak, [entity, ts])
+    rows = time_buckets(df.where(F.col(ts).isNotNull() & F.col(entity).isNotNull()).withColumn("_us", micros(ts)), bucket_minutes, time_bins)
     rows = time_carry(rows, entity, tiebreak, [ts])
     return rows.withColumn(name, minutes_between(f"prev_{ts}", ts)).drop(
         f"prev_{ts}", "_us", "_bucket")
 
 
 def island_ids(df: DataFrame, entity: str = "fips_code", ts: str = "run_start_time",
-               value: str = "customers_affected", tiebreak: Sequence[str] = (),
+               value: str = "customers_affected", tiebreak: Sequence[str] | None = None,
                snapshot_minutes: float = 15, gap_multiplier: float = 2,
                bucket_minutes: float | None = None, time_bins: int | None = None,
                name: str = "block") -> DataFrame:
     """Number each entity's runs of equal on/off state, broken by long gaps, from 1."""
     limit = gap_multiplier * snapshot_minutes
-    rows = df.where(F.col(ts).isNotNull()).withColumns({
+    tiebreak = _ties(df, tiebreak, [entity, ts])
+    rows = df.where(F.col(ts).isNotNull() & F.col(entity).isNotNull()).withColumns({
         "is_outage": F.coalesce(F.col(value) > 0, F.lit(False)), "_us": micros(ts)})
     rows = time_buckets(rows, bucket_minutes or DAY_OF_SNAPSHOTS * snapshot_minutes, time_bins)
     rows = time_carry(rows, entity, tiebreak, [ts, "is_outage"])
@@ -55,7 +66,7 @@ def island_ids(df: DataFrame, entity: str = "fips_code", ts: str = "run_start_ti
 
 def sessionize(df: DataFrame, entity: str = "fips_code", ts: str = "run_start_time",
                value: str = "customers_affected", snapshot_minutes: float = 15,
-               gap_multiplier: float = 2, tiebreak: Sequence[str] = (),
+               gap_multiplier: float = 2, tiebreak: Sequence[str] | None = None,
                carried: Sequence[str] | None = None, event_type: str = "event_type",
                magnitude: str = "magnitude", bucket_minutes: float | None = None,
               time_bins: int | None = None) -> DataFrame:
@@ -89,13 +100,15 @@ def _first_known(column: str, order: str) -> Column:
 
 def snapshot_runs(df: DataFrame, entity: str = "fips_code", ts: str = "run_start_time",
                   value: str = "customers_affected", snapshot_minutes: float = 15,
-                  gap_multiplier: float = 2, tiebreak: Sequence[str] = (),
+                  gap_multiplier: float = 2, tiebreak: Sequence[str] | None = None,
                   carried: Sequence[str] | None = None, event_type: str = "event_type",
                   magnitude: str = "magnitude", bucket_minutes: float | None = None,
                   time_bins: int | None = None) -> DataFrame:
     """Runs of equal state inside each (entity, time bucket), summed up. One shuffle of the rows.
 
-    Off runs stay only at bucket edges, where they decide what the neighbour bucket continues.
+    Off runs stay only at bucket edges, where they decide what the neighbour bucket continues. Rows of equal time
+    are ordered by ``tiebreak``, by default all columns that an event takes a value from, so the result does not
+    depend on the order of the input. Rows without entity or time are in no run.
     """
     require_columns(df, [entity, ts, value])
     gap_us = F.lit(int(gap_multiplier * snapshot_minutes * 60_000_000))
@@ -103,8 +116,10 @@ def snapshot_runs(df: DataFrame, entity: str = "fips_code", ts: str = "run_start
     first_of = [c for c in (CARRIED if carried is None else carried) if c in df.columns]
     if has_type:
         first_of.append(event_type)
+    if tiebreak is None:
+        tiebreak = [value, *first_of, *([magnitude] if has_size else [])]
     ties = [f"_tie{i}" for i in range(len(tiebreak))]
-    rows = df.where(F.col(ts).isNotNull()).select(
+    rows = df.where(F.col(ts).isNotNull() & F.col(entity).isNotNull()).select(
         F.col(entity), F.col(ts).alias("_ts"), F.col(value).alias("_v"), micros(ts).alias("_us"),
         F.coalesce(F.col(value) > 0, F.lit(False)).alias("_on"),
         *[F.col(t).alias(name) for t, name in zip(tiebreak, ties)], *[F.col(c) for c in first_of],

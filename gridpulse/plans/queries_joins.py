@@ -125,11 +125,12 @@ USNAP = """usnap AS (SELECT event_id, lpad(CAST(user_id AS VARCHAR), 5, '0') AS
   ts AS run_start_time, value FROM events)"""
 
 
-@query("jn3_join_daily_weather", f"WITH {DAILY}, {USNAP}, part AS (SELECT * FROM daily WHERE wt_thunder = 1) "
+@query("jn3_join_daily_weather", f"WITH {DAILY}, {USNAP}, part AS (SELECT * REPLACE (date + 1 AS date) FROM daily) "
        "SELECT event_id, prcp_mm, tmax_c, wt_thunder FROM usnap LEFT JOIN part ON usnap.fips_code = part.fips_code "
        "AND CAST(run_start_time AS DATE) = part.date")
 def _(spark, sf):
-    daily = daily_panel(spark, sf).where("wt_thunder = 1")
+    # The weather of the day before: a day after one without readings finds none.
+    daily = daily_panel(spark, sf).withColumn("date", F.date_add("date", 1))
     return J.join_daily(user_snapshots(spark, sf), daily).select("event_id", "prcp_mm", "tmax_c", "wt_thunder")
 
 
@@ -159,11 +160,11 @@ def _(spark, sf):
     return J.interval_flag(rows, spans).select("event_id", "storm_event", "outage_occurred")
 
 
-@query("jn7_join_on_date", f"WITH dd AS (SELECT CAST(ts AS DATE) AS date, event_type AS station, max(value) AS prcp_mm FROM events WHERE value > 100 GROUP BY 1, 2), {USNAP} "
+@query("jn7_join_on_date", f"WITH dd AS (SELECT CAST(ts AS DATE) AS date, event_type AS station, max(value) AS prcp_mm FROM events GROUP BY 1, 2), {USNAP} "
        "SELECT event_id, station, prcp_mm FROM usnap LEFT JOIN dd ON CAST(run_start_time AS DATE) = date")
 def _(spark, sf):
     # One station per event type, so a day has up to five rows.
-    daily = events(spark, sf).where("value > 100").groupBy(F.to_date("ts").alias("date"), F.col("event_type").alias("station")).agg(
+    daily = events(spark, sf).groupBy(F.to_date("ts").alias("date"), F.col("event_type").alias("station")).agg(
         F.max("value").alias("prcp_mm"))
     return J.join_on_date(user_snapshots(spark, sf), daily).select("event_id", "station", "prcp_mm")
 

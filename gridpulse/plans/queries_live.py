@@ -75,11 +75,11 @@ def _(spark, sf):
 # -- forecast days ------------------------------------------------------------------------------
 
 def hourly_arrays(spark, sf):
-    """Per user three days of 24 hourly readings: the mean of its events with that code, null if none.
+    """Per user three days of 24 hourly readings: the largest value of its events of that hour, null if none.
 
-    Codes 0-71 name the hours, so every user yields arrays of 72 entries from its own events.
+    Codes modulo 72 name the hours, so every user yields arrays of 72 entries from all its events.
     """
-    e = events(spark, sf).where("code < 72")
+    e = events(spark, sf).withColumn("code", F.col("code") % 72)
     cells = e.groupBy("user_id", "code").agg(F.round(F.max("value"), 2).alias("v"))
     m = cells.groupBy("user_id").agg(F.map_from_entries(F.collect_list(F.struct("code", "v"))).alias("m"))
     hours = F.sequence(F.lit(0), F.lit(71))
@@ -99,8 +99,8 @@ def hourly_arrays(spark, sf):
 
 
 _F = {f: " OR ".join(f"c = {x}" for x in codes) for f, codes in CODE_FLAGS.items()}
-FORECAST = f"""cells AS (SELECT user_id, k, max(value) AS v FROM (SELECT *, CAST(regexp_extract(props, '([0-9]+)', 1) AS INT) AS k FROM events)
-  WHERE k < 72 GROUP BY 1, 2),
+FORECAST = f"""cells AS (SELECT user_id, k, max(value) AS v FROM (SELECT *, CAST(regexp_extract(props, '([0-9]+)', 1) AS INT) % 72 AS k FROM events)
+  GROUP BY 1, 2),
 users AS (SELECT DISTINCT user_id FROM cells),
 grid AS (SELECT users.user_id, h.h, coalesce(v, 0) AS v, CAST(floor(coalesce(v, 0) / 5) AS INT) AS c
   FROM users CROSS JOIN (SELECT unnest(range(0, 72)) AS h) h LEFT JOIN cells ON cells.user_id = users.user_id AND cells.k = h.h),
@@ -215,14 +215,14 @@ def _(spark, sf):
 # -- contributions on given numbers -------------------------------------------------------------
 
 def given_contributions(spark, sf):
-    """Fixed stand-ins for contributions: the first eight embedding entries per vector."""
+    """Fixed stand-ins for contributions: the embedding entries of each vector."""
     e = table(spark, sf, "embeddings")
-    return e.select("vec_id", "label", F.posexplode(F.slice("embedding", 1, 8)).alias("i", "x")).select(
+    return e.select("vec_id", "label", F.posexplode("embedding").alias("i", "x")).select(
         "vec_id", "label", F.concat(F.lit("f"), F.col("i").cast("string")).alias("name"), F.col("x").cast("double").alias("shap"))
 
 
 CONTRIB = """con AS (SELECT vec_id, label, 'f' || CAST(i - 1 AS VARCHAR) AS name, CAST(embedding[i] AS DOUBLE) AS shap
-  FROM embeddings, (SELECT unnest(range(1, 9)) AS i))"""
+  FROM embeddings, (SELECT unnest(range(1, 65)) AS i))"""
 
 
 @query("top4_top_contributions", f"WITH {CONTRIB} SELECT vec_id, name, shap, CAST(p AS INT) AS place FROM (SELECT *, row_number() OVER (PARTITION BY vec_id ORDER BY abs(shap) DESC, name) AS p FROM con) WHERE p <= 3")

@@ -204,8 +204,8 @@ def _(spark, sf):
     return rounded(M.regression_metrics(M.true_routing(routed(spark, sf), LONG_MINUTES)), 6)
 
 
-CASC = f"""{ROUTED}, occ AS (SELECT fips_code, CAST(ts AS DATE) AS date, max(CAST(e.value > 120 AS INT)) AS op FROM
-  (SELECT *, lpad(CAST(user_id AS VARCHAR), 5, '0') AS fips_code FROM events) e WHERE event_type <> 'click' GROUP BY 1, 2),
+CASC = f"""{ROUTED}, occ AS (SELECT fips_code, CAST(ts AS DATE) + 1 AS date, max(CAST(e.value > 120 AS INT)) AS op FROM
+  (SELECT *, lpad(CAST(user_id AS VARCHAR), 5, '0') AS fips_code FROM events) e GROUP BY 1, 2),
 casc AS (SELECT routed.fips_code, start_time, t, CASE WHEN op = 1 THEN sp ELSE 0 END AS p, coalesce(op, 0) AS op FROM routed LEFT JOIN occ
   ON occ.fips_code = routed.fips_code AND occ.date = CAST(start_time AS DATE))"""
 
@@ -213,7 +213,8 @@ casc AS (SELECT routed.fips_code, start_time, t, CASE WHEN op = 1 THEN sp ELSE 0
 def cascade(spark, sf):
     from gridpulse.functions.columns import zfill
     from gridpulse.operators.features import temporal_features
-    e = temporal_features(table(spark, sf, "events").where("event_type <> 'click'"), "ts")
+    # What the day before predicted: a day after one without events has no prediction.
+    e = temporal_features(table(spark, sf, "events").withColumn("ts", F.col("ts") + F.expr("INTERVAL 1 DAY")), "ts")
     occ = e.select(zfill("user_id", 5).alias("fips_code"), "year", "month", "day", (F.col("value") > 120).cast("int").alias("occ_pred"))
     ev = temporal_features(routed(spark, sf).withColumn("prediction", F.col("short_pred")), "start_time")
     return M.cascade_join(ev, occ)

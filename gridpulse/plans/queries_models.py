@@ -308,7 +308,7 @@ def _(spark, sf):
 
 
 def _score_live(weather, stats, geo, occ, scope, duration, changes):
-    return live_scoring(weather, changes, stats, geo, occ, scope, duration)
+    return live_scoring(weather, changes, stats, geo, occ, scope, duration, per="poll_no")
 
 
 @query("str2_forecast_refresh")

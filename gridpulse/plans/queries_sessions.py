@@ -195,15 +195,15 @@ def _(spark, sf):
         "event_id", F.round("delta_customers_affected_15m", 6).alias("delta"), F.round("pct_growth_15m", 6).alias("pct"))
 
 
-@query("jn5_join_entity_stats", f"WITH {SESS}, {GOOD}, {STATS}, part_stats AS (SELECT * FROM stats WHERE county_long_rate > 0.25) "
+@query("jn5_join_entity_stats", f"WITH {SESS}, {GOOD}, {STATS}, part_stats AS (SELECT * REPLACE (lpad(CAST(CAST(fips_code AS INT) + 7 AS VARCHAR), 5, '0') AS fips_code) FROM stats) "
        "SELECT fips_code, start_time, " + ", ".join(f"round(coalesce({c}, 0), 9) AS {c}" for c in (*DUR_COLS, *SCOPE_COLS)) +
        " FROM sess LEFT JOIN part_stats USING (fips_code)")
 def _(spark, sf):
     from gridpulse.operators.joins import join_stats
     s = cut_lineage(sessions(spark, sf), "events")
     stats = S.entity_stats(S.valid_durations(s), long_minutes=LONG_MINUTES, large=LARGE)
-    stats = stats.where("county_long_rate > 0.25").withColumn(
-        "fips_code", F.col("fips_code").cast("int").cast("string"))
+    # Statistics of the entity seven numbers on, as unpadded text: the first ones find none.
+    stats = stats.withColumn("fips_code", (F.col("fips_code").cast("int") + 7).cast("string"))
     return rounded(join_stats(s, stats).select(*KEY, *DUR_COLS, *SCOPE_COLS))
 
 

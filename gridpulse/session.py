@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -32,21 +33,42 @@ def build_session(app: str = "gridpulse", master: str | None = None, **conf) ->
 def shared_dir(spark: SparkSession) -> str:
     """The folder all executors can read, taken from ``spark.checkpoint.dir``.
 
-    Only a local-mode session that names no folder gets a fresh temporary one.
+    Only a session on this one machine that names no folder gets a fresh temporary one.
     """
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if found:
         return found.rstrip("/")
-    if not spark.sparkContext.master.startswith("local"):
+    if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
         raise RuntimeError("set spark.checkpoint.dir to a folder shared by the cluster")
     made = tempfile.mkdtemp(prefix="gridpulse-")
     spark.sparkContext.setCheckpointDir(made)
     return made
 
 
+_MADE: list[str] = []         # stage tables of this driver, until removed
+
+
 def scratch_path(spark: SparkSession, name: str) -> str:
-    """A path nobody has used yet inside the shared folder."""
-    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    """A path nobody has used yet inside the shared folder; ``clean_scratch`` removes what is written there."""
+    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    _MADE.append(path)
+    return path
+
+
+def drop_path(spark: SparkSession, path: str) -> None:
+    """Remove a stage table that no frame reads any more."""
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
+    if path in _MADE:
+        _MADE.remove(path)
+
+
+def clean_scratch(spark: SparkSession) -> int:
+    """Remove all stage tables this driver has made; returns their number. Call it when results are written."""
+    made = list(_MADE)
+    for path in made:
+        drop_path(spark, path)
+    return len(made)
 
 
 def cut_lineage(df: DataFrame, name: str = "stage") -> DataFrame:

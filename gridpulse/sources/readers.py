@@ -32,12 +32,45 @@ def _strings(names: Sequence[str]) -> T.StructType:
     return T.StructType([T.StructField(n, T.StringType()) for n in names])
 
 
+def files_by_header(spark: SparkSession, paths: Sequence[str]) -> dict[str, list[str]]:
+    """Header line to the files that begin with it. Files, folders and globs; only first lines are read here."""
+    hadoop, conf = spark._jvm.org.apache.hadoop, spark._jsc.hadoopConfiguration()
+    codecs = hadoop.io.compress.CompressionCodecFactory(conf)
+    found: dict[str, list[str]] = {}
+
+    def visit(fs, status) -> None:
+        path = status.getPath()
+        if path.getName().startswith(("_", ".")):
+            return
+        if status.isDirectory():
+            for inner in fs.listStatus(path):
+                visit(fs, inner)
+            return
+        stream, codec = fs.open(path), codecs.getCodec(path)
+        lines = spark._jvm.java.io.BufferedReader(spark._jvm.java.io.InputStreamReader(
+            codec.createInputStream(stream) if codec else stream, "UTF-8"))
+        header = lines.readLine()
+        lines.close()
+        if header is not None:
+            found.setdefault(header, []).append(path.toString())
+
+    for given in paths:
+        path = hadoop.fs.Path(given)
+        fs = path.getFileSystem(conf)
+        for status in sorted(fs.globStatus(path) or [], key=lambda s: s.getPath().toString()):
+            visit(fs, status)
+    return found
+
+
 def read_delimited(spark: SparkSession, paths: Paths, sep: str = ",") -> DataFrame:
-    """Header files with all columns as text; files with other columns in other places line up by name."""
+    """Header files with all columns as text, each read by its own header.
+
+    Files with the same header are one scan; columns of the others line up by name, missing ones are null.
+    """
     many = [paths] if isinstance(paths, str) else list(paths)
-    frames = [spark.read.option("header", True).option("sep", sep).option("inferSchema", False).csv(p)
-              for p in many]
-    return union_years(frames)
+    reader = spark.read.option("header", True).option("sep", sep).option("inferSchema", False)
+    layouts = files_by_header(spark, many)
+    return union_years([reader.csv(files) for files in layouts.values()]) if layouts else reader.csv(many)
 
 
 def in_state(column: str, spelling: str, exact: bool = False) -> Column:
