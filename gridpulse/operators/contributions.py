@@ -140,8 +140,8 @@ def tree_explainer(spark, model, features: Sequence[str]) -> Explainer:
     return Explainer(list(features), base, games)
 
 
-def explain(df: DataFrame, explainer: Explainer, keys: Sequence[str]) -> DataFrame:
-    """Long form: keys, ``base_value``, ``name``, ``value``, ``shap``."""
+def _explained(df: DataFrame, explainer: Explainer, keys: Sequence[str]) -> DataFrame:
+    """Keys, ``base_value`` and one array of (name, value, shap) per row."""
     width = len(explainer.features)
 
     @F.pandas_udf(T.ArrayType(T.DoubleType()))
@@ -153,11 +153,25 @@ def explain(df: DataFrame, explainer: Explainer, keys: Sequence[str]) -> DataFra
                        for c in explainer.features])
     rows = df.select(*[quoted(k) for k in keys], inputs.alias("_x")).withColumn("_s", shap("_x"))
     names = F.array(*[F.lit(c) for c in explainer.features])
-    each = F.explode(F.arrays_zip(names.alias("name"), F.col("_x").alias("value"), F.col("_s").alias("shap")))
-    return rows.select(*keys, F.lit(float(explainer.base)).alias("base_value"), each.alias("e")).select(
+    items = F.arrays_zip(names.alias("name"), F.col("_x").alias("value"), F.col("_s").alias("shap"))
+    return rows.select(*keys, F.lit(float(explainer.base)).alias("base_value"), items.alias("_items"))
+
+
+def explain(df: DataFrame, explainer: Explainer, keys: Sequence[str]) -> DataFrame:
+    """Long form: keys, ``base_value``, ``name``, ``value``, ``shap``."""
+    return _explained(df, explainer, keys).select(*keys, "base_value", F.explode("_items").alias("e")).select(
         *keys, "base_value", F.col("e.name").alias("name"), F.col("e.value").alias("value"), F.col("e.shap").alias("shap"))
 
 
+def explain_top(df: DataFrame, explainer: Explainer, keys: Sequence[str], n: int = 10) -> DataFrame:
+    """One record per row: rounded base value and its ``n`` largest (name, value, shap), sorted where the row lies."""
+    ranked = F.array_sort(F.transform("_items", lambda i: F.struct(
+        (-F.abs(i["shap"])).alias("order"), i["name"].alias("name"), i["value"].alias("value"), i["shap"].alias("shap"))))
+    return _explained(df, explainer, keys).select(*keys, F.round("base_value", 4).alias("base_value"), F.transform(
+        F.slice(ranked, 1, n), lambda i: F.struct(i["name"].alias("name"), F.round(i["value"], 3).alias("value"),
+                                                  F.round(i["shap"], 4).alias("shap"))).alias("features"))
+
+
 def linear_contributions(df: DataFrame, model, features: Sequence[str], keys: Sequence[str]) -> DataFrame:
     """Logistic model: coefficient times distance from the mean, in margin units."""
     coefficients = [float(c) for c in model.coefficients.toArray()]
@@ -179,13 +193,3 @@ def background_sample(df: DataFrame, keys: Sequence[str], n: int = 1000, seed: i
     """At most ``n`` rows for an explanation plot, chosen by key hash."""
     from gridpulse.operators.features import export_sample
     return export_sample(df, keys, n, seed)
-
-
-def explanation_records(top: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """One row per key: rounded base value and the ranked (name, value, shap) list."""
-    item = F.struct(F.col("place"), "name", F.round("value", 3).alias("value"), F.round("shap", 4).alias("shap"))
-    packed = top.groupBy(*keys).agg(F.round(F.first("base_value"), 4).alias("base_value"),
-                                    F.sort_array(F.collect_list(item)).alias("_items"))
-    return packed.select(*keys, "base_value", F.transform(
-        "_items", lambda i: F.struct(i["name"].alias("name"), i["value"].alias("value"), i["shap"].alias("shap"))
-    ).alias("features"))

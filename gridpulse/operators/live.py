@@ -109,12 +109,19 @@ def attach_live(events: DataFrame, live: DataFrame, keys: Sequence[str] = ("fips
 
 # -- anomalies ----------------------------------------------------------------------------------
 
-def cross_section_zscore(rows: DataFrame, run: str, columns: Sequence[str] = ZSCORE_COLUMNS,
+def cross_section_zscore(rows: DataFrame, run: str | None, columns: Sequence[str] = ZSCORE_COLUMNS,
                          limit: float = 4.0, salts: int = 16, name: str = "zscore_flag") -> DataFrame:
-    """Flags rows further than ``limit`` sample deviations from their run's mean in any column."""
-    stats = rows.groupBy(run).agg(*[f for c in columns for f in (
-        F.avg(c).alias(f"_m_{c}"), F.stddev_samp(c).alias(f"_s_{c}"))])
-    joined = salted_join(rows, stats, [run], "left", salts)
+    """Flags rows further than ``limit`` sample deviations from their run's mean in any column.
+
+    Without ``run`` all rows are one run, whose moments need no join.
+    """
+    moments = [f for c in columns for f in (F.avg(c).alias(f"_m_{c}"), F.stddev_samp(c).alias(f"_s_{c}"))]
+    if run is None:
+        one = rows.agg(*moments)
+        held = rows.withColumn("_moments", one.select(F.struct(*one.columns)).scalar())
+        joined = held.withColumns({c: F.col("_moments")[c] for c in one.columns}).drop("_moments")
+    else:
+        joined = salted_join(rows, rows.groupBy(run).agg(*moments), [run], "left", salts)
     far = F.lit(False)
     for c in columns:
         std = F.col(f"_s_{c}")
@@ -123,7 +130,7 @@ def cross_section_zscore(rows: DataFrame, run: str, columns: Sequence[str] = ZSC
     return joined.withColumn(name, far).drop(*[f"_{k}_{c}" for c in columns for k in "ms"])
 
 
-def statistical_anomaly(rows: DataFrame, run: str, limit: float = 4.0, salts: int = 16) -> DataFrame:
+def statistical_anomaly(rows: DataFrame, run: str | None, limit: float = 4.0, salts: int = 16) -> DataFrame:
     """Physically impossible or far from the run's other entities."""
     flagged = cross_section_zscore(rows, run, limit=limit, salts=salts, name="_z")
     bad = F.coalesce(outside_physical_bounds(), F.lit(False))
