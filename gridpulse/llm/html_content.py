@@ -40,6 +40,7 @@ HINTS = re.compile(
     r"topbar|footer|foot|copyright|comment\w*|disqus|respond|reply|replies|related|recommend\w*|share|sharing|social|"
     r"newsletter|subscribe\w*|signup|login|search|pagination|pager|toolbar|skip|complementary|contentinfo|hidden|"
     r"print-only|sr-only)(?=$|[\s_\-])", re.I)
+WITHOUT = re.compile(r"\b(?:with|has|no|without|left|right)[_\-]\w+", re.I)      # says what stands beside the element
 CONTENT_HINTS = re.compile(r"(?:^|[\s_\-])(?:article|content|post|entry|story|main|body|text)(?=$|[\s_\-])", re.I)
 
 TOKENS = re.compile(
@@ -113,6 +114,7 @@ def tokens(html: str):
         if name not in VOID and not rest.rstrip().endswith("/"):
             furniture, link, article, path = state
             marks = " ".join(a or b or c for a, b, c in MARKS.findall(rest)) if rest else ""
+            marks = WITHOUT.sub(" ", marks)
             hinted = bool(marks) and bool(HINTS.search(marks))
             if name in ("body", "html", "main") or name in TITLES:
                 hinted = False

@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gridpulse.llm.texts import map_texts
-from gridpulse.session import cut_lineage
+from gridpulse.session import cut_lineage, drop_path, scratch_path
 
 RADIUS = 2
 SHINGLE = 3
@@ -184,9 +184,18 @@ def components(links: DataFrame, most_rounds: int = 60) -> DataFrame:
     written to the shared folder; rounds end when links no longer change. Nothing but two numbers per round comes
     to the driver.
     """
-    edges = cut_lineage(links.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
-                        .where("a <> b").distinct(), "component-links")
-    state = None
+    spark, path, state = links.sparkSession, None, None
+
+    def store(frame: DataFrame) -> DataFrame:
+        """Write the new links, then remove the ones they came from."""
+        nonlocal path
+        old, path = path, scratch_path(spark, "component-links")
+        frame.write.parquet(path)
+        if old:
+            drop_path(spark, old)
+        return spark.read.schema("a long, b long").parquet(path)
+
+    edges = store(links.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b").distinct())
     for _ in range(most_rounds):
         now = edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if now[0] == 0 or tuple(now) == state:
@@ -200,7 +209,7 @@ def components(links: DataFrame, most_rounds: int = 60) -> DataFrame:
         small = large.join(least, "a")
         small = small.select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b") \
             .unionByName(least.select("a", F.col("m").alias("b")))
-        edges = cut_lineage(small.distinct(), "component-links")
+        edges = store(small.distinct())
     else:
         raise RuntimeError("components did not settle")
     return edges.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("root"))
