@@ -21,6 +21,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gridpulse.functions.columns import exp_prediction
+from gridpulse.functions.skew import group_quantiles
 from gridpulse.operators.features import quoted, random_split, split_share, valid_targets
 from gridpulse.operators.metrics import (DURATION_GRID, SCOPE_GRID, route_hard, route_soft,
                                          tune_threshold_balanced, tune_threshold_f2)
@@ -196,25 +197,34 @@ def _load_meta(spark: SparkSession, path: str) -> dict:
     return json.loads(spark.read.text(f"{path}/meta").first().value)
 
 
+def _fit_stopping(learner, rows: DataFrame):
+    """Fit with early stopping on the rows marked ``_val``; without such rows all rounds run."""
+    if rows.where("_val").isEmpty():
+        return learner.fit(rows)
+    return learner.setValidationIndicatorCol("_val").fit(rows)
+
+
 def fit_two_stage(train: DataFrame, features: Sequence[str], keys: Sequence[str], target: str = "label",
                   settings: TwoStageSettings | None = None, test_share: float = 0.2) -> TwoStageModel:
-    """One shared split; classifier on the class, one regressor per true class, cut tuned on validation."""
+    """One shared split; classifier on the class, one regressor per true class, cut tuned on validation.
+
+    Boosting stops where the error on the shared validation part no longer falls.
+    """
     settings = settings or duration_settings()
     rows = valid_targets(train, target).withColumns({
         "_val": split_share(keys, settings.seed) > 1.0 - test_share,
         "_long": (F.col(target) >= settings.threshold).cast("double"),
         "_y": F.log1p(F.col(target).cast("double"))})
     stored = training_frame(rows, features, ["_val", "_long", "_y"])
-    fit_rows, val_rows = stored.where(~F.col("_val")), stored.where("_val")
-
-    weighted = fit_rows.select(VECTOR, F.col("_long").alias("_y"), F.when(
+    val_rows = stored.where("_val")
+    weighted = stored.select(VECTOR, F.col("_long").alias("_y"), "_val", F.when(
         F.col("_long") == 1, settings.positive_weight).otherwise(1.0).alias("_w"))
-    classifier = settings.classifier.classifier().setWeightCol("_w").fit(weighted)
+    classifier = _fit_stopping(settings.classifier.classifier().setWeightCol("_w"), weighted)
     probs = classifier.transform(val_rows.select(VECTOR, "_long")).select(
         F.col("_long").alias("label"), vector_to_array("_probability")[1].alias("score"))
     cut = tune_threshold_balanced(probs, grid=settings.grid).first().threshold
-    short = settings.short.regressor().fit(fit_rows.where("_long = 0"))
-    long = settings.long.regressor().fit(fit_rows.where("_long = 1"))
+    short = _fit_stopping(settings.short.regressor(), stored.where("_long = 0"))
+    long = _fit_stopping(settings.long.regressor(), stored.where("_long = 1"))
     return TwoStageModel(classifier, short, long, list(features), float(settings.threshold), float(cut))
 
 
@@ -299,6 +309,16 @@ def _class_weights(rows: DataFrame) -> Column:
         total / (2 * max(total - positive, 1.0)))
 
 
+def stratified_folds(rows: DataFrame, label: str, share: str, folds: int) -> DataFrame:
+    """Adds ``_fold``: every class (few) is cut into ``folds`` parts of equal size along ``share``."""
+    cuts = group_quantiles(rows, [label], share, {f"_c{i}": i / folds for i in range(1, folds)}).collect()
+    fold = F.lit(0)
+    for row in cuts:
+        below = sum(((F.col(share) > row[f"_c{i}"]).cast("int") for i in range(1, folds)), F.lit(0))
+        fold = F.when(F.col(label) == row[label], below).otherwise(fold)
+    return rows.withColumn("_fold", fold)
+
+
 def fit_stacking(train: DataFrame, features: Sequence[str], keys: Sequence[str], target: str = "label",
                  settings: StackSettings | None = None, test_share: float = 0.2) -> StackedModel:
     """Four base classifiers, a logistic model on their out-of-fold probabilities, F2-tuned cut.
@@ -308,7 +328,7 @@ def fit_stacking(train: DataFrame, features: Sequence[str], keys: Sequence[str],
     s = settings or StackSettings()
     rows = train.withColumn("_y", F.col(target).cast("double"))
     fit_part, val_part = random_split(rows, keys, test_share, s.seed, label="_y")
-    marked = fit_part.withColumn("_fold", F.floor(split_share(keys, s.seed + 1) * s.folds).cast("int"))
+    marked = stratified_folds(fit_part.withColumn("_u", split_share(keys, s.seed + 1)), "_y", "_u", s.folds)
     marked = marked.withColumns({
         "_w_boost": F.when(F.col("_y") == 1, s.boost_weight).otherwise(1.0),
         "_w_balanced": _class_weights(marked)})

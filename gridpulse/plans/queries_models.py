@@ -126,7 +126,7 @@ FEATURES = [f"f{i}" for i in range(64)]
 @query("ml10_autoencoder_fit")
 def _(spark, sf):
     v = vectors(spark, sf)
-    model = fit_autoencoder(v, FEATURES, epochs=5)
+    model = fit_autoencoder(v, FEATURES)
     return model.detect(v).select("vec_id", "ae_error", "anomaly_flag")
 
 
@@ -134,20 +134,20 @@ def _(spark, sf):
 def _(spark, sf):
     m = occurrence_matrix(spark, sf)
     names = T.feature_names(m, DAY_KEYS)
-    model = fit_autoencoder(m.where(F.dayofmonth("date") < 24), names, epochs=5)
+    model = fit_autoencoder(m.where(F.dayofmonth("date") < 24), names)
     return model.detect(m).select(*DAY_KEYS, "ae_error", "anomaly_flag")
 
 
 @query("ml12_isolation_forest")
 def _(spark, sf):
     v = vectors(spark, sf)
-    return fit_isolation_forest(v, FEATURES, ["vec_id"], trees=20).detect(v).select("vec_id", "iso_score", "iso_anomaly")
+    return fit_isolation_forest(v, FEATURES, ["vec_id"]).detect(v).select("vec_id", "iso_score", "iso_anomaly")
 
 
 @query("pip13_anomaly_training")
 def _(spark, sf):
     m = occurrence_matrix(spark, sf)
-    autoencoder, forest = T.train_anomaly(m, DAY_KEYS, F.dayofmonth("date") >= 24, epochs=3, trees=10, path=scratch_path(spark, "ae"))
+    autoencoder, forest = T.train_anomaly(m, DAY_KEYS, F.dayofmonth("date") >= 24, path=scratch_path(spark, "ae"))
     return forest.detect(autoencoder.detect(m)).select(*DAY_KEYS, "ae_error", "anomaly_flag", "iso_score", "iso_anomaly")
 
 
@@ -283,7 +283,7 @@ def _(spark, sf):
     every = polls(spark, sf)
     changes = L.poll_delta(every).where(F.col("poll_no") == every.agg(F.max("poll_no")).scalar()).drop("poll_no")
     m = occurrence_matrix(spark, sf)
-    autoencoder = fit_autoencoder(m, T.feature_names(m, DAY_KEYS), epochs=2)
+    autoencoder = fit_autoencoder(m, T.feature_names(m, DAY_KEYS))
     return live_scoring(live_weather(spark, sf), changes, stats, geo, occ, scope, duration, autoencoder)
 
 

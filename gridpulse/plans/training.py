@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from gridpulse.operators import metrics as M
 from gridpulse.operators.anomaly import (Autoencoder, IsolationForest, fit_autoencoder,
                                          fit_isolation_forest)
-from gridpulse.operators.features import drop_features, quoted
+from gridpulse.operators.features import drop_features, quoted, split_share
 from gridpulse.operators.models import (DURATION_SINGLE, SCOPE_SINGLE, BoostSettings, LogRegressor, StackedModel,
                                         StackSettings, TwoStageModel, TwoStageSettings, duration_settings,
                                         fit_regressor, fit_stacking, fit_two_stage, scope_settings)
@@ -57,7 +57,8 @@ def train_two_stage(matrix: DataFrame, kind: str, keys: Sequence[str], settings:
     train, test = split(stored, is_test)
     names = feature_names(drop_features(stored, generalise), keys)
     model = fit_two_stage(train, names, keys, settings=settings)
-    baseline = fit_regressor(train, names, single or (DURATION_SINGLE if kind == "duration" else SCOPE_SINGLE))
+    baseline = fit_regressor(train, names, single or (DURATION_SINGLE if kind == "duration" else SCOPE_SINGLE),
+                             validation=split_share(keys, settings.seed) > 0.8)
     scored = cut_lineage(baseline.predict(model.predict(test).drop("_log_pred"), "single").select(
         *[quoted(k) for k in keys], "label", "p_long", "short_pred", "long_pred", "prediction", "routed", "single"),
         f"{kind}-scored")

@@ -113,3 +113,15 @@ def test_isolation_forest_finds_the_outlier(spark, rows):
     forest = A.fit_isolation_forest(rows.unionAll(odd), NAMES, ["id"], trees=25)
     top = forest.scores(rows.unionAll(odd)).orderBy(F.desc("iso_score")).first()
     assert top.id == 10_000 and top.iso_score > 0.6
+
+
+def test_folds_hold_every_class(spark):
+    rows = spark.range(400).selectExpr("id", "cast(id % 40 = 0 as double) AS y", "pmod(xxhash64(id), 1000003) / 1000003.0D AS u")
+    counts = {(r.y, r._fold): r["count"] for r in M.stratified_folds(rows, "y", "u", 5).groupBy("y", "_fold").count().collect()}
+    assert all(counts[1.0, k] == 2 for k in range(5)) and all(counts[0.0, k] == 78 for k in range(5))
+
+
+def test_boosting_stops_early(spark, rows):
+    settings = M.duration_settings(60.0).with_rounds(40, 2)
+    model = M.fit_two_stage(rows, NAMES, ["id"], settings=settings)
+    assert min(m.getNumTrees for m in (model.classifier, model.short, model.long)) < 40
