@@ -94,3 +94,19 @@ def test_stage_tables_can_be_removed(spark, tmp_path):
     assert path not in session._MADE
     with pytest.raises(Exception, match="PATH_NOT_FOUND"):
         spark.read.parquet(path)
+
+
+def test_late_rows_do_not_stretch_a_session(spark, tmp_path):
+    from gridpulse.streaming import jobs
+    day = dt.datetime(2022, 5, 1)
+    source, target, state, progress = (str(tmp_path / n) for n in ("in", "out", "state", "progress"))
+    for rows in ([("a", day + dt.timedelta(hours=10), 5, None), ("b", day, 3, None)],
+                 [("a", day + dt.timedelta(hours=2), 7, None), ("b", day + dt.timedelta(minutes=15), 4, None)]):
+        df = spark.createDataFrame(rows, SNAP)
+        df.write.mode("append").parquet(source)
+        stream = jobs.file_stream(spark, source, df.schema)
+        jobs.session_stream(stream, progress, target, state, every=None).awaitTermination()
+    found = {r.fips_code: r.duration_minutes for r in jobs.read_updates(spark, target, ["fips_code", "start_time"]).collect()}
+    assert found == {"a": 15, "b": 30}
+    late = spark.read.parquet(f"{target}_late").collect()
+    assert [(r.fips_code, r.customers_affected) for r in late] == [("a", 7)]
