@@ -10,7 +10,7 @@ from gridpulse.llm.texts import in_set, let, plain_words, set_values, text_key
 SHINGLE = 5             # words in a shingle
 WINDOW = 16             # shingles in a window of a longer notice (20 words)
 STEP = 8                # shingles between the starts of two windows: each overlaps half of the next
-BANDS = 5               # bands of one row each
+BANDS = 8               # bands of one row each
 BROADCAST_TEMPLATE_WORDS = 250_000
 ROW = "SELECT -2 AS ask, 0L AS value, 'row' AS kind, array('') AS templates"
 
@@ -125,7 +125,7 @@ def scan_licenses(docs: DataFrame, templates: DataFrame, doc_id: str = "doc_id",
     A template is found if a band of one of its windows equals a band of a window of the document, and at least
     ``least`` of the template's different shingles stand in the document. A document window that lies in a copied
     notice equals a template window, so it collides for certain; one of similarity 0.6 still does with probability
-    0.99, of 0.8 with 0.9997 (``collision_probability``).
+    0.999, of 0.8 with 0.99999 (``collision_probability``).
     The index comes from the templates alone; it is broadcast up to ``BROADCAST_TEMPLATE_WORDS`` words of them,
     and joined by shuffle beyond. Null and empty texts have none; repeated rows give repeated rows; templates
     without words match nothing.
