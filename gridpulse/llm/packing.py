@@ -8,6 +8,7 @@ tokenised where they lie, and only their lengths, checksums and (if wanted) ids
 from __future__ import annotations
 
 import json
+import re
 import zlib
 from array import array         # 4-byte native order, little-endian on all platforms Spark runs on
 from functools import lru_cache
@@ -26,6 +27,7 @@ from gridpulse.session import cut_lineage
 CAPACITY = 2048
 GROUP = 65_536           # pieces that one task packs
 SEPARATOR = 0
+LONG_SPACE = re.compile(r"\s{512}")     # tiktoken's pattern engine runs out of stack on very long white space
 
 
 class Ids:
@@ -33,7 +35,7 @@ class Ids:
 
     Where every id of the file's vocabulary is the rank of the merge that makes it (so the lowest id is the first
     merge), tiktoken computes the same ids on that vocabulary several times faster; otherwise, and for texts that hold
-    an added token's string, tokenizers does it.
+    an added token's string or very long white space, tokenizers does it.
     """
 
     def __init__(self, path: str):
@@ -55,7 +57,7 @@ class Ids:
         return tiktoken.Encoding("byte-level", pat_str=PRETOKEN, mergeable_ranks=ranks, special_tokens={})
 
     def encode(self, text: str) -> bytes:
-        if self.fast is None or self.special is not None and self.special.search(text):
+        if self.fast is None or LONG_SPACE.search(text) or self.special is not None and self.special.search(text):
             return array("I", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
         return array("I", self.fast.encode_ordinary(text)).tobytes()
 

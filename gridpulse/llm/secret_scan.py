@@ -7,6 +7,8 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from gridpulse.llm.texts import let
+
 ENTROPY_WINDOW = 20
 # Bits per character that a window must reach, by the candidate's character class.
 THRESHOLDS = {"hex": 3.0, "alnum": 3.6, "mixed": 3.9}
@@ -16,10 +18,11 @@ ASSIGN = (r"((?:(?i:password|passwd|secret|token|api_?key))[\"']?\x20*[:=]\x20*[
 ACCESS = r"(AKIA[A-Z0-9]{16,})"          # a run of A-Z0-9 from its first AKIA on, 20 and more characters
 HEX = r"([0-9a-f]{24,})"
 CANDIDATE = r"([A-Za-z0-9+/_=-]{20,})"
-# Allowed whatever their entropy: well-known placeholders, UUIDs, paths and plain words.
+# Allowed whatever their entropy: well-known placeholders, UUIDs, numbers, and words or short numbers joined by
+# separators, the first one a word (``plain_words_only``).
 ALLOWED = (r"(?i:example|placeholder|changeme|your[_-]|dummy|sample|redacted|xxxx)"
-           r"|^[0-9a-fA-F]{8}-(?:[0-9a-fA-F]{4}-){3}[0-9a-fA-F]{12}$"
-           r"|^[0-9]+$|^(?:[A-Za-z]?[a-z]+|[A-Z]+)(?:[-_/+=](?:[A-Za-z]?[a-z]*|[A-Z]*|[0-9]{1,4}))*$")
+           r"|^[0-9a-fA-F]{8}-(?:[0-9a-fA-F]{4}-){3}[0-9a-fA-F]{12}$|^[0-9]+$")
+SEPARATORS, FIRST_WORD, LATER_WORD = "[-_/+=]", "^(?:[A-Za-z]?[a-z]+|[A-Z]+)$", "^(?:[A-Za-z]?[a-z]*|[A-Z]*|[0-9]{1,4})$"
 KINDS = ("assign", "access", "hex", "entropy")
 
 
@@ -53,24 +56,39 @@ def window_entropy(candidate: Column, threshold: Column, window: int = ENTROPY_W
     def term(c: Column) -> Column:
         return F.when(c > 0, c * F.log2(F.greatest(c, F.lit(1)).cast("double"))).otherwise(F.lit(0.0))
 
-    def count(text: Column, ch: Column) -> Column:
-        return F.length(text) - F.length(F.replace(text, ch, F.lit("")))
+    def measured(chars: Column, least: Column) -> Column:
+        def step(s: Column, i: Column) -> Column:
+            # i is the 1-based place of the entering character.
+            def count(ch: Column, back: int) -> Column:
+                """How often ``ch`` stands in the ``back`` places before i."""
+                total = F.lit(0)
+                for k in range(1, back + 1):
+                    total = total + F.when(F.get(chars, i - 1 - k) == ch, 1).otherwise(0)
+                return total
+
+            def change(ch: Column, back: int, by: int) -> Column:
+                return let(let(ch, lambda c: count(c, back)), lambda n: term(n + by) - term(n))
+
+            less = F.when(i > window, change(F.get(chars, i - window - 1), window, -1)).otherwise(F.lit(0.0))
+            more = change(F.get(chars, i - 1), window - 1, 1)
+            return let(s["total"] + less + more, lambda total: settled(s, i, total))
+
+        def settled(s: Column, i: Column, total: Column) -> Column:
+            hit = (i >= window) & (F.lit(math.log2(window)) - total / window >= least - 1e-9)
+            return F.struct(total.alias("total"), F.when(hit & (s["low"] < 0), i - window).otherwise(s["low"]).alias("low"),
+                            F.when(hit, i).otherwise(s["high"]).alias("high"))
+
+        begin = F.struct(F.lit(0.0).alias("total"), F.lit(-1).alias("low"), F.lit(-1).alias("high"))
+        return F.aggregate(F.sequence(F.lit(1), F.size(chars)), begin, step)
+
+    # As an array, so that a place is reached at once however long the candidate is.
+    return let(threshold, lambda t: let(F.split(candidate, ""), lambda c: measured(c, t)))
 
-    def step(s: Column, i: Column) -> Column:
-        # i is the 1-based place of the entering character.
-        old = F.substring(candidate, F.greatest(i - window, F.lit(1)), F.least(i - 1, F.lit(window)))
-        leaves = i > window
-        out = F.substring(candidate, i - window, F.lit(1))
-        less = F.when(leaves, term(count(old, out) - 1) - term(count(old, out))).otherwise(F.lit(0.0))
-        kept = F.when(leaves, F.substring(old, 2, window - 1)).otherwise(old)
-        now = count(kept, F.substring(candidate, i, F.lit(1)))
-        total = s["total"] + less + term(now + 1) - term(now)
-        hit = (i >= window) & (F.lit(math.log2(window)) - total / window >= threshold - 1e-9)
-        return F.struct(total.alias("total"), F.when(hit & (s["low"] < 0), i - window).otherwise(s["low"]).alias("low"),
-                        F.when(hit, i).otherwise(s["high"]).alias("high"))
 
-    begin = F.struct(F.lit(0.0).alias("total"), F.lit(-1).alias("low"), F.lit(-1).alias("high"))
-    return F.aggregate(F.sequence(F.lit(1), F.length(candidate)), begin, step)
+def plain_words_only(candidate: Column) -> Column:
+    """Whether the candidate is a word, or words and short numbers joined by separators."""
+    return let(F.split(candidate, SEPARATORS), lambda p: F.get(p, F.lit(0)).rlike(FIRST_WORD) & F.forall(
+        p, lambda w: w.rlike(LATER_WORD)))
 
 
 def threshold_of(candidate: Column) -> Column:
@@ -103,7 +121,8 @@ def scan_secrets(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", ke
                                                       m["end"].alias("end"), m["match"].alias("match")))
 
     found = found.withColumn("base", F.array_sort(F.concat(spans(0, "assign"), spans(1, "access"), spans(2, "hex"))))
-    likely = F.transform(F.filter("candidates", lambda m: threshold_of(m["match"]).isNotNull() & ~m["match"].rlike(allowed)),
+    likely = F.transform(F.filter("candidates", lambda m: threshold_of(m["match"]).isNotNull() & ~m["match"].rlike(
+        allowed) & ~plain_words_only(m["match"])),
                          lambda m: F.struct(m["start"].alias("start"), m["match"].alias("match"),
                                             window_entropy(m["match"], threshold_of(m["match"])).alias("w")))
     high = F.transform(F.filter(likely, lambda m: m["w"]["low"] >= 0), lambda m: F.struct(

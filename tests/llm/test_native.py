@@ -169,6 +169,14 @@ def test_secrets_match_plain_patterns(spark):
     assert secret_scan.scan_secrets(docs.limit(0)).count() == 0
 
 
+def test_long_candidates(spark):
+    key = "q9Zr7LkX2vBn4TmY8wHc3PdF6sGj"
+    rows = ["word-" * 40_000, "Ab1" * 30_000, key * 2000, "token=" + "a" * 200_000, "x " * 100_000 + key, f"{key} " * 2000]
+    got = sorted(secret_scan.scan_secrets(documents(spark, rows)).collect(), key=lambda r: r.doc_id)
+    assert [len(r.added) for r in got] == [0, 0, 1, 0, 1, 2000] and got[3].n_assign == 1
+    assert got[2].added[0].end - got[2].added[0].start > 50_000
+
+
 def test_entropy_windows_are_incremental(spark):
     strings = ["q9Zr7LkX2vBn4TmY8wHc3PdF6sGj", "a" * 30, "abcdefghij" * 4, "aaaaaaaaaaaaaaaaaaaaq9Zr7LkX2vBn4TmY8wHc3Paaaaaaaaaaaa"]
     df = spark.createDataFrame([(s,) for s in strings], "s string")

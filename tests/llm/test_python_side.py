@@ -152,6 +152,14 @@ def test_counts_are_the_librarys(spark, tokenizer):
     assert token_count.count_tokens(documents(spark, HARD).limit(0), PATH).count() == 0
 
 
+@pytest.mark.parametrize("text", ["a" * 300_000, " " * 200_000, "x" + "\n " * 100_000 + "y", "1234567890" * 20_000, "!?" * 50_000,
+                                  "日本" * 20_000])
+def test_very_long_runs(tokenizer, text):
+    want = tokenizer.encode(text, add_special_tokens=False).ids
+    assert np.frombuffer(packing.ids_of(PATH).encode(text), "<u4").tolist() == want
+    assert token_count.counter(PATH).counts([text]) == [len(want)]
+
+
 def test_one_very_long_word(tokenizer):
     text = "".join(np.random.default_rng(0).choice(list("abcdefgh"), 50_000))
     assert token_count.Counter(PATH).counts([text]) == [len(tokenizer.encode(text, add_special_tokens=False).ids)]
