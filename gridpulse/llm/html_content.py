@@ -151,13 +151,18 @@ def label_counts(html: str) -> dict[str, tuple[int, int]]:
 
 
 def fit_weights(pages: DataFrame, html: str = "html", most: int = SAMPLE_PAGES) -> dict[str, float]:
-    """Weights from at most ``most`` pages that mark their article (the first by a hash of the page).
+    """Weights from at most ``most`` different pages that mark their article, those of the smallest hashes.
 
-    The driver sees one count pair per token name of those pages. Without such pages: ``DEFAULT_WEIGHTS``.
+    Hashes are ranked first, so that only the chosen pages leave their tasks. The driver sees ``most`` numbers and
+    one count pair per token name of those pages. Without such pages: ``DEFAULT_WEIGHTS``.
     """
     body = F.coalesce(F.col(f"`{html}`").cast("string"), F.lit(""))
-    sample = pages.select(body.alias("html")).where(F.lower("html").rlike("<(article|main)[ >]")) \
-        .orderBy(F.xxhash64("html"), F.length("html")).limit(most)
+    marked = pages.select(body.alias("html")).where(F.lower("html").rlike("<(article|main)[ >]")) \
+        .withColumn("hash", F.xxhash64("html"))
+    chosen = [r["hash"] for r in marked.select("hash").distinct().orderBy("hash").limit(most).collect()]
+    if not chosen:
+        return dict(DEFAULT_WEIGHTS)
+    sample = marked.where((F.col("hash") <= chosen[-1])).groupBy("hash").agg(F.min("html").alias("html"))
 
     def make():
         def work(texts):
