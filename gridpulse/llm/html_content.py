@@ -4,7 +4,8 @@ Every word and tag gets a weight; the run of greatest sum is found in one scan (
 where it falls below zero). Weights are log-odds fitted on labelled pages: pages that mark their article
 themselves label their own tokens. Words are told apart by where they stand (content, link, known page
 furniture), tags by name; words of content get at least a small positive weight, tags at least a small
-negative one. Inside the run, blocks of page furniture are left out.
+negative one. Words beside the article that a page marks weigh less by a fitted amount, but are not left out: the
+mark may be a teaser's. Inside the run, blocks of page furniture are left out.
 """
 
 from __future__ import annotations
@@ -54,8 +55,9 @@ HIDDEN = re.compile(r"\bhidden\b(?!\s*=\s*[\"']?false)|display\s*:\s*none|aria-h
 TITLES = {"h1", "h2", "h3"}
 
 WORD, LINK, OTHER = "word", "word:link", "word:furniture"
+BESIDE = "word:beside"        # added to the weight of words outside the article that their page marks
 # Used where no page marks its article.
-DEFAULT_WEIGHTS = {WORD: 1.0, LINK: -0.5, OTHER: -0.1, "p": -0.05, "br": -0.05, "b": -0.05, "i": -0.05, "em": -0.05,
+DEFAULT_WEIGHTS = {WORD: 1.0, LINK: -0.5, OTHER: -0.1, BESIDE: -0.5, "p": -0.05, "br": -0.05, "b": -0.05, "i": -0.05, "em": -0.05,
                    "strong": -0.05, "a": -1.0, "li": -0.8, "ul": -1.0, "ol": -1.0, "nav": -8.0, "footer": -8.0,
                    "aside": -8.0, "form": -8.0, "header": -4.0, "div": -0.5, "td": -0.3, "tr": -0.3}
 DEFAULT_TAG, LEAST_WORD, LEAST_TAG = -0.5, 0.1, -0.02
@@ -192,6 +194,7 @@ def weights_of(counts: dict[str, tuple[int, int]]) -> dict[str, float]:
         odds = math.log((a + 0.5) / inside) - math.log((b + 0.5) / outside)
         if name == WORD:
             out[name] = max(odds, LEAST_WORD)
+            out[BESIDE] = math.log((b + 0.5) / (a + b + 1))
         elif name == LINK:
             out[name] = min(odds, out[name])
         elif name == OTHER:
@@ -220,18 +223,24 @@ def best_run(weights: list[float]) -> tuple[int, int]:
 def extract(html: str, weights: dict[str, float]) -> str:
     """The blocks of the best run, one per line: references decoded, white space as one space, trimmed."""
     parts = list(tokens(html))
-    # On a page that marks its article, words outside of it are furniture.
     marked = any(state[2] and not state[0] for kind, what, state in parts if kind == "text" and what.strip())
-    out = [state[0] or marked and not state[2] for _, _, state in parts]
+    beside = max(LEAST_WORD, weights[WORD] + weights.get(BESIDE, DEFAULT_WEIGHTS[BESIDE]))
+
+    def word_weight(state) -> float:
+        kind = _kind(state)
+        if kind == OTHER or not marked:
+            return weights[kind]
+        return weights[WORD] if state[2] else beside if kind == WORD else weights[kind]
+
     scores = []
-    for (kind, what, state), left in zip(parts, out):
+    for kind, what, state in parts:
         if kind == "text":
-            scores.append(len(what.split()) * weights[OTHER if left else WORD if marked else _kind(state)])
+            scores.append(len(what.split()) * word_weight(state))
         else:       # tags count less in an article, which may hold lists and tables, and in what is left out
-            scores.append(0.0 if kind == "break" else weights.get(what, DEFAULT_TAG) * (0.1 if left or marked else 1))
+            scores.append(0.0 if kind == "break" else weights.get(what, DEFAULT_TAG) * (0.1 if state[0] or state[2] else 1))
     start, end = best_run(scores)
     # The run stands for the element that holds all its words: short blocks at its ends belong to it too.
-    paths = [parts[i][2][3] for i in range(start, end) if parts[i][0] == "text" and not out[i] and parts[i][1].strip()]
+    paths = [parts[i][2][3] for i in range(start, end) if parts[i][0] == "text" and not parts[i][2][0] and parts[i][1].strip()]
     if paths:
         first, last = min(paths), max(paths)
         depth = next((k for k, (a, b) in enumerate(zip(first, last)) if a != b), min(len(first), len(last)))
@@ -250,7 +259,7 @@ def extract(html: str, weights: dict[str, float]) -> str:
 
     for kind, what, state in parts[start:end]:
         if kind == "text":
-            if not state[0] and (state[2] or not marked):
+            if not state[0]:
                 line.append(what)
         elif kind == "break" or what in BLOCKS:
             flush()
