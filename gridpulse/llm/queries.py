@@ -7,8 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gridpulse.llm import (classifier, decontaminate, html_content, licenses, oracles, packing, pii, quality_rules,
-                           secret_scan, simhash, token_count)
+from gridpulse.llm import (classifier, decontaminate, html_content, licenses, oracles, packing, pii, prefix_trie,
+                           quality_rules, secret_scan, simhash, token_count)
+from gridpulse.session import cut_lineage
 
 TOKENIZER_FILE = "byte_bpe_50k.json"
 
@@ -78,9 +79,14 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"), tokenizer_path())
 
 
+def op13_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = cut_lineage(prefix_trie.ordered_turns(table(spark, sf_dir, "conversations")), "conversations")
+    return prefix_trie.prefix_trie(*prefix_trie.share_heads(turns))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (
     op1_pii, op2_license_scan, op3_quality_rules, op4_html_content, op5_simhash, op6_decontaminate, op7_secret_scan,
-    op8_token_count, op9_quality_classifier, op10_packing)}
+    op8_token_count, op9_quality_classifier, op10_packing, op13_prefix_trie)}
 ORACLES: dict[str, str] = {
     "op2_license_scan": oracles.licenses(licenses.TEMPLATES), "op3_quality_rules": oracles.QUALITY_RULES,
     "op6_decontaminate": oracles.DECONTAMINATE, "op7_secret_scan": oracles.SECRETS}

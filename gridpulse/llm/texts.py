@@ -50,6 +50,25 @@ def in_set(number: Column, values: list[int]) -> Column:
     return number.isin(values) if values else F.lit(False)
 
 
+HOT = 1000               # a key that more than a thousandth of the rows ask for is hot: there are less than a thousand
+
+
+def lookup(rows: DataFrame, table: DataFrame, on: Sequence[str], value: str, asked: str) -> DataFrame:
+    """``rows`` with ``value`` of the row of ``table`` that has their key, null where there is none.
+
+    ``table`` has a key once, and in ``asked`` the number of ``rows`` that have it. The hot keys, less than ``HOT``
+    by that count, are broadcast; rows with one of them stay where they are or are spread over all tasks.
+    """
+    least = table.agg(F.sum(asked).alias("all")).scalar() / HOT
+    sized = table.select(*on, value, (F.col(asked) > least).alias("_hot"))
+    hot = sized.where("_hot").select(*on, F.col(value).alias("_known"), F.lit(True).alias("_met"))
+    marked = rows.join(F.broadcast(hot), list(on), "left")
+    spread = F.when(F.col("_met"), F.pmod(F.xxhash64(*[F.col(f"`{c}`") for c in rows.columns]), F.lit(HOT)) + 1).otherwise(0)
+    cold = sized.where("NOT _hot").select(*on, value, F.lit(0).cast("long").alias("_salt"))
+    return marked.withColumn("_salt", spread.cast("long")).join(cold, [*on, "_salt"], "left").withColumn(
+        value, F.coalesce("_known", value)).drop("_known", "_met", "_salt")
+
+
 def text_key(doc_id: Column, text: Column) -> Column:
     """What tells rows apart: rows with equal keys have the same id and text, and so the same result."""
     return F.struct(doc_id.alias("doc_id"), F.xxhash64(text).alias("hash"), F.length(text).alias("size"))
