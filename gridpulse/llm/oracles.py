@@ -107,3 +107,44 @@ agg AS (SELECT r, count(*) FILTER (WHERE kind = 0) AS a, count(*) FILTER (WHERE
         FROM shown GROUP BY r)
 SELECT doc_id, coalesce(a, 0)::BIGINT AS n_assign, coalesce(k, 0)::BIGINT AS n_access, coalesce(x, 0)::BIGINT AS n_hex,
        sha256(coalesce(b, '')) AS base_sha256, coalesce(spans, '') AS spans FROM d LEFT JOIN agg USING (r)"""
+
+WARC = """
+WITH p AS (SELECT page_id, coalesce(html, '') AS h FROM pages),
+s AS (SELECT page_id, strlen(h) AS n, sha1(h) AS x, min(page_id) OVER (PARTITION BY h) AS first FROM p)
+SELECT page_id, n::BIGINT AS payload_bytes,
+       array_to_string(list_transform(range(0, 32), lambda k: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
+           (((('0x' || substr(x, ((k // 4) * 5 + 1)::INT, 5))::BIGINT >> ((3 - k % 4) * 5)::INT) & 31) + 1)::INT, 1)), '') AS payload_digest,
+       CASE WHEN first IS NULL OR page_id = first THEN 'response' ELSE 'revisit' END AS record_type,
+       CASE WHEN page_id IS DISTINCT FROM first THEN first END AS refers_to
+FROM s"""
+
+# Unsigned crc32 of a decimal number, byte by byte without a table.
+_CRC = ("(list_reduce(list_prepend(4294967295::UBIGINT, list_transform(string_split_regex({0}::VARCHAR, ''), lambda ch: ascii(ch)::UBIGINT)), "
+        "lambda c, b: list_reduce(list_prepend(xor(c, b), list_transform(range(8), lambda i: 0::UBIGINT)), "
+        "lambda v, z: CASE WHEN v & 1 = 1 THEN xor(v >> 1, 3988292384::UBIGINT) ELSE v >> 1 END)))")
+
+PREFIX_TRIE = f"""
+WITH t AS (SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST) AS pos,
+                  coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations WHERE conv_id IS NOT NULL),
+c AS (SELECT conv_id, xor({_CRC.format('conv_id')}, 4294967295::UBIGINT)::BIGINT % 9 AS h FROM (SELECT DISTINCT conv_id FROM t)),
+base AS (SELECT conv_id AS b, count(*) AS n FROM t GROUP BY 1),
+r AS (SELECT c.conv_id, t.pos, role, text FROM c JOIN t ON t.conv_id = c.conv_id - c.conv_id % 5 AND t.pos <= h
+      UNION ALL
+      SELECT c.conv_id, t.pos - h + least(h, coalesce(base.n, 0)), role, text
+      FROM c JOIN t ON t.conv_id = c.conv_id AND t.pos > h LEFT JOIN base ON base.b = c.conv_id - c.conv_id % 5),
+w AS (SELECT conv_id, list(sha256(strlen(role) || ':' || role || text) ORDER BY pos) AS ids,
+             list(strlen(text) ORDER BY pos) AS sizes FROM r GROUP BY conv_id),
+g AS (SELECT c.conv_id, coalesce(ids, []) AS ids, coalesce(sizes, []) AS sizes FROM c LEFT JOIN w USING (conv_id)),
+m AS (SELECT conv_id, d, len(ids) AS n, array_to_string(ids[:d], '') AS node, array_to_string(ids[:d - 1], '') AS up,
+             CASE WHEN d > 0 THEN sizes[d] ELSE 0 END AS size
+      FROM (SELECT conv_id, ids, sizes, unnest(range(len(ids) + 1)) AS d FROM g)),
+v AS (SELECT node, any_value(up) AS up, any_value(d) AS depth, min(conv_id) AS conv_id, count(*) AS n_convs,
+             (count(*) - 1) * any_value(size) AS own,
+             sha256(coalesce(string_agg(conv_id::VARCHAR, ',' ORDER BY conv_id) FILTER (n = d), '')) AS ends_sha256 FROM m GROUP BY node),
+k AS (SELECT up, count(*) AS n FROM v WHERE depth > 0 GROUP BY up),
+x AS (SELECT v.*, coalesce(k.n, 0) AS n_children FROM v LEFT JOIN k ON k.up = v.node),
+sub AS (SELECT m.node, sum(x.own) AS saved, count(*) FILTER (x.n_children = 0) AS leaves
+        FROM x JOIN m ON m.conv_id = x.conv_id AND m.d <= x.depth GROUP BY m.node)
+SELECT x.conv_id, x.depth::BIGINT AS depth, p.conv_id AS parent_conv_id, x.n_convs, x.n_children,
+       leaves AS n_leaves, saved::BIGINT AS saved_tokens, x.ends_sha256
+FROM x JOIN sub USING (node) LEFT JOIN x AS p ON x.depth > 0 AND p.node = x.up"""

@@ -8,10 +8,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gridpulse.llm import (classifier, decontaminate, html_content, licenses, oracles, packing, pii, prefix_trie,
-                           quality_rules, secret_scan, simhash, token_count)
+                           quality_rules, secret_scan, simhash, token_align, token_count, warc)
 from gridpulse.session import cut_lineage
 
 TOKENIZER_FILE = "byte_bpe_50k.json"
+PIECE_FILE = "piece_bpe_32k.model"
 
 
 def tokenizer_path(name: str = TOKENIZER_FILE) -> str:
@@ -79,6 +80,16 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"), tokenizer_path())
 
 
+def op11_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    # The table says nothing about times: page n counts as captured n seconds after the epoch.
+    found = warc.capture_histories(table(spark, sf_dir, "pages"), time=F.timestamp_seconds("page_id"))
+    return found.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+def op12_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_align.align_tokens(table(spark, sf_dir, "documents"), tokenizer_path(), tokenizer_path(PIECE_FILE))
+
+
 def op13_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     turns = cut_lineage(prefix_trie.ordered_turns(table(spark, sf_dir, "conversations")), "conversations")
     return prefix_trie.prefix_trie(*prefix_trie.share_heads(turns))
@@ -86,7 +97,9 @@ def op13_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (
     op1_pii, op2_license_scan, op3_quality_rules, op4_html_content, op5_simhash, op6_decontaminate, op7_secret_scan,
-    op8_token_count, op9_quality_classifier, op10_packing, op13_prefix_trie)}
+    op8_token_count, op9_quality_classifier, op10_packing, op11_warc,
+    op12_token_alignment, op13_prefix_trie)}
 ORACLES: dict[str, str] = {
     "op2_license_scan": oracles.licenses(licenses.TEMPLATES), "op3_quality_rules": oracles.QUALITY_RULES,
-    "op6_decontaminate": oracles.DECONTAMINATE, "op7_secret_scan": oracles.SECRETS}
+    "op6_decontaminate": oracles.DECONTAMINATE, "op7_secret_scan": oracles.SECRETS, "op11_warc": oracles.WARC,
+    "op13_prefix_trie": oracles.PREFIX_TRIE}
