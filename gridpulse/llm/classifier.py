@@ -198,3 +198,9 @@ def score_documents(docs: DataFrame, model: Model, keep: list[str], text: str =
     def make():
         return lambda texts: [score(model, texts)]
     return map_texts(docs, keep, text, "score double", make).withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
+
+
+def keep_good(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
+    """The rows of ``docs`` that are predicted as label 1, all columns unchanged whatever their names."""
+    held = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col(f"`{text}`").alias("text"))
+    return score_documents(held, model, ["row"]).where("predicted = 1").select("row.*")

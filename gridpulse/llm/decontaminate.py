@@ -92,15 +92,9 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", text: str = "text",
                       **settings) -> DataFrame:
-    """The rows of ``docs`` that are not contaminated, unchanged."""
+    """The rows of ``docs`` that are not contaminated, unchanged; columns may have any names."""
     found = find_contamination(docs, benchmark, doc_id, text, **settings)
-    bad = found.where("contaminated").select("key").distinct()
+    bad = found.where("contaminated").select(F.col("key").alias("bad")).distinct()
     key = text_key(F.col(f"`{doc_id}`"), F.coalesce(F.col(f"`{text}`"), F.lit("")))
-    return docs.withColumn("_key", key).alias("d").join(
-        bad.alias("b"), F.col("d._key").eqNullSafe(F.col("b.key")), "left_anti").drop("_key")
-
-
-def remove_hit_words(words: Column, runs: Column) -> Column:
-    """The words outside all hit stretches (1-based, end exclusive), space-joined."""
-    return F.array_join(F.filter(words, lambda w, i: ~F.exists(
-        runs, lambda r: (r["start"] <= i + 1) & (i + 1 < r["end"]))), " ")
+    held = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), key.alias("own"))
+    return held.join(bad, F.col("own").eqNullSafe(F.col("bad")), "left_anti").select("row.*")

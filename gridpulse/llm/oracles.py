@@ -80,17 +80,24 @@ def _places(kind: int, pattern: str, value: int = 2) -> str:
     return _PLACES.format(kind=kind, pattern=pattern, value=value)
 
 
+_ALLOWED = r"""(regexp_matches(m, '(?i:example|placeholder|changeme|your[_-]|dummy|sample|redacted|xxxx)')
+               OR regexp_full_match(m, '[0-9a-fA-F]{8}-(?:[0-9a-fA-F]{4}-){3}[0-9a-fA-F]{12}') OR regexp_full_match(m, '[0-9]+'))"""
+
 SECRETS = rf"""
 WITH d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS text FROM documents),
 base AS (SELECT * FROM ({_places(0, _ASSIGN, 3)}) WHERE length(v) >= 6
          UNION ALL {_places(1, '(AKIA[A-Z0-9]{16,})')} UNION ALL {_places(2, '([0-9a-f]{24,})')}),
-cand AS (SELECT row_number() OVER () AS c, * FROM ({_places(3, '([A-Za-z0-9+/_=-]{20,})')})),
+whole AS (SELECT row_number() OVER () AS w, r, s::BIGINT AS s, e::BIGINT AS e, m FROM ({_places(3, '([A-Za-z0-9+/_=-]{20,})')})
+          WHERE NOT {_ALLOWED}),
+cuts AS (SELECT w, greatest(base.s, whole.s) AS s, least(base.e, whole.e) AS e FROM whole JOIN base USING (r)
+         WHERE base.s < whole.e AND whole.s < base.e UNION ALL SELECT w, e, e FROM whole),
+gaps AS (SELECT w, max(e) OVER (PARTITION BY w ORDER BY s, e ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS s, s AS e FROM cuts),
+parts AS (SELECT r, coalesce(gaps.s, whole.s)::BIGINT AS s, gaps.e::BIGINT AS e, whole.s AS at, m FROM gaps JOIN whole USING (w)),
+cand AS (SELECT row_number() OVER () AS c, r, s, e, substring(m, s - at + 1, e - s) AS m FROM parts WHERE e - s >= 20),
 likely AS (SELECT *, CASE WHEN regexp_full_match(m, '[0-9a-fA-F]+') AND m ~ '.*[0-9].*' AND m ~ '.*[a-fA-F].*' THEN 3.0
                           WHEN m ~ '.*[0-9].*' AND m ~ '.*[a-zA-Z].*' THEN 3.6
                           WHEN m ~ '.*[a-z].*' AND m ~ '.*[A-Z].*' THEN 3.9 END AS least
-           FROM cand WHERE NOT regexp_matches(m, '(?i:example|placeholder|changeme|your[_-]|dummy|sample|redacted|xxxx)')
-             AND NOT regexp_full_match(m, '[0-9a-fA-F]{{8}}-(?:[0-9a-fA-F]{{4}}-){{3}}[0-9a-fA-F]{{12}}')
-             AND NOT regexp_full_match(m, '[0-9]+')
+           FROM cand WHERE NOT {_ALLOWED}
              AND NOT regexp_full_match(m, '(?:[A-Za-z]?[a-z]+|[A-Z]+)(?:[-_/+=](?:[A-Za-z]?[a-z]*|[A-Z]*|[0-9]{{1,4}}))*')),
 letters AS (SELECT c, i, unnest(string_split(substring(m, i, 20), '')) AS ch
             FROM (SELECT c, m, unnest(range(1, length(m) - 18)) AS i FROM likely WHERE least IS NOT NULL)),
@@ -98,10 +105,8 @@ spread AS (SELECT c, i, -sum(n / 20.0 * log2(n / 20.0)) AS h
            FROM (SELECT c, i, ch, count(*)::DOUBLE AS n FROM letters GROUP BY c, i, ch) GROUP BY c, i),
 high AS (SELECT r, 3 AS kind, any_value(s) + min(i) - 1 AS s, any_value(s) + max(i) + 19 AS e
          FROM spread JOIN likely USING (c) WHERE h >= least - 1e-9 GROUP BY r, c),
-added AS (SELECT * FROM high WHERE NOT EXISTS (
-          SELECT 1 FROM base WHERE base.r = high.r AND base.s < high.e AND high.s < base.e)),
 shown AS (SELECT r, kind, s, e, ['assign', 'access', 'hex', 'entropy'][kind + 1] || ':' || s::BIGINT || ':' || e::BIGINT AS t
-          FROM (SELECT r, kind, s, e FROM base UNION ALL SELECT r, kind, s, e FROM added)),
+          FROM (SELECT r, kind, s, e FROM base UNION ALL SELECT r, kind, s, e FROM high)),
 agg AS (SELECT r, count(*) FILTER (WHERE kind = 0) AS a, count(*) FILTER (WHERE kind = 1) AS k, count(*) FILTER (WHERE kind = 2) AS x,
                string_agg(t, ',' ORDER BY s, kind) FILTER (WHERE kind < 3) AS b, string_agg(t, ',' ORDER BY s, kind) AS spans
         FROM shown GROUP BY r)

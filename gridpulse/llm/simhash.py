@@ -49,13 +49,14 @@ def fingerprint(text: str, size: int = SHINGLE) -> int:
 
 
 def fingerprints(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """One row per row: doc_id and ``fp``, the fingerprint as a signed 64-bit number."""
+    """One row per row: doc_id, ``key`` (a hash of the text, null like empty) and ``fp``, signed 64-bit numbers."""
     def make():
         def work(texts):
             return [np.array([fingerprint(t) for t in texts], np.uint64).view(np.int64)]
         return work
-    return map_texts(docs.select(F.col(f"`{doc_id}`").alias("doc_id"), F.col(f"`{text}`").alias("text")),
-                     ["doc_id"], "text", "fp long", make)
+    body = F.coalesce(F.col(f"`{text}`").cast("string"), F.lit(""))
+    return map_texts(docs.select(F.col(f"`{doc_id}`").cast("long").alias("doc_id"), F.xxhash64(body).alias("key"), body.alias("text")),
+                     ["doc_id", "key"], "text", "fp long", make)
 
 
 # ---- inside a shard ----------------------------------------------------------------------------------------------
@@ -177,7 +178,7 @@ def link_fingerprints(fps: DataFrame, shard: int = SHARD, heavy: int = HEAVY) ->
     return links
 
 
-def components(links: DataFrame, most_rounds: int = 60) -> DataFrame:
+def components(links: DataFrame) -> DataFrame:
     """``node`` and ``root`` (the smallest node it reaches) for every node of the links (a, b).
 
     Large-star and small-star rounds: each points nodes at the smallest neighbour, so chains halve. Every round is
@@ -196,7 +197,7 @@ def components(links: DataFrame, most_rounds: int = 60) -> DataFrame:
         return spark.read.schema("a long, b long").parquet(path)
 
     edges = store(links.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b").distinct())
-    for _ in range(most_rounds):
+    while True:
         now = edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if now[0] == 0 or tuple(now) == state:
             break
@@ -210,11 +211,23 @@ def components(links: DataFrame, most_rounds: int = 60) -> DataFrame:
         small = small.select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b") \
             .unionByName(least.select("a", F.col("m").alias("b")))
         edges = store(small.distinct())
-    else:
-        raise RuntimeError("components did not settle")
     return edges.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("root"))
 
 
+def grouped(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", shard: int = SHARD, heavy: int = HEAVY) -> DataFrame:
+    """One row per row: doc_id, key, fp, ``root`` (the smallest fingerprint of its group) and the group's smallest id.
+
+    Fingerprints are what links join, so ids may repeat or be missing.
+    """
+    prints = cut_lineage(fingerprints(docs, doc_id, text), "simhash")
+    each = cut_lineage(prints.groupBy("fp").agg(F.min("doc_id").alias("first")), "simhash-distinct")
+    roots = components(link_fingerprints(each.select("fp", F.col("fp").alias("rep")), shard, heavy))
+    rooted = each.join(roots, each["fp"] == roots["node"], "left").select("fp", "first", F.coalesce("root", "fp").alias("root"))
+    rooted = cut_lineage(rooted, "simhash-rooted")
+    names = rooted.groupBy("root").agg(F.min("first").alias("component_id"))
+    return prints.join(rooted.drop("first").join(names, "root"), "fp")
+
+
 def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", shard: int = SHARD,
                     heavy: int = HEAVY) -> DataFrame:
     """One row per row: doc_id, fp, component_id (smallest doc_id reachable over links, its own included).
@@ -223,26 +236,29 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     without words (null, empty) share fingerprint 0. Ids are integers; a null id is never a component's id unless
     all ids of the component are null. Repeated rows give repeated rows; an empty table gives an empty one.
     """
-    prints = cut_lineage(fingerprints(docs, doc_id, text).withColumn("doc_id", F.col("doc_id").cast("long")), "simhash")
-    each = cut_lineage(prints.groupBy("fp").agg(F.min("doc_id").alias("first")), "simhash-distinct")
-    # Fingerprints whose documents have no id still link others; they get ids of their own beyond all real ones.
-    known = each.select("fp", "first", F.coalesce("first", F.lit(2 ** 62) + F.shiftrightunsigned(F.xxhash64("fp"), 2)).alias("rep"))
-    roots = components(link_fingerprints(known.select("fp", "rep"), shard, heavy))
-    owner = known.join(roots, known["rep"] == roots["node"], "left").select(
-        "fp", F.coalesce("root", "rep").alias("component_id"))
-    owner = owner.withColumn("component_id", F.when(F.col("component_id") < 2 ** 62, F.col("component_id")))
-    return prints.join(owner, "fp", "left").select("doc_id", "fp", "component_id")
+    return grouped(docs, doc_id, text, shard, heavy).select("doc_id", "fp", "component_id")
 
 
 def keep_first(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """One document of every group of near copies, the one with the smallest id; all columns of ``docs``.
+    """One row of every group of near copies, the one with the smallest id; all columns of ``docs``, whatever their names.
 
-    Of rows with one id and one text, one stays. Documents without an id are kept unless copies of one with an id.
+    Rows without an id come last. Of rows with one id, that of the smallest text hash stays, and of rows that repeat
+    both, one of the smallest hash over all columns. Texts of any length are read whole.
     """
-    found = cut_lineage(near_duplicates(docs, doc_id, text), "simhash-found")
-    first = found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_first")).distinct()
-    kept = docs.join(first, F.col(f"`{doc_id}`").cast("long").eqNullSafe(F.col("_first")), "left_semi")
-    if found.where("doc_id IS NOT NULL").groupBy("doc_id").count().where("count > 1").isEmpty():
-        return kept
-    named, bare = kept.where(F.col(f"`{doc_id}`").isNotNull()), kept.where(F.col(f"`{doc_id}`").isNull())
-    return named.dropDuplicates([doc_id, text]).unionByName(bare)
+    rows = cut_lineage(grouped(docs, doc_id, text).select("doc_id", "key", "root"), "simhash-groups")
+    place = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "key")
+    first = rows.groupBy("root").agg(F.min(place).alias("first")).select("first.doc_id", "first.key")
+    again = rows.groupBy("doc_id", "key").count().where("count > 1").select("doc_id", "key", F.lit(True).alias("again"))
+    first = first.alias("f").join(again.alias("a"), F.expr("f.doc_id <=> a.doc_id AND f.key = a.key"), "left") \
+        .select("f.doc_id", "f.key", F.coalesce("again", F.lit(False)).alias("again"))
+    first = cut_lineage(first, "simhash-first")
+    body = F.coalesce(F.col(f"`{text}`").cast("string"), F.lit(""))
+    held = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"),
+                       F.col(f"`{doc_id}`").cast("long").alias("own_id"), F.xxhash64(body).alias("own_key"))
+    kept = held.join(first, F.expr("own_id <=> doc_id AND own_key = key"))
+    whole = kept.where("NOT again").select("row")
+    if not first.where("again").isEmpty():
+        order = F.xxhash64(F.to_json("row"))
+        some = kept.where("again").groupBy("own_id", "own_key").agg(F.min_by("row", order).alias("row"))
+        whole = whole.unionByName(some.select("row"))
+    return whole.select("row.*")

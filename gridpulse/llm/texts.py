@@ -39,6 +39,45 @@ def let(value: Column, use: Callable[[Column], Column]) -> Column:
     return F.get(F.transform(F.array(value), use), F.lit(0))
 
 
+def running(values: Column, fold: Callable[[Column, Column], Column] = lambda a, b: a + b) -> Column:
+    """Running folds (sums if not said) of an array of integers, as an array.
+
+    A list grows by copying, so it grows only within stretches of about the square root of the array's size; the
+    stretches' last values are folded in the same way and added on. Empty for an empty or null array.
+    """
+    def grown(a: Column) -> Column:
+        return F.aggregate(F.slice(a, 2, F.size(a)), F.slice(a, 1, 1).cast("array<int>"), lambda done, v: F.concat(
+            done, F.array(fold(F.element_at(done, -1), v))))
+
+    def joined(a: Column) -> Column:
+        step = F.ceil(F.sqrt(F.size(a))).cast("int")
+        starts = F.sequence(F.lit(1), F.size(a), step)
+        return let(F.transform(starts, lambda at: grown(F.slice(a, at, step))), lambda parts: let(
+            grown(F.transform(parts, lambda p: F.element_at(p, -1))), lambda ends: F.flatten(F.transform(
+                parts, lambda p, i: F.when(i == 0, p).otherwise(F.transform(p, lambda v: fold(F.get(ends, i - 1), v)))))))
+
+    return F.when(F.size(values) > 0, let(values, joined)).otherwise(F.array().cast("array<int>"))
+
+
+SLICE = 4096             # characters of a text that are reached at once
+
+
+def stretches(text: Column, spans: Column) -> Column:
+    """The texts of many (start, end) of one text, in code points: each costs its length, not the way to it."""
+    def one(slices: Column, span: Column) -> Column:
+        first, last = (F.call_function("div", span[c], F.lit(SLICE)).cast("int") for c in ("start", "end"))
+        from_, to = span["start"] % SLICE, span["end"] % SLICE
+        inside = F.substring(F.get(slices, first), from_ + 1, span["end"] - span["start"])
+        over = F.concat(F.substring(F.get(slices, first), from_ + 1, F.lit(SLICE)),
+                        F.array_join(F.slice(slices, first + 2, F.greatest(last - first - 1, F.lit(0))), ""),
+                        F.substring(F.coalesce(F.get(slices, last), F.lit("")), F.lit(1), to))
+        return F.when(first == last, inside).otherwise(over)
+
+    cut = F.regexp_extract_all(text, F.lit(rf"[\s\S]{{1,{SLICE}}}"), F.lit(0))
+    return F.when(F.size(spans) > 0, let(cut, lambda slices: F.transform(spans, lambda s: one(slices, s)))).otherwise(
+        F.array().cast("array<string>"))
+
+
 def set_values(table: DataFrame, column: str, most: int = SET_VALUES) -> list[int] | None:
     """The different numbers in ``column`` if there are at most ``most`` (counted as they come), else None."""
     rows = table.select(column).distinct().limit(most + 1).collect()

@@ -63,6 +63,41 @@ def test_an_empty_corpus(spark):
     assert corpus_pipeline.STAGES[4][1](spark, docs, SF).count() == 0
 
 
+CLASHES = ["score", "predicted", "buckets", "row", "text_", "_id", "_key", "key", "root", "first", "again", "own", "own_id", "own_key", "bad", "base",
+           "added", "spans", "clean", "body", "n_hex", "_spans", "_text", "_row", "words", "places", "fp", "none", "size", "_k0", "label"]
+
+
+def test_stages_keep_columns_of_any_name(spark):
+    docs = queries.table(spark, SF, "documents")
+    plain = {}
+    for name, stage in corpus_pipeline.STAGES[:4]:
+        plain[name] = sorted(stage(spark, docs, SF).collect())
+    wide = docs.selectExpr("*", *[f"concat('{c}', doc_id) AS `{c}`" for c in CLASHES], "named_struct('doc_id', doc_id) AS `a.b`")
+    for name, stage in corpus_pipeline.STAGES[:4]:
+        out = stage(spark, wide, SF)
+        assert out.columns == wide.columns, name
+        rows = out.collect()
+        assert sorted(tuple(r)[:len(docs.columns)] for r in rows) == [tuple(r) for r in plain[name]], name
+        assert all(r[c] == f"{c}{r.doc_id}" for r in rows for c in CLASHES), name
+    packed = corpus_pipeline.STAGES[4][1](spark, wide, SF)
+    assert packed.count() == corpus_pipeline.STAGES[4][1](spark, docs, SF).count()
+
+
+def test_stages_on_awkward_rows(spark):
+    shape = queries.table(spark, SF, "documents").schema
+    body = " ".join(f"w{i}" for i in range(300))
+    rows = [(i, t, "en", None, None) for i, t in enumerate([None, "", "a b", body, body, body + " token=abcdef1", "x " * 60_000])]
+    rows += [(None, body, "en", None, None), (None, None, "en", None, None), (3, body, "en", None, None), (3, "another text", "en", None, None)]
+    docs = spark.createDataFrame(rows, shape)
+    kept = corpus_pipeline.near_duplicates(spark, docs, SF).collect()
+    assert sorted((r.doc_id, (r.text or "")[:3]) for r in kept) == sorted([(0, ""), (2, "a b"), (3, "w0 "), (6, "x x"), (3, "ano")])
+    for stage in (corpus_pipeline.decontamination, corpus_pipeline.secrets):
+        assert stage(spark, docs, SF).count() == len(rows)
+    assert corpus_pipeline.secrets(spark, docs, SF).where("text LIKE '%[SECRET]'").count() == 1
+    corpus_pipeline.quality(spark, docs, SF).collect()
+    assert corpus_pipeline.best_fit_packing(spark, docs, SF).where("piece = 0").count() == len(rows)
+
+
 @pytest.mark.parametrize("name", [n for n in queries.QUERIES if n not in queries.ORACLES])
 def test_queries_run(spark, name):
     source = queries.table(spark, SF, "pages" if name.startswith("op4") else "documents")
