@@ -6,39 +6,30 @@ A stage takes (spark, docs, sf_dir) and returns a DataFrame; all but the last re
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
-from gridpulse.llm import classifier, decontaminate, near_copies, packing, secret_scan
+from gridpulse.llm import classifier, decontaminate, packing, secret_scan, simhash
 from gridpulse.llm.queries import table, tokenizer_path
 from gridpulse.session import cut_lineage
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keep what the classifier predicts as label 1; it is fitted on the labelled part of ``docs``."""
-    model = classifier.fit_quality(docs, table(spark, sf_dir, "labels"))
-    return classifier.score_documents(docs, model, [c for c in docs.columns if c != "text"] + ["text"]) \
-        .where("predicted = 1").select(*docs.columns)
+    return classifier.keep_good(docs, classifier.fit_quality(docs, table(spark, sf_dir, "labels")))
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keep the document of smallest id of every group of near copies (5-word shingles, similarity 0.8 or more)."""
-    return near_copies.keep_first(docs).select(*docs.columns)
+    """Keep the document of smallest id of every group whose fingerprints (3-word shingles) link at 2 or fewer bits."""
+    return simhash.keep_first(docs)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drop documents that benchmark passages make up a twentieth of."""
-    return decontaminate.drop_contaminated(docs, table(spark, sf_dir, "benchmark")).select(*docs.columns)
+    return decontaminate.drop_contaminated(docs, table(spark, sf_dir, "benchmark"))
 
 
 def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Blank out secrets; every document stays. ``n_chars`` follows the text where the text changes."""
-    others = [c for c in docs.columns if c not in ("doc_id", "text")]
-    found = secret_scan.scan_secrets(docs, keep=others).withColumn("_spans", F.concat("base", "added"))
-    found = found.withColumn("text", secret_scan.redact(F.col("text"), F.col("_spans")))
-    if "n_chars" in others:
-        kind = docs.schema["n_chars"].dataType
-        found = found.withColumn("n_chars", F.when(F.size("_spans") > 0, F.length("text").cast(kind)).otherwise(F.col("n_chars")))
-    return found.select(*docs.columns)
+    return secret_scan.redact_secrets(docs, size="n_chars")
 
 
 def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
