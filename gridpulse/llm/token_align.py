@@ -73,7 +73,14 @@ class Side:
     def __init__(self, tokens):
         self.tokens, self.size = tokens, len(tokens.bytes)
         self.lengths = np.array([len(b) for b in tokens.bytes], np.int64)
-        self.shown = [str(i) for i in range(self.size)]
+        self.starts = np.cumsum(self.lengths) - self.lengths
+        self.joined = np.frombuffer(b"".join(tokens.bytes), np.uint8)
+        self.shown = [f"{i}{after}" for i in range(self.size) for after in (",", "|", ";", "")]
+
+    def spell(self, ids: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+        """The bytes of tokens, one after another; ``sizes`` are their lengths."""
+        first = np.cumsum(sizes) - sizes
+        return self.joined[np.arange(sizes.sum()) + np.repeat(self.starts[ids] - first, sizes)]
 
 
 @lru_cache(maxsize=2)
@@ -102,7 +109,7 @@ def merge(end_a: np.ndarray, end_b: np.ndarray, pa_: np.ndarray, pb: np.ndarray,
     ``end_a`` and ``end_b`` are byte offsets where tokens end, all documents one after another; ``pa_`` and ``pb`` are
     the first tokens of each entry of the vector, ``stop`` the A end of each. Both sides of an entry end at one offset.
     """
-    pa_, pb, out = pa_.copy(), pb.copy(), []
+    pa_, pb, out = pa_.copy(), pb.copy(), ([], [], [], [])
     ga, gb = pa_.copy(), pb.copy()
     while len(pa_):
         ea, eb = end_a[pa_], end_b[pb]
@@ -112,15 +119,19 @@ def merge(end_a: np.ndarray, end_b: np.ndarray, pa_: np.ndarray, pb: np.ndarray,
         cut = np.flatnonzero(on_a & on_b)
         if len(cut):
             at, bt = pa_[cut], pb[cut]
-            out.append(np.stack([ga[cut], at, gb[cut], bt]))
+            for column, emitted in zip(out, (ga[cut], at, gb[cut], bt)):
+                column.append(emitted)
             ga[cut], gb[cut] = at, bt
             over = at == stop[cut]
             if over.any():
                 stay = np.ones(len(pa_), bool)
                 stay[cut[over]] = False
                 pa_, pb, ga, gb, stop = pa_[stay], pb[stay], ga[stay], gb[stay], stop[stay]
-    groups = np.concatenate(out, axis=1).T if out else np.empty((0, 4), np.int64)
-    return groups[np.argsort(groups[:, 0], kind="stable")]
+    if not out[0]:
+        return np.empty((0, 4), np.int64)
+    columns = [np.concatenate(c) for c in out]
+    order = np.argsort(columns[0], kind="stable")
+    return np.stack([c[order] for c in columns], axis=1)
 
 
 def tally(keys: np.ndarray, weights: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -163,10 +174,20 @@ def written(groups: np.ndarray, last: np.ndarray, a: np.ndarray, b: np.ndarray,
     out = np.empty(len(a) + len(b), np.int64)
     out[np.arange(len(a)) + np.repeat(groups[:, 2], na)] = a * 4 + sep_a
     out[np.arange(len(b)) + np.repeat(groups[:, 1], nb)] = b * 4 + sep_b
-    shown = max((s.shown for s in sides_), key=len)
-    after = (",", "|", ";", "")
-    ids, seps = (out >> 2).tolist(), (out & 3).tolist()
-    return [shown[i] + after[s] for i, s in zip(ids, seps)]
+    return list(map(max((s.shown for s in sides_), key=len).__getitem__, out.tolist()))
+
+
+def spelled(side: Side, ids: list[np.ndarray], raw: list[bytes]) -> np.ndarray:
+    """Whether each text's tokens give back its bytes."""
+    sizes = [side.lengths[t] for t in ids]
+    ok = np.array([int(n.sum()) == len(r) for n, r in zip(sizes, raw)], bool)
+    some = np.flatnonzero(ok)
+    if len(some):
+        made = side.spell(np.concatenate([ids[k] for k in some]), np.concatenate([sizes[k] for k in some]))
+        want = np.frombuffer(b"".join(raw[k] for k in some), np.uint8)
+        begin = np.cumsum([0] + [len(raw[k]) for k in some[:-1]])
+        ok[some] = ~np.logical_or.reduceat(made != want, begin)
+    return ok
 
 
 def align_batch(texts: list[str], sides_: tuple[Side, Side], with_tokens: bool = False) -> dict[str, list | np.ndarray]:
@@ -177,15 +198,13 @@ def align_batch(texts: list[str], sides_: tuple[Side, Side], with_tokens: bool =
     rows, side_a, side_b = len(texts), *sides_
     out = {name: np.zeros(rows, np.int64) for name in ("n_a", "n_b", "n_groups", "n_links")}
     out["groups_sha256"], out["tokens"] = [""] * rows, [([], [], [], [])] * rows
-    good, ids_a, ids_b = [], [], []
     full = [i for i, t in enumerate(texts) if t]
-    encoded = [s.tokens.encode([texts[i] for i in full]) for s in sides_]
-    for i, *ids in zip(full, *encoded):
-        want = (" " + texts[i]).encode()
-        if all(b"".join(map(s.tokens.bytes.__getitem__, t.tolist())) == want for s, t in zip(sides_, ids)):
-            good.append(i)
-            ids_a.append(ids[0])
-            ids_b.append(ids[1])
+    raw = [(" " + texts[i]).encode() for i in full]
+    encoded, same = [s.tokens.encode([texts[i] for i in full]) for s in sides_], np.ones(len(full), bool)
+    for side, ids in zip(sides_, encoded):
+        same &= spelled(side, ids, raw)
+    good = [full[k] for k in np.flatnonzero(same)]
+    ids_a, ids_b = ([ids[k] for k in np.flatnonzero(same)] for ids in encoded)
     if not good:
         out["keys"], out["links"] = np.empty(0, np.int64), np.empty(0, np.int64)
         return out
