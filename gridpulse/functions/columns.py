@@ -60,6 +60,17 @@ def to_count(c: Column | str) -> Column:
     return F.coalesce(to_number(c), F.lit(0.0)).cast("long")
 
 
+def first_known(*candidates: Column | str | float) -> Column:
+    """The first value that is neither null nor NaN; plain numbers may end the list."""
+    def usable(c) -> Column:
+        if not isinstance(c, (str, Column)):
+            return F.lit(c)
+        value = as_column(c)
+        return F.when(~F.isnan(value.try_cast("double")) | value.try_cast("double").isNull(), value)
+
+    return F.coalesce(*map(usable, candidates))
+
+
 def clip(c: Column | str, low: float | None = None, high: float | None = None) -> Column:
     value = as_column(c)
     if low is not None:
@@ -124,6 +135,11 @@ def minutes_between(start: Column | str, end: Column | str) -> Column:
     return (micros(end) - micros(start)) / F.lit(60_000_000.0)
 
 
+def to_day(c: Column | str) -> Column:
+    """The date a timestamp shows on its clock."""
+    return as_column(c).cast("timestamp_ntz").cast("date")
+
+
 def weekday(c: Column | str) -> Column:
     """Monday = 0."""
     return F.weekday(as_column(c))

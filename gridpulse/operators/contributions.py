@@ -9,19 +9,26 @@ Arrow batch look their patterns up (path-dependent tree explanation, Lundberg et
 from __future__ import annotations
 
 import math
-from collections.abc import Sequence
+from collections.abc import Iterable, Iterator, Sequence
 from dataclasses import dataclass
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+from pyarrow import fs, parquet
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from gridpulse.operators.features import quoted
-from gridpulse.session import scratch_path
+from gridpulse.session import open_store, scratch_path
 
 
+FILE_LEAVES = 2000          # leaves of a file
+HELD_FILES = 4              # files that a worker keeps in memory, at most
+
 # Up to this many path features a leaf's contributions are tabulated for all match patterns.
 TABLE_FEATURES = 8
 
@@ -46,19 +53,42 @@ class LeafGame:
 
 @dataclass
 class Explainer:
-    """``base`` + sum of a row's contributions = the model's raw output for the row."""
+    """``base`` + sum of a row's contributions = the model's raw output for the row.
+
+    The leaves lie in files of at most ``FILE_LEAVES`` under ``folder`` in shared storage. Tasks read them file by
+    file, so that neither driver nor tasks hold an ensemble's leaves at once; a small ensemble stays in the worker.
+    """
 
     features: list[str]
     base: float
-    games: list[LeafGame]
+    folder: str
 
     def contributions(self, x: np.ndarray) -> np.ndarray:
         out = np.zeros(x.shape)
-        for game in self.games:
-            out[:, game.features] += game.contributions(x[:, game.features])
+        for games in _leaf_files(self.folder):
+            for game in games:
+                out[:, game.features] += game.contributions(x[:, game.features])
         return out
 
 
+def _leaf_files(folder: str) -> Iterable[list[LeafGame]]:
+    store, root = open_store(folder)
+    files = sorted(f.path for f in store.get_file_info(fs.FileSelector(root)) if f.path.endswith(".parquet"))
+    return _held_games(folder) if len(files) <= HELD_FILES else (_games(store, f) for f in files)
+
+
+@lru_cache(maxsize=4)
+def _held_games(folder: str) -> list[list[LeafGame]]:
+    store, root = open_store(folder)
+    files = sorted(f.path for f in store.get_file_info(fs.FileSelector(root)) if f.path.endswith(".parquet"))
+    return [_games(store, f) for f in files]
+
+
+def _games(store: fs.FileSystem, file: str) -> list[LeafGame]:
+    rows = parquet.read_table(file, filesystem=store).to_pylist()
+    return [_game(r["value"], dict(zip(r["features"], zip(r["low"], r["high"], r["shares"])))) for r in rows if r["features"]]
+
+
 def _leaf_values(value: float, shares: np.ndarray, patterns: np.ndarray) -> np.ndarray:
     """Shapley values of one leaf, one row per match pattern.
 
@@ -89,55 +119,61 @@ def _game(value: float, path: dict[int, tuple]) -> LeafGame:
     return LeafGame(np.array(list(path)), low, high, value, shares, table)
 
 
-def _leaf_games(nodes: dict[int, tuple], scale: float) -> tuple[float, list[LeafGame]]:
-    """Games of one tree and its expected value. Node: (feature, cut, left, right, value, cover)."""
-    games, base = [], 0.0
+def _tree_leaves(nodes: dict[int, tuple]) -> Iterator[tuple[float, dict[int, tuple]]]:
+    """(value, path) of each leaf of a tree. Node: (feature, cut, left, right, value, cover)."""
     todo = [(0, {})]
     while todo:
         at, path = todo.pop()
         feature, cut, left, right, value, cover = nodes[at]
         if left < 0:
-            value *= scale
-            base += value * math.prod(p[2] for p in path.values())
-            if path:
-                games.append(_game(value, path))
+            yield value, path
             continue
         for child, is_left in ((left, True), (right, False)):
             low, high, share = path.get(feature, (-np.inf, np.inf, 1.0))
             share *= nodes[child][5] / cover
             low, high = (low, min(high, cut)) if is_left else (max(low, cut), high)
             todo.append((child, {**path, feature: (low, high, share)}))
-    return base, games
 
 
-def _node_tables(spark, model) -> dict[int, dict[int, tuple]]:
-    """Nodes per tree of a saved ensemble. Size: trees times nodes, set by the model's settings."""
-    path = scratch_path(spark, "explain")
-    model.write().overwrite().save(path)
-    rows = spark.read.parquet(f"{path}/data").select("treeID", "nodeData.*").collect()
-    trees: dict[int, dict[int, tuple]] = {}
-    for r in rows:
-        cut = r.split.leftCategoriesOrThreshold
-        trees.setdefault(r.treeID, {})[r.id] = (
-            r.split.featureIndex, cut[0] if cut else 0.0, r.leftChild, r.rightChild, r.prediction, float(r.rawCount),
-            list(r.impurityStats or []))
-    return trees
+LEAVES = "value double, expected double, features array<int>, low array<double>, high array<double>, shares array<double>"
 
 
 def tree_explainer(spark, model, features: Sequence[str]) -> Explainer:
-    """Explains the raw output: log-scale prediction, boosting margin, or forest probability of class 1."""
+    """Explains the raw output: log-scale prediction, boosting margin, or forest probability of class 1.
+
+    The saved model's nodes are a table; one task per tree turns it into leaves, which are stored as a table too.
+    """
     is_forest = type(model).__name__.startswith("RandomForest")
     weights = list(model.treeWeights)
     scale = [1.0 / len(weights)] * len(weights) if is_forest else weights
-    base, games = 0.0, []
-    for tree_id, nodes in _node_tables(spark, model).items():
-        if is_forest and "Classification" in type(model).__name__:
-            plain = {i: (*n[:4], (n[6][1] / max(sum(n[6]), 1e-12)), n[5]) for i, n in nodes.items()}
-        else:
-            plain = {i: n[:6] for i, n in nodes.items()}
-        part, more = _leaf_games(plain, scale[tree_id])
-        base, games = base + part, games + more
-    return Explainer(list(features), base, games)
+    path, folder = scratch_path(spark, "explain"), scratch_path(spark, "leaves")
+    model.write().overwrite().save(path)
+    node, stats = F.col("nodeData"), F.col("nodeData.impurityStats")
+    value = node["prediction"]
+    if is_forest and "Classification" in type(model).__name__:
+        total = F.aggregate(stats, F.lit(0.0), lambda a, b: a + b)
+        value = F.get(stats, F.lit(1)) / F.greatest(total, F.lit(1e-12))
+    nodes = spark.read.parquet(f"{path}/data").select(
+        "treeID", node["id"].alias("id"), node["split"]["featureIndex"].alias("feature"),
+        F.coalesce(F.get(node["split"]["leftCategoriesOrThreshold"], F.lit(0)), F.lit(0.0)).alias("cut"),
+        node["leftChild"].alias("left"), node["rightChild"].alias("right"), value.cast("double").alias("value"),
+        node["rawCount"].cast("double").alias("cover"))
+    wire = to_arrow_schema(spark.createDataFrame([], LEAVES).schema)
+
+    def leaves(table: pa.Table) -> pa.Table:
+        columns = [table.column(c).to_pylist() for c in ("id", "feature", "cut", "left", "right", "value", "cover")]
+        tree = {row[0]: row[1:] for row in zip(*columns)}
+        by, rows = scale[table.column("treeID")[0].as_py()], []
+        for worth, path_ in _tree_leaves(tree):
+            low, high, shares = ([float(p[i]) for p in path_.values()] for i in range(3))
+            rows.append({"value": worth * by, "expected": worth * by * math.prod(shares), "features": list(path_),
+                         "low": low, "high": high, "shares": shares})
+        return pa.Table.from_pylist(rows, schema=wire)
+
+    found = nodes.groupBy("treeID").applyInArrow(leaves, LEAVES)
+    found.write.option("maxRecordsPerFile", FILE_LEAVES).parquet(folder)
+    base = spark.read.schema(LEAVES).parquet(folder).agg(F.sum("expected")).first()[0]
+    return Explainer(list(features), float(base or 0.0), folder)
 
 
 def _explained(df: DataFrame, explainer: Explainer, keys: Sequence[str]) -> DataFrame:

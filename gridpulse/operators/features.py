@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gridpulse.functions.columns import clip, require_columns, to_number, weekday
-from gridpulse.functions.skew import group_quantiles
+from gridpulse.functions.skew import group_quantiles, numbered, spread_join
 from gridpulse.session import cut_lineage
 
 # Default feature lists of the three models, in model order.
@@ -85,6 +85,32 @@ def one_hot(df: DataFrame, column: str = "event_type", categories: Sequence[str]
     return out.drop(column) if drop else out
 
 
+def category_index(df: DataFrame, column: str = "event_type") -> DataFrame:
+    """(category, index, rows): every category with its place (from 0) in the order of names; null counts as "None".
+
+    However many categories there are, none comes to the driver.
+    """
+    counts = df.groupBy(F.coalesce(F.col(column).cast("string"), F.lit("None")).alias("category")).agg(F.count(F.lit(1)).alias("rows"))
+    placed = numbered(counts, [], ["category"], "index")
+    return placed.select("category", (F.col("index") - 1).alias("index"), "rows")
+
+
+def one_hot_vector(df: DataFrame, categories: DataFrame, column: str = "event_type", name: str = "event_vector",
+                   drop: bool = True) -> DataFrame:
+    """One sparse vector per row instead of a column per category: 1 at the category's index, at the last place for
+    categories that are not in ``categories`` (a ``category_index``)."""
+    from pyspark.ml.feature import OneHotEncoder
+    known = categories.select(F.col("category").alias("_category"), F.col("index").cast("double").alias("_index"))
+    width = categories.count()
+    held = df.withColumn("_category", F.coalesce(F.col(column).cast("string"), F.lit("None")))
+    placed = spread_join(held, known, ["_category"]).withColumn("_index", F.coalesce("_index", F.lit(float(width))))
+    # The encoder takes its size from the largest index it is shown.
+    shown = df.sparkSession.createDataFrame([(float(width),)], "_index double")
+    encoder = OneHotEncoder(inputCols=["_index"], outputCols=[name], dropLast=False).fit(shown)
+    out = encoder.transform(placed).drop("_index", "_category")
+    return out.drop(column) if drop else out
+
+
 def impact_density(df: DataFrame, cap: float | None = None) -> DataFrame:
     ratio = F.col("initial_customers_affected") / F.greatest("county_max_customers", F.lit(1))
     return df.withColumn("initial_impact_density", ratio if cap is None else clip(ratio, high=cap))

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from gridpulse.functions.columns import array_mean, array_total, clean_text, weekday, zero_nulls
-from gridpulse.functions.skew import salted_join
+from gridpulse.functions.skew import spread_join
 from gridpulse.functions.weather import (KMH_PER_MS, MM_PER_CM, MM_PER_M, code_flags_any,
                                          outside_physical_bounds, severe_proxy)
 
@@ -45,10 +45,10 @@ def alias_table(geo: DataFrame, name: str = "county_name", code: str = "fips", o
     return each.groupBy("alias").agg(F.max_by("_code", rank).alias("fips_code"))
 
 
-def resolve_names(polls: DataFrame, aliases: DataFrame, title: str = "title", salts: int = 16) -> DataFrame:
+def resolve_names(polls: DataFrame, aliases: DataFrame, title: str = "title") -> DataFrame:
     """Adds ``fips_code``; names nobody knows stay with null."""
     keyed = polls.withColumn("alias", F.lower(title))
-    return salted_join(keyed, aliases, ["alias"], "left", salts).drop("alias")
+    return spread_join(keyed, aliases, ["alias"]).drop("alias")
 
 
 def unknown_names(polls: DataFrame, aliases: DataFrame, title: str = "title") -> DataFrame:
@@ -78,12 +78,13 @@ def sum_providers(polls: DataFrame, keys: Sequence[str] = ("fips_code",), value:
 
 
 def poll_delta(polls: DataFrame, poll: str = "poll_no", entity: str = "fips_code",
-               value: str = "customers") -> DataFrame:
+               value: str = "customers", known: DataFrame | None = None) -> DataFrame:
     """Change against the immediately preceding poll; an entity absent there changes by 0.
 
-    One row per (poll, entity) goes in, so the previous poll is an equi join on unique keys.
+    One row per (poll, entity) goes in, so the previous poll is an equi join on unique keys. ``known`` holds the polls
+    to compare with, by default ``polls`` itself.
     """
-    before = polls.select((F.col(poll) + 1).alias(poll), entity, F.col(value).alias("_prev"))
+    before = (polls if known is None else known).select((F.col(poll) + 1).alias(poll), entity, F.col(value).alias("_prev"))
     joined = polls.join(before, [poll, entity], "left")
     prev = F.coalesce("_prev", F.col(value))
     return joined.withColumns({
@@ -97,20 +98,19 @@ def live_totals(polls: DataFrame, by: Sequence[str] = (), value: str = "customer
                      F.coalesce(F.sum(value), F.lit(0.0)).alias("customers_total"))
 
 
-def attach_live(events: DataFrame, live: DataFrame, keys: Sequence[str] = ("fips_code",),
-                salts: int = 1) -> DataFrame:
+def attach_live(events: DataFrame, live: DataFrame, keys: Sequence[str] = ("fips_code",)) -> DataFrame:
     """Adds the live features, 0 where nothing was polled."""
     renamed = live.select(
         *keys, F.col("customers").alias("initial_customers_affected"),
         F.col("delta").alias("delta_customers_affected_15m"), F.col("pct_growth").alias("pct_growth_15m"))
-    out = salted_join(events, renamed, list(keys), "left", salts)
+    out = spread_join(events, renamed, keys)
     return out.fillna(0.0, [c for c in renamed.columns if c not in keys])
 
 
 # -- anomalies ----------------------------------------------------------------------------------
 
 def cross_section_zscore(rows: DataFrame, run: str | None, columns: Sequence[str] = ZSCORE_COLUMNS,
-                         limit: float = 4.0, salts: int = 16, name: str = "zscore_flag") -> DataFrame:
+                         limit: float = 4.0, name: str = "zscore_flag") -> DataFrame:
     """Flags rows further than ``limit`` sample deviations from their run's mean in any column.
 
     Without ``run`` all rows are one run, whose moments need no join.
@@ -121,7 +121,7 @@ def cross_section_zscore(rows: DataFrame, run: str | None, columns: Sequence[str
         held = rows.withColumn("_moments", one.select(F.struct(*one.columns)).scalar())
         joined = held.withColumns({c: F.col("_moments")[c] for c in one.columns}).drop("_moments")
     else:
-        joined = salted_join(rows, rows.groupBy(run).agg(*moments), [run], "left", salts)
+        joined = spread_join(rows, rows.groupBy(run).agg(*moments), [run])
     far = F.lit(False)
     for c in columns:
         std = F.col(f"_s_{c}")
@@ -130,9 +130,9 @@ def cross_section_zscore(rows: DataFrame, run: str | None, columns: Sequence[str
     return joined.withColumn(name, far).drop(*[f"_{k}_{c}" for c in columns for k in "ms"])
 
 
-def statistical_anomaly(rows: DataFrame, run: str | None, limit: float = 4.0, salts: int = 16) -> DataFrame:
+def statistical_anomaly(rows: DataFrame, run: str | None, limit: float = 4.0) -> DataFrame:
     """Physically impossible or far from the run's other entities."""
-    flagged = cross_section_zscore(rows, run, limit=limit, salts=salts, name="_z")
+    flagged = cross_section_zscore(rows, run, limit=limit, name="_z")
     bad = F.coalesce(outside_physical_bounds(), F.lit(False))
     return flagged.withColumn("stat_anomaly", bad | F.col("_z")).drop("_z")
 
@@ -258,8 +258,14 @@ def latest_cache(records: DataFrame, keys: Sequence[str] = ("fips_code",), stamp
 def top_contributions(contributions: DataFrame, keys: Sequence[str] = ("fips_code", "model"),
                       n: int = 10) -> DataFrame:
     """The ``n`` largest contributions by absolute value per key; ties by name."""
-    place = Window.partitionBy(*keys).orderBy(F.desc(F.abs("shap")), "name")
-    return contributions.withColumn("place", F.row_number().over(place)).where(F.col("place") <= n)
+    rest = [c for c in contributions.columns if c not in keys]
+    size = F.coalesce(-F.abs("shap"), F.lit(float("inf")))
+    order = F.struct(size.alias("_size"), F.col("name").alias("_name"), F.struct(*rest).alias("_row"))
+    # A key has one row per feature, so its list is as long as the model is wide.
+    ranked = contributions.groupBy(*keys).agg(F.slice(F.array_sort(F.collect_list(order)), 1, n).alias("_top"))
+    placed = ranked.select(*keys, F.posexplode("_top").alias("_at", "_t"))
+    return placed.select(*[F.col(c) if c in keys else F.col("_t._row")[c].alias(c) for c in contributions.columns],
+                         (F.col("_at") + 1).alias("place"))
 
 
 def global_importance(contributions: DataFrame, keys: Sequence[str] = ()) -> DataFrame:

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gridpulse.functions.columns import safe_ratio
-from gridpulse.functions.skew import running_totals
+from gridpulse.functions.skew import running_totals, spread_join
 
 
 def _n(condition: Column) -> Column:
@@ -215,11 +215,10 @@ def true_routing(df: DataFrame, threshold: float, true: str = "label", short: st
 
 
 def cascade_join(events: DataFrame, occurrence: DataFrame,
-                 keys: Sequence[str] = ("fips_code", "year", "month", "day"), salts: int = 16) -> DataFrame:
+                 keys: Sequence[str] = ("fips_code", "year", "month", "day")) -> DataFrame:
     """Events keep their prediction only when their entity-day was predicted; else 0."""
-    from gridpulse.functions.skew import salted_join
     flags = occurrence.groupBy(*keys).agg(F.max("occ_pred").alias("occ_pred"))
-    joined = salted_join(events, flags, list(keys), "left", salts, only_hot=True)
+    joined = spread_join(events, flags, keys)
     hit = F.coalesce(F.col("occ_pred") == 1, F.lit(False))
     return joined.withColumns({
         "occ_pred": F.coalesce("occ_pred", F.lit(0)),

@@ -40,8 +40,10 @@ def assemble(df: DataFrame, features: Sequence[str], name: str = VECTOR) -> Data
 
 def training_frame(df: DataFrame, features: Sequence[str], extra: Sequence[str]) -> DataFrame:
     """Only vector, label and ``extra``, stored in the shared folder."""
-    slim = assemble(df, features).select(VECTOR, *extra)
-    return cut_lineage(slim, "training")
+    slim = cut_lineage(assemble(df, features).select(VECTOR, *extra), "training")
+    # Learners pass over the rows once per round: all cores take part, also where the table is one small file.
+    cores = slim.sparkSession.sparkContext.defaultParallelism
+    return slim.repartition(cores) if slim.rdd.getNumPartitions() < cores else slim
 
 
 # -- single regressors --------------------------------------------------------------------------
@@ -56,18 +58,19 @@ class BoostSettings:
     subsample: float = 1.0
     columns: str = "all"
     seed: int = 42
+    tolerance: float = 0.001    # early stopping: the share by which a round has to lower the validation error
 
     def regressor(self) -> GBTRegressor:
         return GBTRegressor(
             featuresCol=VECTOR, labelCol="_y", predictionCol="_log_pred", maxIter=self.rounds, maxDepth=self.depth,
             stepSize=self.step, minInstancesPerNode=self.min_child, lossType=self.loss,
-            subsamplingRate=self.subsample, featureSubsetStrategy=self.columns, seed=self.seed)
+            subsamplingRate=self.subsample, featureSubsetStrategy=self.columns, seed=self.seed, validationTol=self.tolerance)
 
     def classifier(self) -> GBTClassifier:
         return GBTClassifier(
             featuresCol=VECTOR, labelCol="_y", predictionCol="_class", maxIter=self.rounds, maxDepth=self.depth,
             stepSize=self.step, minInstancesPerNode=self.min_child, subsamplingRate=self.subsample,
-            featureSubsetStrategy=self.columns, seed=self.seed,
+            featureSubsetStrategy=self.columns, seed=self.seed, validationTol=self.tolerance,
         ).setProbabilityCol("_probability").setRawPredictionCol("_raw")
 
 
@@ -242,6 +245,7 @@ class StackSettings:
     logistic_rounds: int = 1000
     meta_rounds: int = 3000
     folds: int = 5
+    early_share: float = 0.1          # of the rows a booster is fitted on, to stop it early
     seed: int = 42
 
 
@@ -266,6 +270,12 @@ def _base_learners(s: StackSettings) -> dict:
     }
 
 
+def _fit_bases(rows: DataFrame, s: StackSettings) -> dict:
+    """The four base models; boosting stops early on the rows marked ``_val``."""
+    return {name: _fit_stopping(learner, rows) if name in ("boost", "plain") else learner.fit(rows)
+            for name, learner in _base_learners(s).items()}
+
+
 @dataclass
 class StackedModel:
     bases: dict
@@ -332,12 +342,13 @@ def fit_stacking(train: DataFrame, features: Sequence[str], keys: Sequence[str],
     marked = marked.withColumns({
         "_w_boost": F.when(F.col("_y") == 1, s.boost_weight).otherwise(1.0),
         "_w_balanced": _class_weights(marked)})
-    stored = training_frame(marked, features, ["_y", "_fold", "_w_boost", "_w_balanced"])
+    marked = marked.withColumn("_val", split_share(keys, s.seed + 2) < s.early_share)
+    stored = training_frame(marked, features, ["_y", "_fold", "_val", "_w_boost", "_w_balanced"])
     out_of_fold = []
     for fold in range(s.folds):
         inside, outside = stored.where(F.col("_fold") != fold), stored.where(F.col("_fold") == fold)
-        for name, learner in _base_learners(s).items():
-            outside = _probability(learner.fit(inside), outside, f"p_{name}")
+        for name, model in _fit_bases(inside, s).items():
+            outside = _probability(model, outside, f"p_{name}")
         out_of_fold.append(outside.select("_y", "_w_balanced", *[f"p_{b}" for b in BASES]))
     level = VectorAssembler(inputCols=[f"p_{b}" for b in BASES], outputCol=VECTOR).transform(
         reduce(DataFrame.unionByName, out_of_fold))
@@ -345,7 +356,7 @@ def fit_stacking(train: DataFrame, features: Sequence[str], keys: Sequence[str],
     final = LogisticRegression(
         featuresCol=VECTOR, labelCol="_y", weightCol="_w_balanced", maxIter=s.meta_rounds, predictionCol="_class",
         probabilityCol="_probability", rawPredictionCol="_raw").fit(level)
-    model = StackedModel({n: learner.fit(stored) for n, learner in _base_learners(s).items()}, final, list(features))
+    model = StackedModel(_fit_bases(stored, s), final, list(features))
     scored = model.predict(val_part).select(F.col("_y").alias("label"), F.col("occ_prob").alias("score"))
     model.threshold = float(tune_threshold_f2(scored).first().threshold)
     return model

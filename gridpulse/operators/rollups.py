@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gridpulse.functions.columns import parse_date, require_columns, to_number
-from gridpulse.functions.skew import group_quantiles, salted_join
+from gridpulse.functions.skew import group_quantiles, spread_join
 from gridpulse.functions.weather import CODE_FLAGS, KMH_PER_MS, code_flags
 
 # Station element, unit factor, output column.
@@ -81,7 +81,7 @@ def entity_day_rollup(station_days: DataFrame, entity: str = "fips_code", date:
 
 
 def station_to_entity(station_days: DataFrame, station_map: DataFrame) -> DataFrame:
-    return salted_join(station_days, station_map.select("station_id", "fips_code"), ["station_id"])
+    return spread_join(station_days, station_map.select("station_id", "fips_code"), ["station_id"])
 
 
 def quality_filter(obs: DataFrame, elements: DataFrame | None = None) -> DataFrame:
@@ -90,7 +90,7 @@ def quality_filter(obs: DataFrame, elements: DataFrame | None = None) -> DataFra
         scale = F.create_map(*[F.lit(x) for k, (f, _) in ELEMENTS.items() for x in (k, f)])
         scaled = obs.withColumn("_scale", F.try_element_at(scale, F.col("element")))
     else:
-        scaled = salted_join(obs, elements.select("element", F.col("scale").alias("_scale")), ["element"])
+        scaled = spread_join(obs, elements.select("element", F.col("scale").alias("_scale")), ["element"])
     kept = scaled.where((F.trim(F.coalesce("q_flag", F.lit(""))) == "") & F.col("_scale").isNotNull())
     kept = kept.withColumn("value", to_number("value") * F.col("_scale"))
     return kept.where(F.col("value").isNotNull()).select("station_id", "date", "element", "value")

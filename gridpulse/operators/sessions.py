@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from gridpulse.functions.columns import micros, minutes_between, require_columns, to_number
-from gridpulse.functions.skew import group_quantiles, salted_join, time_buckets, time_carry
+from gridpulse.functions.skew import group_quantiles, numbered, spread_join, time_buckets, time_carry
 from gridpulse.functions.weather import CODE_FLAGS
 
 # Columns whose first known value inside an event is kept when the input has them.
@@ -27,11 +27,12 @@ def _ties(df: DataFrame, tiebreak: Sequence[str] | None, known: Sequence[str]) -
 
 
 def gap_to_previous(df: DataFrame, entity: str = "fips_code", ts: str = "run_start_time",
-                    tiebreak: Sequence[str] | None = None, bucket_minutes: float | None = 1440,
-                    time_bins: int | None = None, name: str = "gap_minutes") -> DataFrame:
+                    tiebreak: Sequence[str] | None = None, bucket_minutes: float = 1440,
+                    bucket_rows: int | None = None, name: str = "gap_minutes") -> DataFrame:
     """Minutes since the entity's previous row, null on its first row. Rows without entity or time go."""
     tiebreak = _ties(df, tiebreak, [entity, ts])
-    rows = time_buckets(df.where(F.col(ts).isNotNull() & F.col(entity).isNotNull()).withColumn("_us", micros(ts)), bucket_minutes, time_bins)
+    rows = df.where(F.col(ts).isNotNull() & F.col(entity).isNotNull()).withColumn("_us", micros(ts))
+    rows = time_buckets(rows, entity, bucket_minutes, bucket_rows)
     rows = time_carry(rows, entity, tiebreak, [ts])
     return rows.withColumn(name, minutes_between(f"prev_{ts}", ts)).drop(
         f"prev_{ts}", "_us", "_bucket")
@@ -40,14 +41,14 @@ def gap_to_previous(df: DataFrame, entity: str = "fips_code", ts: str = "run_sta
 def island_ids(df: DataFrame, entity: str = "fips_code", ts: str = "run_start_time",
                value: str = "customers_affected", tiebreak: Sequence[str] | None = None,
                snapshot_minutes: float = 15, gap_multiplier: float = 2,
-               bucket_minutes: float | None = None, time_bins: int | None = None,
+               bucket_minutes: float | None = None, bucket_rows: int | None = None,
                name: str = "block") -> DataFrame:
     """Number each entity's runs of equal on/off state, broken by long gaps, from 1."""
     limit = gap_multiplier * snapshot_minutes
     tiebreak = _ties(df, tiebreak, [entity, ts])
     rows = df.where(F.col(ts).isNotNull() & F.col(entity).isNotNull()).withColumns({
         "is_outage": F.coalesce(F.col(value) > 0, F.lit(False)), "_us": micros(ts)})
-    rows = time_buckets(rows, bucket_minutes or DAY_OF_SNAPSHOTS * snapshot_minutes, time_bins)
+    rows = time_buckets(rows, entity, bucket_minutes or DAY_OF_SNAPSHOTS * snapshot_minutes, bucket_rows)
     rows = time_carry(rows, entity, tiebreak, [ts, "is_outage"])
     rows = rows.withColumn("_start", (
         F.col("prev_is_outage").isNull() | (F.col("prev_is_outage") != F.col("is_outage"))
@@ -69,7 +70,7 @@ def sessionize(df: DataFrame, entity: str = "fips_code", ts: str = "run_start_ti
                gap_multiplier: float = 2, tiebreak: Sequence[str] | None = None,
                carried: Sequence[str] | None = None, event_type: str = "event_type",
                magnitude: str = "magnitude", bucket_minutes: float | None = None,
-              time_bins: int | None = None) -> DataFrame:
+              bucket_rows: int | None = None) -> DataFrame:
     """Snapshots to events with early-growth features.
 
     An event is a maximal run of an entity's rows with ``value > 0`` in which no step from one row
@@ -80,11 +81,11 @@ def sessionize(df: DataFrame, entity: str = "fips_code", ts: str = "run_start_ti
     very many rows is thus sorted by as many tasks as it has buckets.
 
     Buckets are ``bucket_minutes`` wide, by default 96 expected snapshots. When rows may come far more
-    often than expected, pass ``time_bins`` (a power of two): buckets are then cut so that each holds
-    the same share of all rows, at the price of one extra pass over the time column.
+    often than expected, pass ``bucket_rows``: an entity's buckets with more rows than that are then cut finer,
+    at the price of one extra pass over entity and time.
     """
     runs = snapshot_runs(df, entity, ts, value, snapshot_minutes, gap_multiplier, tiebreak, carried, event_type,
-                         magnitude, bucket_minutes, time_bins)
+                         magnitude, bucket_minutes, bucket_rows)
     blocks = chain_runs(runs, entity, snapshot_minutes, gap_multiplier)
     return finish_events(blocks.where("_on"), entity, snapshot_minutes, event_type)
 
@@ -103,7 +104,7 @@ def snapshot_runs(df: DataFrame, entity: str = "fips_code", ts: str = "run_start
                   gap_multiplier: float = 2, tiebreak: Sequence[str] | None = None,
                   carried: Sequence[str] | None = None, event_type: str = "event_type",
                   magnitude: str = "magnitude", bucket_minutes: float | None = None,
-                  time_bins: int | None = None) -> DataFrame:
+                  bucket_rows: int | None = None) -> DataFrame:
     """Runs of equal state inside each (entity, time bucket), summed up. One shuffle of the rows.
 
     Off runs stay only at bucket edges, where they decide what the neighbour bucket continues. Rows of equal time
@@ -124,7 +125,7 @@ def snapshot_runs(df: DataFrame, entity: str = "fips_code", ts: str = "run_start
         F.coalesce(F.col(value) > 0, F.lit(False)).alias("_on"),
         *[F.col(t).alias(name) for t, name in zip(tiebreak, ties)], *[F.col(c) for c in first_of],
         *([to_number(magnitude).alias("_size")] if has_size else []))
-    rows = time_buckets(rows, bucket_minutes or DAY_OF_SNAPSHOTS * snapshot_minutes, time_bins)
+    rows = time_buckets(rows, entity, bucket_minutes or DAY_OF_SNAPSHOTS * snapshot_minutes, bucket_rows)
     inside = Window.partitionBy(entity, "_bucket").orderBy("_us", *ties)
     rows = rows.withColumns({
         "_start": F.when(
@@ -201,6 +202,24 @@ def finish_events(blocks: DataFrame, entity: str = "fips_code", snapshot_minutes
         (delta / F.greatest(initial, F.lit(1))).cast("double").alias("pct_growth_15m"), *also)
 
 
+def outage_rows(df: DataFrame, value: str = "customers_affected") -> DataFrame:
+    """Readings with customers out; unknown counts are none."""
+    require_columns(df, [value])
+    return df.where(F.col(value) > 0)
+
+
+def entity_time_places(df: DataFrame, entity: str = "fips_code", ts: str = "run_start_time",
+                       tiebreak: Sequence[str] | None = None, name: str = "place") -> DataFrame:
+    """Each row's place in its entity's order of time. Rows of an entity are sorted in as many tasks as they need."""
+    return numbered(df, [entity], [ts, *_ties(df, tiebreak, [entity, ts])], name)
+
+
+def sort_entity_time(df: DataFrame, entity: str = "fips_code", ts: str = "run_start_time",
+                     tiebreak: Sequence[str] | None = None) -> DataFrame:
+    """Rows by entity and time, equal ones by ``tiebreak`` (by default all other columns that have an order)."""
+    return df.orderBy(entity, ts, *_ties(df, tiebreak, [entity, ts]))
+
+
 def valid_durations(events: DataFrame, low: float = 0, high: float = 10080) -> DataFrame:
     require_columns(events, ["duration_minutes"])
     return events.where((F.col("duration_minutes") > low) & (F.col("duration_minutes") <= high))
@@ -263,8 +282,8 @@ def entity_stats(events: DataFrame, entity: str = "fips_code", long_minutes: flo
 
 
 def add_history(events: DataFrame, history: DataFrame, entity: str = "fips_code",
-                fill: float | None = None, salts: int = 16) -> DataFrame:
-    out = salted_join(events, history, [entity], "left", salts)
+                fill: float | None = None) -> DataFrame:
+    out = spread_join(events, history, [entity])
     if fill is None:
         return out
     return out.fillna(fill, [c for c in history.columns if c != entity])

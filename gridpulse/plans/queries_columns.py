@@ -65,7 +65,7 @@ def _(spark, sf):
 
 @query("fn7_truncate_to_date", "SELECT event_id, CAST(ts AS DATE) AS date FROM events")
 def _(spark, sf):
-    return table(spark, sf, "events").select("event_id", F.to_date("ts").alias("date"))
+    return table(spark, sf, "events").select("event_id", C.to_day("ts").alias("date"))
 
 
 @query("fn8_minutes_between", "SELECT event_id, (epoch_us(ts) - epoch_us(TIMESTAMP '2024-01-01')) / 60000000.0 "
@@ -117,7 +117,7 @@ def _(spark, sf):
 
 @query("fn13_first_known", f"WITH {SNAP} SELECT event_id, coalesce(magnitude, prcp_mm, 0.0) AS v FROM snap")
 def _(spark, sf):
-    return snapshots(spark, sf).select("event_id", F.coalesce("magnitude", "prcp_mm", F.lit(0.0)).alias("v"))
+    return snapshots(spark, sf).select("event_id", C.first_known("magnitude", "prcp_mm", 0.0).alias("v"))
 
 
 @query("fn14_code_sets", "SELECT user_id, CAST(max(CAST(k IN (95, 96, 99) AS INT)) AS INT) AS thunder, "

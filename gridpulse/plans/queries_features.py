@@ -92,3 +92,17 @@ def _(spark, sf):
 @query("snk3_export_sample")
 def _(spark, sf):
     return X.export_sample(X.occurrence_features(panel(spark, sf), check=False), ["fips_code", "date"])
+
+
+@query("prj5_one_hot_sparse", "WITH c AS (SELECT p_type, dense_rank() OVER (ORDER BY p_type) - 1 AS i, (SELECT count(DISTINCT p_type) FROM part) AS n FROM part "
+       "WHERE p_type NOT LIKE 'PROMO%' GROUP BY p_type), w AS (SELECT count(*) AS n FROM c) SELECT p_partkey, w.n + 1 AS width, "
+       "coalesce(c.i, w.n) AS place, 1.0::DOUBLE AS total FROM part CROSS JOIN w LEFT JOIN c ON c.p_type = part.p_type")
+def _(spark, sf):
+    from pyspark.ml.functions import vector_to_array
+    # Categories without the promotional ones: their rows get the place of unknown categories.
+    part = table(spark, sf, "part").select("p_partkey", "p_type")
+    known = X.category_index(part.where("p_type NOT LIKE 'PROMO%'"), "p_type")
+    values = vector_to_array("v")
+    return X.one_hot_vector(part, known, "p_type", "v").select(
+        "p_partkey", F.size(values).cast("long").alias("width"), (F.array_position(values, F.lit(1.0)) - 1).alias("place"),
+        F.aggregate(values, F.lit(0.0), lambda a, b: a + b).alias("total"))

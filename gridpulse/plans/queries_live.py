@@ -51,7 +51,7 @@ def _(spark, sf):
        "FROM daily LEFT JOIN delta ON delta.fips_code = daily.fips_code AND poll_no = date_diff('day', DATE '2024-01-02', date)")
 def _(spark, sf):
     d = daily_panel(spark, sf).select("fips_code", "date", F.datediff("date", F.lit("2024-01-02")).cast("long").alias("poll_no"))
-    out = L.attach_live(d, L.poll_delta(polls(spark, sf)), ["fips_code", "poll_no"], salts=4)
+    out = L.attach_live(d, L.poll_delta(polls(spark, sf)), ["fips_code", "poll_no"])
     return rounded(out.drop("poll_no"), 6)
 
 

@@ -1,11 +1,14 @@
-"""Learned models, contributions and scoring on the tables, with small settings.
+"""Learned models, contributions and scoring on the tables, with the settings of full training.
 
 Fitted models have no SQL; these entries are rows-only, except where a property of the result can be
-stated in SQL (contributions add up, splits are complete, reports have all their rows).
+stated in SQL (contributions add up, importances too, reports have all their rows, flags their share).
+Models that several queries use are fitted once per session and stored; what a query returns does not depend on
+which of them came first, as fits depend on the rows and seeds only.
 """
 
 from __future__ import annotations
 
+import hashlib
 from functools import partial
 
 from pyspark.ml.functions import vector_to_array
@@ -24,17 +27,11 @@ from gridpulse.plans.catalog import query, table
 from gridpulse.plans.queries_features import panel
 from gridpulse.plans.queries_live import hourly_arrays, polls
 from gridpulse.plans.scoring import explain_entities, forecast_scoring, live_scoring
-from gridpulse.session import cut_lineage, scratch_path
+from gridpulse.session import cut_lineage, path_exists, scratch_path, shared_dir
 from gridpulse.streaming import jobs as J
 
 EVENT_KEYS = ["key_fips_code", "start_time"]
 DAY_KEYS = ["fips_code", "date"]
-BOOST = M.BoostSettings(rounds=3, depth=3)
-STACK = M.StackSettings(
-    boost=M.BoostSettings(2, 3, 0.3, subsample=0.8, columns="0.8"), forest_trees=3, forest_depth=4,
-    plain=M.BoostSettings(2, 2, 0.3), logistic_rounds=5, meta_rounds=10, folds=2)
-
-
 def is_late(column: str = "start_time"):
     return F.col(column) >= F.lit("2024-01-24").cast("timestamp_ntz")
 
@@ -51,62 +48,103 @@ def occurrence_matrix(spark, sf):
     return cut_lineage(X.occurrence_features(panel(spark, sf), check=False), "occurrence")
 
 
-def two_stage(matrix, kind: str):
-    base = M.duration_settings(LONG_MINUTES) if kind == "duration" else M.scope_settings(LARGE)
-    return M.fit_two_stage(matrix, T.feature_names(matrix, EVENT_KEYS), EVENT_KEYS, settings=base.with_rounds(3, 3))
+def stored_model(spark, sf, name: str, kind, fit):
+    """The model ``fit()`` makes, stored under the shared folder for this session and tables, and read from there."""
+    key = hashlib.sha256(f"{spark.sparkContext.applicationId}|{sf}|{name}".encode()).hexdigest()[:24]
+    path = f"{shared_dir(spark)}/models-{key}"
+    if not path_exists(spark, f"{path}/meta/_SUCCESS"):
+        fit().save(path)
+    return kind.load(spark, path)
+
+
+def settings_of(kind: str) -> M.TwoStageSettings:
+    return M.duration_settings(LONG_MINUTES) if kind == "duration" else M.scope_settings(LARGE)
+
+
+def two_stage(spark, sf, kind: str):
+    def fit():
+        matrix = (duration_matrix if kind == "duration" else scope_matrix)(spark, sf)
+        return M.fit_two_stage(matrix, T.feature_names(matrix, EVENT_KEYS), EVENT_KEYS, settings=settings_of(kind))
+    return stored_model(spark, sf, kind, M.TwoStageModel, fit)
+
+
+def stacked(spark, sf):
+    def fit():
+        matrix = occurrence_matrix(spark, sf)
+        return M.fit_stacking(matrix, T.feature_names(matrix, DAY_KEYS), DAY_KEYS)
+    return stored_model(spark, sf, "occurrence", M.StackedModel, fit)
 
 
 @query("ml1_duration_regressor")
 def _(spark, sf):
     m = duration_matrix(spark, sf)
-    model = M.fit_regressor(m, T.feature_names(m, EVENT_KEYS), BOOST, heavy_from=LONG_MINUTES, heavy_weight=3.0)
+    model = M.fit_regressor(m, T.feature_names(m, EVENT_KEYS), M.DURATION_SINGLE, heavy_from=LONG_MINUTES, heavy_weight=3.0,
+                            validation=X.split_share(EVENT_KEYS) > 0.8)
     return model.predict(m).select(*EVENT_KEYS, "label", "prediction")
 
 
 @query("ml1_scope_regressor")
 def _(spark, sf):
     m = scope_matrix(spark, sf)
-    model = M.fit_regressor(m, T.feature_names(m, EVENT_KEYS), M.BoostSettings(3, 3, 0.05))
+    model = M.fit_regressor(m, T.feature_names(m, EVENT_KEYS), M.SCOPE_SINGLE, validation=X.split_share(EVENT_KEYS) > 0.8)
     return model.predict(m).select(*EVENT_KEYS, "label", "prediction")
 
 
 @query("ml2_two_stage_fit")
 def _(spark, sf):
     m = scope_matrix(spark, sf)
-    return two_stage(m, "scope").predict(m).select(*EVENT_KEYS, "label", "p_long", "short_pred", "long_pred", "prediction", "routed")
+    return two_stage(spark, sf, "scope").predict(m).select(*EVENT_KEYS, "label", "p_long", "short_pred", "long_pred", "prediction", "routed")
 
 
-@query("ml6_stacking_fit")
+@query("ml2_routes_by_its_cut", f"WITH {SESS}, {GOOD} SELECT count(*) AS rows, 0 AS wrong FROM good")
 def _(spark, sf):
-    m = occurrence_matrix(spark, sf)
-    model = M.fit_stacking(m, T.feature_names(m, DAY_KEYS), DAY_KEYS, settings=STACK)
-    return model.base_probabilities(m).select(*DAY_KEYS, "label", "p_boost", "p_forest", "p_plain", "p_logistic")
+    model = two_stage(spark, sf, "duration")
+    by_cut = F.when(F.col("p_long") >= model.probability_cut, F.col("long_pred")).otherwise(F.col("short_pred"))
+    wrong = F.count_if((F.col("prediction") != by_cut) | F.col("prediction").isNull())
+    return model.predict(duration_matrix(spark, sf)).agg(F.count(F.lit(1)).alias("rows"), wrong.cast("int").alias("wrong"))
 
 
-@query("ml7_stacking_predict")
+@query("ml6_stacking_fit")
 def _(spark, sf):
+    return stacked(spark, sf).base_probabilities(occurrence_matrix(spark, sf)).select(
+        *DAY_KEYS, "label", "p_boost", "p_forest", "p_plain", "p_logistic")
+
+
+def _quality_rows(spark, sf):
     docs = table(spark, sf, "documents").select(
         "doc_id", F.col("n_chars").cast("double").alias("n_chars"), F.length(F.translate("text", "0123456789", "")).alias("letters"),
         F.size(F.split("text", " ")).alias("words"))
-    m = cut_lineage(table(spark, sf, "labels").join(docs, "doc_id").withColumn("label", F.col("quality").cast("double")), "quality")
-    model = M.fit_stacking(m, ["n_chars", "letters", "words"], ["doc_id"], settings=STACK)
+    return docs, cut_lineage(table(spark, sf, "labels").join(docs, "doc_id").withColumn("label", F.col("quality").cast("double")), "quality")
+
+
+@query("ml7_stacking_predict")
+def _(spark, sf):
+    docs, m = _quality_rows(spark, sf)
+    model = stored_model(spark, sf, "quality", M.StackedModel, lambda: M.fit_stacking(m, ["n_chars", "letters", "words"], ["doc_id"]))
     return model.predict(docs).select("doc_id", "occ_prob", "occ_pred")
 
 
 @query("ml15_split_importances")
 def _(spark, sf):
-    return two_stage(duration_matrix(spark, sf), "duration").importances(spark)
+    return two_stage(spark, sf, "duration").importances(spark)
+
+
+@query("ml15_importances_add_up", "SELECT part, 1.0::DOUBLE AS total FROM (VALUES ('classifier'), ('short'), ('long')) AS p(part)")
+def _(spark, sf):
+    sums = two_stage(spark, sf, "duration").importances(spark).groupBy("part").agg(F.sum("importance").alias("s"))
+    # A model whose trees have no split has no importances at all.
+    return sums.select("part", F.when(F.col("s") == 0, 1.0).otherwise(F.round("s", 6)).alias("total"))
 
 
 @query("top3_top_importances")
 def _(spark, sf):
-    return M.top_importances(two_stage(duration_matrix(spark, sf), "duration").importances(spark), 10, "classifier")
+    return M.top_importances(two_stage(spark, sf, "duration").importances(spark), 10, "classifier")
 
 
 @query("ml16_model_persist", f"WITH {SESS}, {GOOD} SELECT count(*) AS rows, 0.0::DOUBLE AS largest_difference FROM good")
 def _(spark, sf):
     m = duration_matrix(spark, sf)
-    model, path = two_stage(m, "duration"), scratch_path(spark, "model")
+    model, path = two_stage(spark, sf, "duration"), scratch_path(spark, "model")
     model.save(path)
     again = M.TwoStageModel.load(spark, path)
     both = again.predict(model.predict(m).select(*m.columns, F.col("prediction").alias("first")))
@@ -130,6 +168,13 @@ def _(spark, sf):
     return model.detect(v).select("vec_id", "ae_error", "anomaly_flag")
 
 
+@query("ml10_flags_five_percent", "SELECT count(*) AS rows, count(*) - CAST(floor(0.95 * (count(*) - 1)) AS BIGINT) - 1 AS flagged FROM embeddings")
+def _(spark, sf):
+    v = vectors(spark, sf)
+    found = fit_autoencoder(v, FEATURES).detect(v)
+    return found.agg(F.count(F.lit(1)).alias("rows"), F.count_if("anomaly_flag").alias("flagged"))
+
+
 @query("ml11_reconstruction_anomaly")
 def _(spark, sf):
     m = occurrence_matrix(spark, sf)
@@ -144,6 +189,13 @@ def _(spark, sf):
     return fit_isolation_forest(v, FEATURES, ["vec_id"]).detect(v).select("vec_id", "iso_score", "iso_anomaly")
 
 
+@query("ml12_flags_one_percent", "SELECT count(*) AS rows, count(*) - CAST(floor(0.99 * (count(*) - 1)) AS BIGINT) - 1 AS flagged FROM embeddings")
+def _(spark, sf):
+    v = vectors(spark, sf)
+    found = fit_isolation_forest(v, FEATURES, ["vec_id"]).detect(v)
+    return found.agg(F.count(F.lit(1)).alias("rows"), F.count_if("iso_anomaly").alias("flagged"))
+
+
 @query("pip13_anomaly_training")
 def _(spark, sf):
     m = occurrence_matrix(spark, sf)
@@ -156,7 +208,7 @@ def _(spark, sf):
 @query("ml13_contributions")
 def _(spark, sf):
     m = duration_matrix(spark, sf)
-    model = two_stage(m, "duration")
+    model = two_stage(spark, sf, "duration")
     return C.explain(m, C.tree_explainer(spark, model.classifier, model.features), EVENT_KEYS)
 
 
@@ -164,7 +216,7 @@ def _(spark, sf):
        "(VALUES ('classifier'), ('short'), ('long')) AS parts(part) GROUP BY part")
 def _(spark, sf):
     m = duration_matrix(spark, sf)
-    model = two_stage(m, "duration")
+    model = two_stage(spark, sf, "duration")
     out = []
     for part in ("classifier", "short", "long"):
         fitted = getattr(model, part)
@@ -186,7 +238,7 @@ def _(spark, sf):
 @query("pip11_explain_entity")
 def _(spark, sf):
     m = duration_matrix(spark, sf)
-    model = two_stage(m, "duration")
+    model = two_stage(spark, sf, "duration")
     latest = L.latest_cache(m.withColumn("run_ts", F.col("start_time")).withColumn(
         "fips", zfill(F.col("fips_code").cast("long"), 5)).drop(*EVENT_KEYS, "label"), ["fips"])
     rows = latest.withColumnRenamed("fips", "entity_code")
@@ -200,21 +252,21 @@ def _(spark, sf):
 
 @query("pip7_train_duration")
 def _(spark, sf):
-    _, _, report = T.train_two_stage(duration_matrix(spark, sf), "duration", EVENT_KEYS, M.duration_settings(LONG_MINUTES).with_rounds(3, 3),
-                                     BOOST, is_late(), path=scratch_path(spark, "duration-model"))
+    _, _, report = T.train_two_stage(duration_matrix(spark, sf), "duration", EVENT_KEYS, settings_of("duration"), None,
+                                     is_late(), path=scratch_path(spark, "duration-model"))
     return report
 
 
 @query("pip7_train_scope")
 def _(spark, sf):
-    _, _, report = T.train_two_stage(scope_matrix(spark, sf), "scope", EVENT_KEYS, M.scope_settings(LARGE).with_rounds(3, 3),
-                                     BOOST, is_late(), generalise=True)
+    _, _, report = T.train_two_stage(scope_matrix(spark, sf), "scope", EVENT_KEYS, settings_of("scope"), None,
+                                     is_late(), generalise=True)
     return report
 
 
 @query("pip7_train_occurrence")
 def _(spark, sf):
-    _, report = T.train_occurrence(occurrence_matrix(spark, sf), DAY_KEYS, STACK, F.dayofmonth("date") >= 24, path=scratch_path(spark, "occ"))
+    _, report = T.train_occurrence(occurrence_matrix(spark, sf), DAY_KEYS, None, F.dayofmonth("date") >= 24, path=scratch_path(spark, "occ"))
     return report
 
 
@@ -227,54 +279,25 @@ def _day_keyed(matrix):
 def _(spark, sf):
     occ = occurrence_matrix(spark, sf).withColumn("code", F.col("fips_code"))
     scope, duration = _day_keyed(scope_matrix(spark, sf)), _day_keyed(duration_matrix(spark, sf))
-    keys = EVENT_KEYS + ["code"]
-    names = lambda m, k: T.feature_names(m, k)
-    occ_model = M.fit_stacking(occ, names(occ, [*DAY_KEYS, "code"]), DAY_KEYS, settings=STACK)
-    scope_model = M.fit_two_stage(scope, names(scope, keys), EVENT_KEYS, settings=M.scope_settings(LARGE).with_rounds(3, 3))
-    duration_model = M.fit_two_stage(duration, names(duration, keys), EVENT_KEYS, settings=M.duration_settings(LONG_MINUTES).with_rounds(3, 3))
-    return T.cascade_batch(occ, scope, duration, occ_model, scope_model, duration_model, ["code", "year", "month", "day"],
+    return T.cascade_batch(occ, scope, duration, stacked(spark, sf), two_stage(spark, sf, "scope"), two_stage(spark, sf, "duration"), ["code", "year", "month", "day"],
                            F.col("day") >= 24)
 
 
 # -- scoring ------------------------------------------------------------------------------------
 
-_INPUTS: dict[tuple, tuple] = {}
-
-
 def scoring_inputs(spark, sf):
-    """Positions, history and small models shared by live and forecast scoring; fitted once per session."""
-    key = (spark.sparkContext.applicationId, sf)
-    if key not in _INPUTS:
-        _INPUTS.clear()
-        _INPUTS[key] = _scoring_inputs(spark, sf)
-    return _INPUTS[key]
-
-
-def _scoring_inputs(spark, sf):
+    """Positions, history and models shared by live and forecast scoring."""
     events = cut_lineage(S.valid_durations(sessions(spark, sf)), "events")
     stats = cut_lineage(S.entity_stats(events, long_minutes=LONG_MINUTES, large=LARGE), "stats")
-    e = table(spark, sf, "embeddings")
-    place = e.select(zfill("vec_id", 5).alias("fips_code"), (F.get("embedding", F.lit(0)) * 90).cast("double").alias("latitude"),
-                     (F.get("embedding", F.lit(1)) * 180).cast("double").alias("longitude"))
-    geo = stats.select("fips_code").join(place, "fips_code")
-    occ = occurrence_matrix(spark, sf)
-    occ_model = M.fit_stacking(occ, T.feature_names(occ, DAY_KEYS), DAY_KEYS, settings=STACK)
-    occ_model.threshold = 0.3
-    growth = list(X.GROWTH_FEATURES)
-    scope = X.scope_features(events, EVENT_TYPES, LARGE, materialise=False)
-    duration = X.duration_features(events, EVENT_TYPES, LONG_MINUTES, materialise=False)
-    return stats, geo, occ_model, two_stage(cut_lineage(scope.drop(*growth)), "scope"), two_stage(cut_lineage(duration.drop(*growth)), "duration")
-
-
-def fetched(spark, sf):
-    """Responses that arrived: users without a reading for the first hour count as failed."""
-    return hourly_arrays(spark, sf).where(F.get("hourly.precipitation", F.lit(0)).isNotNull())
+    # Every position of the table is an entity: those without any event are the ones whose fetch failed.
+    geo = table(spark, sf, "embeddings").select(
+        zfill("vec_id", 5).alias("fips_code"), (F.get("embedding", F.lit(0)) * 90).cast("double").alias("latitude"),
+        (F.get("embedding", F.lit(1)) * 180).cast("double").alias("longitude"))
+    return stats, geo, stacked(spark, sf), two_stage(spark, sf, "scope"), two_stage(spark, sf, "duration")
 
 
 def live_weather(spark, sf):
-    raw = fetched(spark, sf).withColumn(
-        "now", F.lit("2024-02-01 10:00:00").cast("timestamp_ntz"))
-    return L.live_day(raw)
+    return L.live_day(hourly_arrays(spark, sf).withColumn("now", F.lit("2024-02-01 10:00:00").cast("timestamp_ntz")))
 
 
 @query("pip9_live_scoring")
@@ -290,10 +313,20 @@ def _(spark, sf):
 @query("pip10_forecast_scoring")
 def _(spark, sf):
     stats, geo, occ, scope, duration = scoring_inputs(spark, sf)
-    raw = fetched(spark, sf)
+    raw = hourly_arrays(spark, sf)
     return forecast_scoring(raw, stats, geo, occ, scope, duration)
 
 
+@query("pip10_one_record_per_day", "WITH d AS (SELECT count(DISTINCT vec_id) AS n FROM embeddings) SELECT n AS entities, 0 AS repeated, 0 AS unknown FROM d")
+def _(spark, sf):
+    stats, geo, occ, scope, duration = scoring_inputs(spark, sf)
+    records = cut_lineage(forecast_scoring(hourly_arrays(spark, sf), stats, geo, occ, scope, duration), "records")
+    per = records.groupBy("date", "fips_code").count()
+    known = records.join(geo, "fips_code", "left_anti")
+    return records.agg(F.count_distinct("fips_code").alias("entities")).withColumns({
+        "repeated": F.lit(per.where("count > 1").count()).cast("int"), "unknown": F.lit(known.count()).cast("int")})
+
+
 @query("str1_live_prediction_stream")
 def _(spark, sf):
     stats, geo, occ, scope, duration = scoring_inputs(spark, sf)
@@ -314,7 +347,7 @@ def _score_live(weather, stats, geo, occ, scope, duration, changes):
 @query("str2_forecast_refresh")
 def _(spark, sf):
     stats, geo, occ, scope, duration = scoring_inputs(spark, sf)
-    raw = fetched(spark, sf)
+    raw = hourly_arrays(spark, sf)
     source, published, progress = (scratch_path(spark, n) for n in ("raw", "published", "progress"))
     raw.write.parquet(source)
     stream = J.file_stream(spark, source, raw.schema)

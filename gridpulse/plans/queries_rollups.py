@@ -118,7 +118,7 @@ def _(spark, sf):
 
 @query("agg12_missing_by_column", "SELECT 'kind' AS \"column\", count(*) - count(nullif(event_type, 'view')) AS missing, "
        "round((count(*) - count(nullif(event_type, 'view'))) / count(*) * 100, 6) AS percent FROM events "
-       "UNION ALL SELECT 'value', 0, 0.0 FROM region WHERE r_regionkey = 0")
+       "UNION ALL SELECT 'value', count(*) - count(value), round((count(*) - count(value)) / count(*) * 100, 6) FROM events")
 def _(spark, sf):
     e = table(spark, sf, "events").select(F.expr("nullif(event_type, 'view')").alias("kind"), "value")
     return rounded(R.missing_by_column(e), 6)
@@ -160,9 +160,10 @@ def _(spark, sf):
     return rounded(R.describe(table(spark, sf, "lineitem"), ["l_quantity", "l_extendedprice", "l_tax"]), 6)
 
 
-@query("agg21_lineage_by_source", "SELECT 'customer' AS source, 2::BIGINT AS feature_count, 'c_acctbal c_custkey' AS features FROM "
-       "(SELECT count(c_custkey) AS a, count(c_acctbal) AS b FROM customer) WHERE a > 0 AND b > 0 UNION ALL "
-       "SELECT 'events', 2, 'event_id value' FROM (SELECT count(event_id) AS a, count(value) AS b FROM events) WHERE a > 0 AND b > 0")
+@query("agg21_lineage_by_source", "WITH c AS (SELECT 'customer' AS source, 'c_custkey' AS f, count(c_custkey) AS n FROM customer "
+       "UNION ALL SELECT 'customer', 'c_acctbal', count(c_acctbal) FROM customer UNION ALL SELECT 'events', 'event_id', count(event_id) FROM events "
+       "UNION ALL SELECT 'events', 'value', count(value) FROM events UNION ALL SELECT 'events', 'never_set', count(CASE WHEN value < 0 THEN 1 END) FROM events) "
+       "SELECT source, count(*) AS feature_count, string_agg(f, ' ' ORDER BY f) AS features FROM c WHERE n > 0 GROUP BY source")
 def _(spark, sf):
     never = F.when(F.col("value") < 0, 1).alias("never_set")
     out = R.feature_lineage({

@@ -46,7 +46,7 @@ def _(spark, sf):
         F.expr("nullif(l_returnflag, 'N')").alias("event_type"), F.col("l_tax").alias("magnitude"),
         F.col("l_discount").alias("prcp_mm"), (F.col("l_linenumber") == 1).cast("int").alias("wt_fog"), "l_partkey", "l_extendedprice")
     out = S.sessionize(li, snapshot_minutes=SNAPSHOT_MINUTES, 
-                        tiebreak=["event_id", "l_partkey", "l_extendedprice"], time_bins=64)
+                        tiebreak=["event_id", "l_partkey", "l_extendedprice"], bucket_rows=2000)
     return out.select("fips_code", F.col("start_time").cast("timestamp_ntz").alias("start_time"),
                       F.col("end_time").cast("timestamp_ntz").alias("end_time"), "duration_minutes",
                       "peak_customers_affected", "initial_customers_affected",
@@ -64,7 +64,7 @@ _BLOCKS = sess_sql().split(",\nranked AS")[0]
 
 @query("win2_island_id", f"WITH {SNAP}, {_BLOCKS} SELECT event_id, is_on AS is_outage, block FROM blocks")
 def _(spark, sf):
-    return S.island_ids(snapshots(spark, sf), snapshot_minutes=SNAPSHOT_MINUTES, tiebreak=["event_id"], time_bins=32).select("event_id", "is_outage", "block")
+    return S.island_ids(snapshots(spark, sf), snapshot_minutes=SNAPSHOT_MINUTES, tiebreak=["event_id"], bucket_rows=50).select("event_id", "is_outage", "block")
 
 
 @query("win3_first_and_second", f"WITH {SESS} SELECT fips_code, start_time, initial_customers_affected, "
@@ -147,7 +147,7 @@ def _(spark, sf):
 
 @query("flt4_outage_rows", f"WITH {SNAP} SELECT event_id FROM snap WHERE customers_affected > 0")
 def _(spark, sf):
-    return snapshots(spark, sf).where(F.col("customers_affected") > 0).select("event_id")
+    return S.outage_rows(snapshots(spark, sf)).select("event_id")
 
 
 @query("prj1_temporal_features", f"WITH {SNAP} SELECT event_id, CAST(year(run_start_time) AS INT) AS year, CAST(month(run_start_time) AS INT) AS month, "
@@ -214,13 +214,10 @@ def _(spark, sf):
         "pct_growth_15m"), "weather_event_count")
 
 
-@query("top1_sort_entity_time", f"WITH {SNAP} SELECT event_id, row_number() OVER (PARTITION BY fips_code, CAST(run_start_time AS DATE) "
-       "ORDER BY run_start_time, event_id) AS place FROM snap")
+@query("top1_sort_entity_time", f"WITH {SNAP} SELECT event_id, row_number() OVER (PARTITION BY fips_code ORDER BY run_start_time, event_id) AS place FROM snap")
 def _(spark, sf):
-    # A place per entity and day: the day bounds what one task has to sort.
-    from pyspark.sql import Window
-    w = Window.partitionBy("fips_code", F.to_date("run_start_time")).orderBy("run_start_time", "event_id")
-    return snapshots(spark, sf).select("event_id", F.row_number().over(w).cast("long").alias("place"))
+    rows = snapshots(spark, sf).select("event_id", "fips_code", "run_start_time")
+    return S.entity_time_places(rows, tiebreak=["event_id"]).select("event_id", "place")
 
 
 # -- matrices -----------------------------------------------------------------------------------

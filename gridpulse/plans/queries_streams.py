@@ -14,14 +14,20 @@ from gridpulse.session import scratch_path
 from gridpulse.streaming import jobs as J
 
 
-def replayed(df, name: str, order: str, run, keys: list[str], parts: int = 3):
-    """Rows arrive in ``parts`` consecutive time slices; the stream is stopped and resumed in between.
+LATE_MINUTES = 2880
 
-    Each run continues from the checkpoint of the one before. Returns the last version per key.
+
+def replayed(df, name: str, order: str, run, read, parts: int = 3, late_minutes: float = 0):
+    """Rows arrive in ``parts`` slices; the stream is stopped and resumed in between, from its checkpoint.
+
+    Slices follow the time in ``order``, each row up to ``late_minutes`` late by a hash of the row. Returns
+    ``read(spark, target)``.
     """
     spark = df.sparkSession
     source, target, progress = (scratch_path(spark, f"{name}-{what}") for what in ("in", "out", "progress"))
     moment = F.col(order) if order == "poll_no" else F.unix_micros(F.col(order).cast("timestamp"))
+    if late_minutes:
+        moment = moment + F.pmod(F.xxhash64(*df.columns), F.lit(int(late_minutes * 60_000_000)))
     cuts = []
     if parts > 1:
         shares = [i / parts for i in range(1, parts)]
@@ -31,17 +37,26 @@ def replayed(df, name: str, order: str, run, keys: list[str], parts: int = 3):
         part = part if high is None else part.where(moment <= high)
         part.write.mode("append").parquet(source)
         run(J.file_stream(spark, source, df.schema), progress, target).awaitTermination()
-    return J.read_updates(spark, target, keys)
+    return read(spark, target)
 
 
-def versions(build, mode: str):
-    """Runs a stream that writes its own rows batch by batch."""
-    return lambda stream, progress, target: J.start(build(stream), progress, J.batch_writer(target), mode=mode)
+def versions(build, mode: str, keys: list[str]):
+    """How to run a stream whose rows update a current table, and how to read that."""
+    def run(stream, progress, target):
+        return J.start(build(stream), progress, J.current_writer(target, keys, every=2), mode=mode)
+
+    return run, partial(J.read_current, keys=keys)
 
 
 @query("str3_poll_delta_state", f"WITH {POLL} SELECT poll_no, fips_code, round(customers, 6) AS customers, round(delta, 6) AS delta, round(pct_growth, 6) AS pct_growth FROM delta")
 def _(spark, sf):
-    return rounded(replayed(polls(spark, sf), "polls", "poll_no", versions(J.poll_delta_stream, "append"), ["fips_code", "poll_no"]), 6)
+    state = scratch_path(spark, "polls-state")
+
+    def run(stream, progress, target):
+        return J.poll_delta_stream(stream, progress, target, state, every=None)
+
+    out = replayed(polls(spark, sf), "polls", "poll_no", run, lambda spark, target: spark.read.parquet(target).drop("batch"))
+    return rounded(out.select("poll_no", "fips_code", "customers", "delta", "pct_growth"), 6)
 
 
 @query("str4_session_stream", f"WITH {SESS} SELECT fips_code, start_time, end_time, peak_customers_affected, initial_customers_affected, "
@@ -50,9 +65,13 @@ def _(spark, sf):
     state = scratch_path(spark, "sessions-state")
 
     def run(stream, progress, target):
-        return J.session_stream(stream, progress, target, state, every=None, **SESSION_OPTIONS)
+        return J.session_stream(stream, progress, target, state, every=None, late_minutes=LATE_MINUTES, **SESSION_OPTIONS)
+
+    def read(spark, target):
+        return J.read_sessions(spark, target, state, **SESSION_OPTIONS)
 
-    out = replayed(snapshots(spark, sf), "sessions", "run_start_time", run, ["fips_code", "start_time"])
+    # Rows come in disorder, up to as late as the stream allows.
+    out = replayed(snapshots(spark, sf), "sessions", "run_start_time", run, read, late_minutes=LATE_MINUTES)
     return out.select(
         "fips_code", "start_time", "end_time", "peak_customers_affected", "initial_customers_affected", "snapshot_count",
         F.round("delta_customers_affected_15m", 6).alias("delta_customers_affected_15m"), "duration_minutes",
@@ -66,12 +85,16 @@ def _(spark, sf):
   (epoch_us(max(ts)) - epoch_us(min(ts))) / 60000000.0 + 360 AS duration_minutes FROM b GROUP BY fips_code, block""")
 def _(spark, sf):
     rows = snapshots(spark, sf).select("fips_code", "run_start_time", "customers_affected")
-    # One slice: the start of a still open window, its key here, may change with later rows.
-    build = partial(J.session_window_stream, gap_minutes=720, snapshot_minutes=SNAPSHOT_MINUTES)
-    out = replayed(rows, "windows", "run_start_time", versions(build, "complete"), ["fips_code", "start_time"], parts=1)
+    # A window is written once the watermark has passed it; a last row far ahead, of no entity of the table, passes all.
+    end = rows.agg(F.max("run_start_time").alias("run_start_time")).select(
+        F.lit(None).cast("string").alias("fips_code"), (F.col("run_start_time") + F.expr("INTERVAL 9 DAYS")).alias("run_start_time"),
+        F.lit(1.0).alias("customers_affected"))
+    build = partial(J.session_window_stream, gap_minutes=720, snapshot_minutes=SNAPSHOT_MINUTES, late=f"{LATE_MINUTES} minutes")
+    run, read = versions(build, "append", ["fips_code", "start_time"])
+    out = replayed(rows.unionByName(end), "windows", "run_start_time", run, read, parts=4, late_minutes=LATE_MINUTES).where("fips_code IS NOT NULL")
     return out.withColumns({c: F.col(c).cast("timestamp_ntz") for c in ("start_time", "end_time")})
 
 
 @query("str5_daily_tumbling_weather", daily_sql(False))
 def _(spark, sf):
-    return rounded(replayed(hourly(spark, sf), "daily", "time", versions(J.daily_weather_stream, "update"), ["fips_code", "date"]), 6)
+    return rounded(replayed(hourly(spark, sf), "daily", "time", *versions(J.daily_weather_stream, "update", ["fips_code", "date"])), 6)

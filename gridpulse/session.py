@@ -5,7 +5,10 @@ from __future__ import annotations
 import re
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
+from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 
 
@@ -15,6 +18,8 @@ def build_session(app: str = "gridpulse", master: str | None = None, **conf) ->
         "spark.sql.session.timeZone": "UTC",
         "spark.sql.adaptive.enabled": "true",
         "spark.sql.adaptive.skewJoin.enabled": "true",
+        # Split the partitions of hot keys even where a later step then shuffles once more.
+        "spark.sql.adaptive.forceOptimizeSkewedJoin": "true",
         "spark.sql.adaptive.coalescePartitions.enabled": "true",
         "spark.sql.execution.arrow.pyspark.enabled": "true",
         "spark.sql.parquet.filterPushdown": "true",
@@ -71,6 +76,37 @@ def clean_scratch(spark: SparkSession) -> int:
     return len(made)
 
 
+@contextmanager
+def staged(df: DataFrame, name: str = "stage") -> Iterator[DataFrame]:
+    """``df`` as a stage table that goes at the end of the block."""
+    path = scratch_path(df.sparkSession, name)
+    try:
+        df.write.parquet(path)
+        yield df.sparkSession.read.schema(df.schema).parquet(path)
+    finally:
+        drop_path(df.sparkSession, path)
+
+
+def path_exists(spark: SparkSession, path: str) -> bool:
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return place.getFileSystem(spark._jsc.hadoopConfiguration()).exists(place)
+
+
+def open_store(uri: str) -> tuple[fs.FileSystem, str]:
+    """File system and path of a place in shared storage, for reading inside tasks (file, hdfs, s3 and others)."""
+    return fs.FileSystem.from_uri(re.sub(r"^file:/+", "/", uri).replace("s3a://", "s3://"))
+
+
+def numbered_folders(spark: SparkSession, path: str, prefix: str) -> list[int]:
+    """The n of all folders ``<prefix><n>`` directly under ``path``, ascending; none if ``path`` does not exist."""
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    store = place.getFileSystem(spark._jsc.hadoopConfiguration())
+    if not store.exists(place):
+        return []
+    names = [entry.getPath().getName() for entry in store.listStatus(place)]
+    return sorted(int(n[len(prefix):]) for n in names if n.startswith(prefix) and n[len(prefix):].isdigit())
+
+
 def cut_lineage(df: DataFrame, name: str = "stage") -> DataFrame:
     """Write ``df`` to the shared folder and read it back, so later jobs survive lost executors."""
     spark = df.sparkSession

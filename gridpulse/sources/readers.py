@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import pyarrow as pa
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -11,9 +12,11 @@ from pyspark.sql import types as T
 
 from gridpulse.functions.columns import (fixed_width, json_number, lookup, number_in_name, parse_date,
                                          parse_timestamp, require_columns, to_count, zfill)
+from gridpulse.functions.skew import spread_join
 from gridpulse.functions.weather import cm_to_mm, code_flags, m_to_mm, to_ms
 from gridpulse.operators.joins import expand_zones
 from gridpulse.operators.rollups import quality_filter, union_years
+from gridpulse.session import open_store
 
 Paths = str | Sequence[str]
 
@@ -33,33 +36,37 @@ def _strings(names: Sequence[str]) -> T.StructType:
 
 
 def files_by_header(spark: SparkSession, paths: Sequence[str]) -> dict[str, list[str]]:
-    """Header line to the files that begin with it. Files, folders and globs; only first lines are read here."""
-    hadoop, conf = spark._jvm.org.apache.hadoop, spark._jsc.hadoopConfiguration()
-    codecs = hadoop.io.compress.CompressionCodecFactory(conf)
-    found: dict[str, list[str]] = {}
-
-    def visit(fs, status) -> None:
-        path = status.getPath()
-        if path.getName().startswith(("_", ".")):
-            return
-        if status.isDirectory():
-            for inner in fs.listStatus(path):
-                visit(fs, inner)
-            return
-        stream, codec = fs.open(path), codecs.getCodec(path)
-        lines = spark._jvm.java.io.BufferedReader(spark._jvm.java.io.InputStreamReader(
-            codec.createInputStream(stream) if codec else stream, "UTF-8"))
-        header = lines.readLine()
-        lines.close()
-        if header is not None:
-            found.setdefault(header, []).append(path.toString())
-
-    for given in paths:
-        path = hadoop.fs.Path(given)
-        fs = path.getFileSystem(conf)
-        for status in sorted(fs.globStatus(path) or [], key=lambda s: s.getPath().toString()):
-            visit(fs, status)
-    return found
+    """Header line to the files that begin with it. Files, folders and globs; only first lines are read here.
+
+    Spark lists the files, tasks read a first line each, and files come back grouped by it: no call per file.
+    """
+    try:
+        listed = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(list(paths)).select("path")
+    except AnalysisException as error:
+        if error.getCondition() == "PATH_NOT_FOUND":
+            return {}
+        raise
+    names = ["header", "path"]
+
+    def first_lines(batches):
+        for batch in batches:
+            found = [(line, path) for path in batch.column(0).to_pylist() if (line := _first_line(path)) is not None]
+            yield pa.RecordBatch.from_pydict({n: pa.array([f[i] for f in found], pa.string()) for i, n in enumerate(names)})
+
+    tasks = max(1, min(spark.sparkContext.defaultParallelism * 4, 512))
+    rows = listed.repartition(tasks, "path").mapInArrow(first_lines, "header string, path string")
+    layouts = rows.groupBy("header").agg(F.sort_array(F.collect_list("path")).alias("files"))
+    return {r.header: r.files for r in layouts.orderBy(F.get("files", F.lit(0))).collect()}
+
+
+def _first_line(path: str) -> str | None:
+    """The first line of a text file, compressed or not; None if it is empty."""
+    store, place = open_store(path)
+    held = b""
+    with store.open_input_stream(place, compression="detect") as stream:
+        while b"\n" not in held and (more := stream.read(1 << 16)):
+            held += more
+    return held.split(b"\n")[0].rstrip(b"\r").decode("utf-8", "replace") if held else None
 
 
 def read_delimited(spark: SparkSession, paths: Paths, sep: str = ",") -> DataFrame:
@@ -213,7 +220,7 @@ def scan_station_obs(spark: SparkSession, paths: Paths, stations: DataFrame | No
 
 def station_members(obs: DataFrame, stations: DataFrame) -> DataFrame:
     """Observations of listed stations only."""
-    return obs.join(stations.select("station_id").distinct(), "station_id", "left_semi")
+    return spread_join(obs, stations.select("station_id").distinct(), ["station_id"], "left_semi")
 
 
 def scan_interval_events_bulk(spark: SparkSession, paths: Paths, state: str = "VIRGINIA") -> DataFrame:

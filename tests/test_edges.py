@@ -81,7 +81,7 @@ def brute_sessions(rows):
     return sorted((e, a, float(b - a + 15)) for e, a, b in out)
 
 
-@pytest.mark.parametrize("options", [{"bucket_minutes": 45}, {"bucket_minutes": 1440}, {"time_bins": 16}])
+@pytest.mark.parametrize("options", [{"bucket_minutes": 45}, {"bucket_minutes": 1440}, {"bucket_rows": 3}, {"bucket_rows": 1, "bucket_minutes": 200_000}])
 def test_hot_entity_matches_row_loop(spark, options):
     rng = random.Random(3)
     rows, seen = [], set()
@@ -111,7 +111,7 @@ def test_group_quantiles_match_sorting(spark):
     rng = random.Random(5)
     rows = [("hot" if rng.random() < 0.7 else rng.choice("abc"), rng.choice([rng.random() * 10, 5.0, None])) for _ in range(800)]
     df = spark.createDataFrame(rows, "k string, v double")
-    got = {r.k: r for r in K.group_quantiles(df, ["k"], "v", {"m": 0.5, "q": 0.9}, {"big": F.col("_v") >= 5}, "top", bins=16).collect()}
+    got = {r.k: r for r in K.group_quantiles(df, ["k"], "v", {"m": 0.5, "q": 0.9}, {"big": F.col("_v") >= 5}, "top").collect()}
     for k in "hot a b c".split():
         vals = sorted(v for key, v in rows if key == k and v is not None)
         spot = 0.9 * (len(vals) - 1)
@@ -128,7 +128,7 @@ def test_running_totals_match_loop(spark, descending):
     rng = random.Random(6)
     rows = [(x, rng.randrange(10)) for x in rng.sample(range(5000), 500)]
     got = {r.x: r.cum_n for r in K.running_totals(
-        spark.createDataFrame(rows, "x long, n long"), "x", ["n"], descending=descending, bins=16).collect()}
+        spark.createDataFrame(rows, "x long, n long"), "x", ["n"], descending=descending).collect()}
     total = 0
     for x, n in sorted(rows, reverse=descending):
         total += n
@@ -136,21 +136,64 @@ def test_running_totals_match_loop(spark, descending):
 
 
 @pytest.mark.parametrize("how", ["left", "inner", "left_semi", "left_anti"])
-@pytest.mark.parametrize("only_hot", [False, True])
-def test_salted_join_equals_plain_join(spark, how, only_hot):
+def test_spread_join_equals_plain_join(spark, how):
     rng = random.Random(7)
     big = spark.createDataFrame([(1 if rng.random() < 0.6 else rng.randrange(2, 400), i) for i in range(700)], "k int, i int")
     small = spark.createDataFrame([(k, c) for k in range(0, 300) for c in range(k % 3)], "k long, c int")
     a = big.join(small, ["k"], how)
-    b = K.salted_join(big, small, ["k"], how, salts=5, only_hot=only_hot)
+    b = K.spread_join(big, small, ["k"], how)
     assert sorted(map(str, a.select(*sorted(a.columns)).collect())) == sorted(map(str, b.select(*sorted(a.columns)).collect()))
 
 
-def test_hot_keys_are_found_and_few(spark):
-    big = spark.createDataFrame([(1 if i % 3 == 0 else i,) for i in range(3000)], "k long")
-    found = big.limit(1).select(K.hot_key_hashes(big, ["k"]).alias("h")).first().h
-    want = spark.range(1).select(F.xxhash64(F.lit("1")).alias("h")).first().h
-    assert found == [want]
+HOT_SETTINGS = {
+    "spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.advisoryPartitionSizeInBytes": "2k",
+    "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "4k", "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "2",
+    "spark.sql.shuffle.partitions": "16", "spark.sql.adaptive.coalescePartitions.minPartitionSize": "2k"}
+
+
+@pytest.fixture
+def small_limits(spark):
+    """Limits a thousand times smaller, so that small tables are dealt as large ones are."""
+    before = {k: spark.conf.get(k) for k in HOT_SETTINGS}
+    for k, v in HOT_SETTINGS.items():
+        spark.conf.set(k, v)
+    yield
+    for k, v in before.items():
+        spark.conf.set(k, v)
+
+
+@pytest.mark.parametrize("how", ["left", "inner", "left_semi", "left_anti"])
+def test_rows_of_a_hot_key_are_split(spark, small_limits, how):
+    """4,000 rows of one key among 8,000: the one shuffled partition that holds them is read in parts."""
+    hot = spark.range(0, 4000, numPartitions=16).selectExpr("7L AS k", "sha2(string(id), 256) AS t")
+    rest = spark.range(0, 4000, numPartitions=16).selectExpr("id + 100 AS k", "sha2(string(id), 256) AS t")
+    small = spark.range(0, 3000).selectExpr("id AS k", "id * 2 AS v")
+    joined = K.spread_join(hot.unionByName(rest), small, ["k"], how)
+    partitions = joined.groupBy(F.spark_partition_id().alias("p")).agg(F.count_if(F.col("k") == 7).alias("hot"), F.max("t")).collect()
+    want = {"left": 4000, "inner": 4000, "left_semi": 4000, "left_anti": 0}[how]
+    held = [r.hot for r in partitions if r.hot]
+    assert sum(held) == want and (want == 0 or len(held) >= 4)
+
+
+def test_ranges_follow_the_rows(spark, small_limits):
+    sizes = []
+    for rows in (500, 4000):
+        df = spark.range(rows).selectExpr("pmod(xxhash64(id), 100000) AS x", "1L AS n").groupBy("x").agg(F.sum("n").alias("n"))
+        per = [r["count"] for r in K.in_ranges(df, ["x"]).groupBy("_range").count().collect()]
+        sizes.append(per)
+    assert len(sizes[1]) > len(sizes[0]) and max(sizes[1]) < 2.5 * sum(sizes[1]) / len(sizes[1])
+
+
+def test_a_burst_is_cut_into_finer_buckets(spark):
+    rows = [("a", i / 60, 1 + i % 5) for i in range(3000)] + [("b", 10 * i, 1) for i in range(50)]
+    df = snaps(spark, rows).withColumn("_us", F.unix_micros(F.col("run_start_time").cast("timestamp")))
+    cut = K.time_buckets(df, "fips_code", 1440, 100)
+    per = {(r.fips_code, r._bucket): r["count"] for r in cut.groupBy("fips_code", "_bucket").count().collect()}
+    assert sum(per.values()) == len(rows) and len([k for k in per if k[0] == "a"]) > 20
+    assert max(n for (k, _), n in per.items() if k == "a") <= 100 and sum(1 for k, _ in per if k == "b") == 1
+    assert not cut.where("_bucket > _us").count()
+    plain, fine = (S.sessionize(snaps(spark, rows), bucket_rows=n).drop("bucket") for n in (None, 100))
+    assert sorted(map(str, plain.collect())) == sorted(map(str, fine.collect()))
 
 
 # -- joins --------------------------------------------------------------------------------------
@@ -203,12 +246,43 @@ def test_fill_without_any_success_gives_zeros(spark):
     assert got == [("a", 0.0, 0, 1), ("b", 0.0, 0, 1)]
 
 
-def test_nearest_breaks_ties_by_id_for_any_chunking(spark):
-    p = spark.createDataFrame([(1, 0.0, 0.0)], "pid int, lat double, lon double")
-    c = spark.createDataFrame([("z", 0.0, 1.0), ("b", 0.0, -1.0), ("y", 5.0, 5.0)], "cid string, lat double, lon double")
-    for chunk in (1, 2, 100):
-        r = J.nearest(p, c, "pid", "cid", chunk=chunk).first()
-        assert r.nearest_cid == "b" and r.dist_km == pytest.approx(111.19, abs=0.01)
+def great_circle(a, b, c, d):
+    import math
+    a, b, c, d = map(math.radians, (a, b, c, d))
+    return 2 * 6371.0 * math.asin(min(1.0, math.sqrt(math.sin((c - a) / 2) ** 2 + math.cos(a) * math.cos(c) * math.sin((d - b) / 2) ** 2)))
+
+
+@pytest.mark.parametrize("few", [4096, 0])
+def test_nearest_breaks_ties_by_id(spark, few):
+    p = spark.createDataFrame([("p", 0.0, 0.0)], "pid string, lat double, lon double")
+    c = spark.createDataFrame([("d", 0.0, 1.0), ("b", 0.0, -1.0), ("c", 1.0, 0.0), ("z", 5.0, 5.0)], "cid string, lat double, lon double")
+    r = J.nearest(p, c, "pid", "cid", few=few, shard=1).first()
+    assert r.nearest_cid == "b" and r.dist_km == pytest.approx(111.19, abs=0.01)
+
+
+def test_nearest_by_shards_is_exact_everywhere(spark, monkeypatch):
+    """Clusters, poles and the date line; a place that half of the points share; more parts than one per shard."""
+    rng = random.Random(9)
+    centers = [(i, rng.uniform(-90, 90), rng.uniform(-180, 180)) for i in range(150)]
+    centers += [(200 + i, 37.5 + rng.gauss(0, 0.01), -77.4 + rng.gauss(0, 0.01)) for i in range(150)]
+    centers += [(400, 90.0, 0.0), (401, -90.0, 50.0), (402, 10.0, 179.999), (403, 10.0, -179.5), (404, None, 1.0), (405, float("nan"), 1.0)]
+    points = [(rng.randrange(9), rng.uniform(-90, 90), rng.uniform(-180, 180)) for _ in range(200)]
+    points += [(0, 37.6, -77.3)] * 200 + [(1, 89.9, 170.0), (2, -89.99, -20.0), (3, 10.0, 180.0), (4, 10.0, -180.0), (5, None, 3.0), (None, 37.5, -77.4)]
+    df = spark.createDataFrame(points, "pid int, lat double, lon double")
+    cf = spark.createDataFrame(centers, "cid int, lat double, lon double")
+    monkeypatch.setattr(J, "PART", 40)
+    known = [c for c in centers if c[1] is not None and c[1] == c[1]]
+    for few, shard in ((10, 4), (10, 100), (4096, 1)):
+        found = J.nearest(df, cf, "pid", "cid", few=few, shard=shard).collect()
+        assert len(found) == len(points)
+        for r in found:
+            if r.lat is None:
+                assert r.nearest_cid is None and r.dist_km is None
+                continue
+            best = min(great_circle(r.lat, r.lon, c[1], c[2]) for c in known)
+            own = next(c for c in known if c[0] == r.nearest_cid)
+            assert r.dist_km == pytest.approx(best, abs=1e-6) and great_circle(r.lat, r.lon, own[1], own[2]) == pytest.approx(best, abs=1e-6)
+
 
 
 # -- polls, names -------------------------------------------------------------------------------

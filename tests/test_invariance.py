@@ -54,7 +54,7 @@ def test_nearest_for_any_number_of_centers(spark):
     points = spark.createDataFrame([(1, 0.0, 0.0), (1, 10.0, 10.0), (None, 10.0, 10.0), (2, None, 1.0), (1, 0.0, 0.0)],
                                    "pid int, lat double, lon double")
     centers = spark.createDataFrame([(i, float(i), float(i)) for i in range(12)] + [(99, None, None)], "cid int, lat double, lon double")
-    got = [sorted(map(tuple, joins.nearest(points, centers, "pid", "cid", chunk=n).collect()), key=str) for n in (4096, 5, 3, 1)]
+    got = [sorted(map(tuple, joins.nearest(points, centers, "pid", "cid", few=n, shard=k).collect()), key=str) for n, k in ((4096, 1), (5, 1), (3, 4), (0, 100))]
     assert got[0] == got[1] == got[2] == got[3] and len(got[0]) == 5
     assert sorted(str(r[3]) for r in got[0]) == ["0", "0", "10", "10", "None"]
 
@@ -96,17 +96,68 @@ def test_stage_tables_can_be_removed(spark, tmp_path):
         spark.read.parquet(path)
 
 
-def test_late_rows_do_not_stretch_a_session(spark, tmp_path):
+def _stream(spark, tmp_path, batches, **options):
+    """Each list of rows arrives as one file, and the stream is stopped and resumed in between."""
     from gridpulse.streaming import jobs
-    day = dt.datetime(2022, 5, 1)
     source, target, state, progress = (str(tmp_path / n) for n in ("in", "out", "state", "progress"))
-    for rows in ([("a", day + dt.timedelta(hours=10), 5, None), ("b", day, 3, None)],
-                 [("a", day + dt.timedelta(hours=2), 7, None), ("b", day + dt.timedelta(minutes=15), 4, None)]):
-        df = spark.createDataFrame(rows, SNAP)
+    for rows in batches:
+        df = spark.createDataFrame(rows, SNAP).coalesce(1)
         df.write.mode("append").parquet(source)
         stream = jobs.file_stream(spark, source, df.schema)
-        jobs.session_stream(stream, progress, target, state, every=None).awaitTermination()
-    found = {r.fips_code: r.duration_minutes for r in jobs.read_updates(spark, target, ["fips_code", "start_time"]).collect()}
-    assert found == {"a": 15, "b": 30}
-    late = spark.read.parquet(f"{target}_late").collect()
-    assert [(r.fips_code, r.customers_affected) for r in late] == [("a", 7)]
+        jobs.session_stream(stream, progress, target, state, every=None, **options).awaitTermination()
+    return jobs.read_sessions(spark, target, state), target, tmp_path / "state"
+
+
+def test_rows_within_the_lateness_are_chained(spark, tmp_path):
+    import random
+    rng, day = random.Random(4), dt.datetime(2022, 5, 1)
+    rows = [(e, day + dt.timedelta(minutes=15 * i), rng.choice([0, 3, 8, 9]), None) for e in "abc" for i in range(rng.randrange(300), 400)]
+    late = sorted(rows, key=lambda r: r[1] + dt.timedelta(minutes=rng.uniform(0, 600)))
+    batches = [late[i:i + 80] for i in range(0, len(late), 80)]
+    found, target, state = _stream(spark, tmp_path, batches, late_minutes=600)
+    want = sessions.sessionize(spark.createDataFrame(rows, SNAP))
+    columns = [c for c in want.columns if c in found.columns]
+    assert sorted(map(str, found.select(columns).collect())) == sorted(map(str, want.select(columns).collect()))
+    assert found.where("closed").count() > 10 and found.where("NOT closed").count() > 0
+    assert spark.read.schema(SNAP).parquet(f"{target}_late").count() == 0
+    # However many batches came, state is kept for the last two, and of rows only the last hours.
+    assert sorted(p.name for p in state.glob("batch=*")) == [f"batch={n}" for n in (len(batches) - 2, len(batches) - 1)]
+    kept = spark.read.parquet(f"{state}/batch={len(batches) - 1}/rows")
+    assert kept.count() < len(rows) / 4 and spark.read.parquet(f"{state}/batch={len(batches) - 1}/runs").count() <= 3
+
+
+def test_later_rows_are_set_aside_and_change_nothing(spark, tmp_path):
+    day = dt.datetime(2022, 5, 1)
+    found, target, _ = _stream(spark, tmp_path, [
+        [("a", day + dt.timedelta(hours=10), 5, None), ("b", day, 3, None)],
+        [("a", day + dt.timedelta(hours=2), 7, None), ("b", day + dt.timedelta(hours=9, minutes=15), 4, None)],
+        [("b", day + dt.timedelta(hours=9, minutes=30), 4, None), (None, day, 1, None)]], late_minutes=60)
+    assert sorted((r.fips_code, r.duration_minutes) for r in found.collect()) == [("a", 15), ("b", 15), ("b", 30)]
+    assert [(r.fips_code, r.customers_affected) for r in spark.read.parquet(f"{target}_late").collect()] == [("a", 7)]
+
+
+def test_current_tables_keep_a_fixed_number_of_folders(spark, tmp_path):
+    from gridpulse.streaming import jobs
+    target, want, seen = str(tmp_path / "current"), {}, []
+    write = jobs.current_writer(target, ["k"], every=3)
+    for n in range(11):
+        rows = [(k, n) for k in range(n % 4 + 1)]
+        want |= dict(rows)
+        write(spark.createDataFrame(rows, "k long, v long"), n)
+        write(spark.createDataFrame(rows, "k long, v long"), n)           # a rerun of the batch
+        seen.append(len(list((tmp_path / "current").iterdir())))
+        assert {r.k: r.v for r in jobs.read_current(spark, target, ["k"]).collect()} == want
+    assert max(seen) <= 8
+
+
+def test_headers_are_read_in_tasks(spark, tmp_path):
+    import gzip
+    for n in range(60):
+        (tmp_path / f"f{n:02d}.csv").write_text(f"a,b{n % 2}\r\n{n},x\n")
+    (tmp_path / "z.csv.gz").write_bytes(gzip.compress(b"a,b0\n99,y\n"))
+    (tmp_path / "_skipped.csv").write_text("no\n")
+    (tmp_path / "empty.csv").write_text("")
+    found = readers.files_by_header(spark, [str(tmp_path)])
+    assert {h: len(f) for h, f in found.items()} == {"a,b0": 31, "a,b1": 30}
+    assert readers.read_delimited(spark, str(tmp_path)).count() == 61
+    assert readers.files_by_header(spark, [f"{tmp_path}/nothing*.csv"]) == {}
