@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from gridpulse.functions.skew import salted_join
+from gridpulse.functions.skew import spread_join
 from gridpulse.llm.texts import let, space_words
 from gridpulse.session import cut_lineage
 
@@ -101,5 +101,5 @@ def apply_rules(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", hos
     # Texts are read once: the counts are stored for the two passes over them.
     rules = cut_lineage(document_rules(docs, doc_id, text, host), "quality-rules")
     verdicts = host_verdicts(rules, most=most).select("host", F.col("rate").alias("host_rate"), "rejected")
-    joined = salted_join(rules, verdicts, ["host"], "left")
+    joined = spread_join(rules, verdicts, ["host"])
     return joined.withColumn("kept", ~F.col("base_failed") & ~F.coalesce(F.col("rejected"), F.lit(False))).drop("rejected")
