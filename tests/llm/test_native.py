@@ -36,7 +36,10 @@ LICENSED = [
     *EDGES, f"{PROSE}\n{licenses.TEMPLATES['MIT-line']}\n{PROSE}", f"A b c {licenses.TEMPLATES['GPL-3.0-line']} {PROSE}",
     PROSE + " " + licenses.TEMPLATES["MIT-grant"] + " " + PROSE,
     licenses.TEMPLATES["Apache-2.0-header"].replace("compliance", "accordance"),
-    " ".join(licenses.TEMPLATES["MPL-2.0-header"].split()[:12]), licenses.TEMPLATES["BSD-redistribution"].upper()]
+    " ".join(licenses.TEMPLATES["MPL-2.0-header"].split()[:12]), licenses.TEMPLATES["BSD-redistribution"].upper(),
+    *[f"{PROSE.split()[0]} " * k + t + " and more" for k, t in enumerate(licenses.TEMPLATES.values())],
+    " ".join(w for i, w in enumerate(licenses.TEMPLATES["MIT-text"].split()) if i not in (40, 41)),
+    licenses.TEMPLATES["ISC-text"].replace("THE AUTHOR", "SOMEBODY ELSE").replace("SOFTWARE", "THING")]
 
 
 @pytest.mark.parametrize("most", [texts.SET_VALUES, 0])
