@@ -92,8 +92,8 @@ whole AS (SELECT row_number() OVER () AS w, r, s::BIGINT AS s, e::BIGINT AS e, m
 cuts AS (SELECT w, greatest(base.s, whole.s) AS s, least(base.e, whole.e) AS e FROM whole JOIN base USING (r)
          WHERE base.s < whole.e AND whole.s < base.e UNION ALL SELECT w, e, e FROM whole),
 gaps AS (SELECT w, max(e) OVER (PARTITION BY w ORDER BY s, e ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS s, s AS e FROM cuts),
-parts AS (SELECT r, coalesce(gaps.s, whole.s)::BIGINT AS s, gaps.e::BIGINT AS e, whole.s AS at, m FROM gaps JOIN whole USING (w)),
-cand AS (SELECT row_number() OVER () AS c, r, s, e, substring(m, s - at + 1, e - s) AS m FROM parts WHERE e - s >= 20),
+parts AS (SELECT r, coalesce(gaps.s, whole.s)::BIGINT AS s, gaps.e::BIGINT AS e, whole.s AS begins, m FROM gaps JOIN whole USING (w)),
+cand AS (SELECT row_number() OVER () AS c, r, s, e, substring(m, s - begins + 1, e - s) AS m FROM parts WHERE e - s >= 20),
 likely AS (SELECT *, CASE WHEN regexp_full_match(m, '[0-9a-fA-F]+') AND m ~ '.*[0-9].*' AND m ~ '.*[a-fA-F].*' THEN 3.0
                           WHEN m ~ '.*[0-9].*' AND m ~ '.*[a-zA-Z].*' THEN 3.6
                           WHEN m ~ '.*[a-z].*' AND m ~ '.*[A-Z].*' THEN 3.9 END AS least
