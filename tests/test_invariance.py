@@ -86,6 +86,14 @@ def test_an_empty_rerun_replaces_its_run(spark, tmp_path):
     assert [str(r.run_ts) for r in spark.read.parquet(str(tmp_path / "p")).collect()] == ["1"]
 
 
+def test_a_poll_without_records_clears_its_partition(spark, tmp_path):
+    df = spark.createDataFrame([(1, "a", 1.0), (2, "b", 2.0)], "poll_no int, fips_code string, scope double")
+    name = F.lpad(F.col("poll_no").cast("string"), 3, "0")
+    for rows in (df, df.where("poll_no = 1")):
+        writers.publish_runs(rows, str(tmp_path / "p"), name, df.select("poll_no"))
+    assert [(r.run_ts, r.scope) for r in spark.read.parquet(str(tmp_path / "p")).collect()] == [(1, 1.0)]
+
+
 def test_stage_tables_can_be_removed(spark, tmp_path):
     stored = session.cut_lineage(spark.range(3), "probe")
     path = session._MADE[-1]

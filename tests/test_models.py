@@ -125,3 +125,26 @@ def test_boosting_stops_early(spark, rows):
     settings = M.duration_settings(60.0).with_rounds(40, 2)
     model = M.fit_two_stage(rows, NAMES, ["id"], settings=settings)
     assert min(m.getNumTrees for m in (model.classifier, model.short, model.long)) < 40
+
+
+def test_an_ensemble_in_many_files_is_explained_the_same(spark, rows, monkeypatch):
+    model = M.fit_regressor(rows, NAMES, M.BoostSettings(12, 4, 0.3)).model
+    raw = model.transform(M.assemble(rows, NAMES)).select("id", "_log_pred")
+    for per_file in (2000, 20):            # beyond HELD_FILES files, tasks read them one after another
+        monkeypatch.setattr(C, "FILE_LEAVES", per_file)
+        explainer = C.tree_explainer(spark, model, NAMES)
+        total = C.explain(rows, explainer, ["id"]).groupBy("id").agg((F.max("base_value") + F.sum("shap")).alias("s"))
+        assert total.join(raw, "id").agg(F.max(F.abs(F.col("s") - F.col("_log_pred")))).first()[0] < 1e-9
+
+
+def test_many_categories_become_one_sparse_column(spark):
+    from gridpulse.operators import features as X
+    df = spark.range(3000).selectExpr("id", "concat('c', id % 1000) AS event_type").unionByName(
+        spark.createDataFrame([(5000, None), (5001, "unseen")], "id long, event_type string"))
+    known = X.category_index(df.where("event_type IS NULL OR event_type <> 'unseen'"), "event_type")
+    assert known.agg(F.max("index"), F.sum("rows")).first()[:] == (1000, 3001)
+    found = {r.id: r.event_vector for r in X.one_hot_vector(df, known).collect()}
+    order = sorted(["None", *[f"c{i}" for i in range(1000)]])
+    assert all(v.size == 1002 and len(v.indices) == 1 for v in found.values())
+    assert all(found[i].indices[0] == order.index(f"c{i % 1000}") for i in range(3000))
+    assert found[5000].indices[0] == order.index("None") and found[5001].indices[0] == 1001
