@@ -13,7 +13,9 @@ asked. A pair stands in a block once, however common it is.
 from __future__ import annotations
 
 import hashlib
+import re
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -27,6 +29,8 @@ from gridpulse.llm.packing import LONG_SPACE, ids_of
 from gridpulse.llm.token_count import byte_symbols
 from gridpulse.session import cut_lineage
 
+PART = re.compile(r"(?<=[^\s▁])(?= )")     # where texts are parted: before a space that follows something else
+PARTS, HELD = 300_000, 3_000_000        # parts remembered per worker, and their tokens, about
 BATCH_CHARS = 2_000_000      # characters merged together (or one text)
 BLOCK_CHARS = 8_000_000      # characters whose pairs are handed over together (or one text)
 LANE = 2048                  # tokens after which a long document goes on as a further entry of the vector
@@ -48,12 +52,11 @@ class ByteTokens:
         for token, i in vocab.items():
             self.bytes[i] = bytes(symbol[c] for c in token) if all(c in symbol for c in token) else token.encode()
 
-    def encode(self, texts: list[str]) -> list[np.ndarray]:
-        def one(text):
-            if self.fast is None or LONG_SPACE.search(text):
-                return np.array(self.slow.encode(text, add_special_tokens=False).ids, np.int64)
-            return self.fast.encode_to_numpy(text, disallowed_special=()).astype(np.int64)
-        return [one(" " + t) for t in texts]
+    def encode(self, parts: list[str]) -> list[list[int]]:
+        return [self.slow.encode(t, add_special_tokens=False).ids if self.fast is None or LONG_SPACE.search(t)
+                else self.fast.encode_ordinary(t) for t in parts]
+
+    splits = True      # its pre-tokens end where a space follows other than white space
 
 
 class PieceTokens:
@@ -64,12 +67,19 @@ class PieceTokens:
         pieces = [self.model.id_to_piece(i) for i in range(self.model.get_piece_size())]
         self.bytes = [bytes([int(p[3:5], 16)]) if self.model.is_byte(i) else p.replace("▁", " ").encode()
                       for i, p in enumerate(pieces)]
+        self.space = self.model.piece_to_id("▁")
+        # No piece goes on behind a space that follows something else, and texts are taken as they are.
+        self.splits = not any("▁" in p.lstrip("▁") for p in pieces) and self.model.encode("▁") == self.model.encode(" ") \
+            and all(self.model.normalize(t) == "▁" + t.replace(" ", "▁") for t in (" a  b ", "ﬁ\u3000é\u00a0x", "\t\n \r\n"))
 
-    def encode(self, texts: list[str]) -> list[np.ndarray]:
-        return [np.array(ids, np.int64) for ids in self.model.encode(texts, num_threads=1)]
+    def encode(self, parts: list[str]) -> list[list[int]]:
+        # Each part begins with the space that the model adds by itself; to an empty text it adds none.
+        return [ids if part != " " else [self.space] for part, ids in zip(parts, self.model.encode([t[1:] for t in parts], num_threads=1))]
 
 
 class Side:
+    """A vocabulary and its tokens' bytes."""
+
     def __init__(self, tokens):
         self.tokens, self.size = tokens, len(tokens.bytes)
         self.lengths = np.array([len(b) for b in tokens.bytes], np.int64)
@@ -83,9 +93,43 @@ class Side:
         return self.joined[np.arange(sizes.sum()) + np.repeat(self.starts[ids] - first, sizes)]
 
 
+class Sides(tuple):
+    """A and B, and the ids of parts of texts that were met before: one number per part, behind which both lie."""
+
+    known: dict[str, int]
+
+    def forget(self) -> None:
+        none = np.empty(0, np.int64)
+        self.known, self.held = {}, [[none, none, none] for _ in self]        # ids; where a part's begin; their number
+
+    def encode(self, spaced: list[str]) -> list[list[np.ndarray]]:
+        """Per side the ids of each text (after a space). Texts go by their parts where both vocabularies allow it."""
+        split = [PART.split(t) for t in spaced] if all(s.tokens.splits for s in self) else [[t] for t in spaced]
+        if len(self.known) > PARTS or any(len(ids) > HELD for ids, _, _ in self.held):
+            self.forget()
+        new = list(set().union(*split).difference(self.known))
+        self.known.update(zip(new, range(len(self.known), len(self.known) + len(new))))
+        parts = np.fromiter(map(self.known.__getitem__, chain.from_iterable(split)), np.int64)
+        ends = np.cumsum([len(p) for p in split])
+        out = []
+        for side, held in zip(self, self.held):
+            made = side.tokens.encode(new)
+            sizes = np.fromiter(map(len, made), np.int64, len(made))
+            held[1] = np.concatenate([held[1], len(held[0]) + np.cumsum(sizes) - sizes])
+            held[0] = np.concatenate([held[0], np.fromiter(chain.from_iterable(made), np.int64, sizes.sum())])
+            held[2] = np.concatenate([held[2], sizes])
+            many = held[2][parts]
+            upto = np.cumsum(many)
+            ids = held[0][np.arange(many.sum()) + np.repeat(held[1][parts] - upto + many, many)]
+            out.append(np.split(ids, upto[ends[:-1] - 1]) if len(ends) else [])
+        return out
+
+
 @lru_cache(maxsize=2)
-def sides(path_a: str, path_b: str) -> tuple[Side, Side]:
-    return Side(ByteTokens(path_a)), Side(PieceTokens(path_b))
+def sides(path_a: str, path_b: str) -> Sides:
+    made = Sides((Side(ByteTokens(path_a)), Side(PieceTokens(path_b))))
+    made.forget()
+    return made
 
 
 def lanes(end_a: np.ndarray, end_b: np.ndarray, size: int = LANE) -> list[tuple[int, int]]:
@@ -165,7 +209,7 @@ def linked(groups: np.ndarray, owner: np.ndarray, a: np.ndarray, b: np.ndarray,
     return tally(np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts]))
 
 
-def written(groups: np.ndarray, last: np.ndarray, a: np.ndarray, b: np.ndarray, sides_: tuple[Side, Side]) -> list[str]:
+def written(groups: np.ndarray, last: np.ndarray, a: np.ndarray, b: np.ndarray, sides_: Sides) -> list[str]:
     """The tokens in the order of groups, A before B, each id with what follows it: `,` `|` `;` or, ``last``, nothing."""
     na, nb = groups[:, 1] - groups[:, 0], groups[:, 3] - groups[:, 2]
     sep_a, sep_b = np.zeros(len(a), np.int64), np.zeros(len(b), np.int64)
@@ -190,7 +234,7 @@ def spelled(side: Side, ids: list[np.ndarray], raw: list[bytes]) -> np.ndarray:
     return ok
 
 
-def align_batch(texts: list[str], sides_: tuple[Side, Side], with_tokens: bool = False) -> dict[str, list | np.ndarray]:
+def align_batch(texts: list[str], sides_: Sides, with_tokens: bool = False) -> dict[str, list | np.ndarray]:
     """Per text n_a, n_b, n_groups, n_links, groups_sha256, and all its pairs with their numbers of links.
 
     Texts whose tokens do not give back a space and the text have no tokens. ``with_tokens`` adds ids and cuts.
@@ -199,8 +243,9 @@ def align_batch(texts: list[str], sides_: tuple[Side, Side], with_tokens: bool =
     out = {name: np.zeros(rows, np.int64) for name in ("n_a", "n_b", "n_groups", "n_links")}
     out["groups_sha256"], out["tokens"] = [""] * rows, [([], [], [], [])] * rows
     full = [i for i, t in enumerate(texts) if t]
-    raw = [(" " + texts[i]).encode() for i in full]
-    encoded, same = [s.tokens.encode([texts[i] for i in full]) for s in sides_], np.ones(len(full), bool)
+    spaced = [" " + texts[i] for i in full]
+    raw = [t.encode() for t in spaced]
+    encoded, same = sides_.encode(spaced), np.ones(len(full), bool)
     for side, ids in zip(sides_, encoded):
         same &= spelled(side, ids, raw)
     good = [full[k] for k in np.flatnonzero(same)]
