@@ -30,8 +30,8 @@ from gridpulse.llm.token_count import byte_symbols
 from gridpulse.session import cut_lineage
 
 PART = re.compile(r"(?<=[^\s▁])(?= )")     # where texts are parted: before a space that follows something else
-PARTS, HELD = 300_000, 3_000_000        # parts remembered per worker, and their tokens, about
-BATCH_CHARS = 2_000_000      # characters merged together (or one text)
+PARTS, HELD = 200_000, 2_000_000        # parts remembered per worker, and their tokens, about
+BATCH_CHARS = 1_000_000      # characters merged together (or one text)
 BLOCK_CHARS = 8_000_000      # characters whose pairs are handed over together (or one text)
 LANE = 2048                  # tokens after which a long document goes on as a further entry of the vector
 WIDE = 4096                  # links of a group beyond which its ids are paired by their counts

@@ -123,7 +123,7 @@ def test_blocks_within_a_task(tokenizers, spark):
         df = documents(spark, texts).coalesce(1).where(F.col("doc_id") >= 0)
         assert found(token_align.align_tokens(df, A, B)) == plain_rows(texts, tokenizers)
     finally:
-        token_align.BLOCK_CHARS, token_align.BATCH_CHARS = before, 2_000_000
+        token_align.BLOCK_CHARS, token_align.BATCH_CHARS = before, 1_000_000
 
 
 def test_edges(spark, tokenizers):
