@@ -187,12 +187,13 @@ def scan_licenses(docs: DataFrame, templates: DataFrame, doc_id: str = "doc_id",
     # the join would drop them as well.
     shingles, *bands = (set_values(index.where(test), "value") for test in (
         "ask = -1", *(f"ask DIV {BANDS} = {k} AND ask >= 0" for k in range(len(STEPS)))))
-    own = F.col("s") if shingles is None else F.filter("s", lambda v: in_set(v, shingles))
+    base = base.withColumn("own", F.col("s") if shingles is None else F.filter("s", lambda v: in_set(v, shingles)))
     none = F.array().cast("array<struct<ask:int,value:bigint>>")
     probes = F.concat(
         F.array(F.struct(F.lit(-2).alias("ask"), F.lit(0).cast("bigint").alias("value"))),
-        F.transform(F.array_distinct(own), lambda v: F.struct(F.lit(-1).alias("ask"), v.alias("value"))),
-        *[F.when(F.size("s") > 0, F.transform(band_values(F.col("s"), step, known=bands[k]), _probe(k))).otherwise(none)
+        F.transform(F.array_distinct("own"), lambda v: F.struct(F.lit(-1).alias("ask"), v.alias("value"))),
+        # Equal bands are equal shingles: a document without a shingle of any template has no window to look up.
+        *[F.when(F.size("own") > 0, F.transform(band_values(F.col("s"), step, known=bands[k]), _probe(k))).otherwise(none)
           for k, step in enumerate(STEPS)])
     # ``ask`` -2 stands for the document itself, so that documents without a hit come through the join.
     asked = base.select("key", F.explode_outer(probes).alias("p")).select("key", "p.ask", "p.value")
