@@ -148,3 +148,58 @@ def test_many_categories_become_one_sparse_column(spark):
     assert all(v.size == 1002 and len(v.indices) == 1 for v in found.values())
     assert all(found[i].indices[0] == order.index(f"c{i % 1000}") for i in range(3000))
     assert found[5000].indices[0] == order.index("None") and found[5001].indices[0] == 1001
+
+
+@pytest.fixture(scope="module")
+def checkered(spark):
+    """Class 1 where two features have the same sign, one row in ten flipped; every row twice."""
+    rng = np.random.default_rng(7)
+    x = rng.normal(size=(1500, 4))
+    y = ((x[:, 0] > 0) == (x[:, 1] > 0)) ^ (rng.random(1500) < 0.1)
+    data = [(i, *map(float, r), float(t), float(1 + 2 * t)) for i, (r, t) in enumerate(zip(x, y))]
+    df = spark.createDataFrame(data + data, "id long, a double, b double, c double, d double, _y double, _w double")
+    return M.assemble(df, ["a", "b", "c", "d"]).cache()
+
+
+@pytest.mark.parametrize("local", [1 << 16, 300])
+def test_forest_learns_in_one_or_many_tasks(spark, checkered, tmp_path, monkeypatch, local):
+    from gridpulse.operators import forest as R
+    monkeypatch.setattr(R, "LOCAL_ROWS", local)        # at 300 the upper levels are summed over all blocks
+    train, rest = checkered.where("id < 1000"), checkered.where("id >= 1000")
+    model = R.fit_forest(train, M.VECTOR, "_y", "_w", R.ForestSettings(20, 8, 3, 1))
+    right = (F.col("p") >= 0.5) == (F.col("_y") == 1)
+    assert model.probability(rest, M.VECTOR, "p").agg(F.avg(right.cast("int"))).first()[0] > 0.75
+    trees = spark.read.schema(R.NODES).parquet(model.folder).collect()
+    assert sorted(t.tree for t in trees) == list(range(20))
+    assert all((np.array(t.left) >= 0).any() and 0 <= min(t.share) <= max(t.share) <= 1 for t in trees)
+    model.save(str(tmp_path / "f"))
+    both = R.Forest.load(str(tmp_path / "f")).probability(model.probability(rest, M.VECTOR, "p"), M.VECTOR, "q")
+    assert both.where("p <> q OR q IS NULL").isEmpty()
+
+
+def test_forest_tree_follows_its_rules():
+    from gridpulse.operators import forest as R
+    rng = np.random.default_rng(8)
+    rows = np.zeros(400, dtype=R._dtype(3))
+    rows["bins"], rows["y"], rows["n"], rows["w"] = rng.integers(0, 9, (400, 3)), rng.random(400) < 0.3, rng.integers(1, 4, 400), 1.5
+    tree = R._grow(rows, 0, R.ForestSettings(1, 6, 5), np.random.default_rng(1))
+    at = tree.place(rows["bins"])
+    leaf = np.flatnonzero(tree.left < 0)
+    assert tree.depth.max() <= 6 and set(at) == set(leaf)
+    for node in leaf:
+        own = rows[at == node]
+        assert tree.draws[node].tolist() == [own["n"][own["y"] == c].sum() for c in (0, 1)] and tree.draws[node].sum() >= 5
+        assert tree.weight[node] == pytest.approx(1.5 * tree.draws[node])
+
+
+def test_stack_is_the_same_whatever_runs_at_a_time(spark, checkered, tmp_path):
+    rows = checkered.where("id < 400").drop(M.VECTOR, "_y", "_w").withColumn("label", ((F.col("a") > 0) == (F.col("b") > 0)).cast("int"))
+    found = []
+    for parallel in (1, 4):
+        s = M.StackSettings(boost=M.BoostSettings(2, 2), forest_trees=5, forest_depth=4, plain=M.BoostSettings(2, 2), folds=2, parallel=parallel,
+                            logistic_rounds=5, meta_rounds=5)
+        model = M.fit_stacking(rows, ["a", "b", "c", "d"], ["id"], settings=s)
+        model.save(str(tmp_path / f"s{parallel}"))
+        again = M.StackedModel.load(spark, str(tmp_path / f"s{parallel}"))
+        found.append(sorted(again.predict(rows).select("id", F.round("occ_prob", 9), "occ_pred").collect()))
+    assert found[0] == found[1] and len({r[1] for r in found[0]}) > 1
