@@ -29,6 +29,8 @@ from gridpulse.session import open_store, scratch_path
 FILE_LEAVES = 2000          # leaves of a file
 HELD_FILES = 4              # files that a worker keeps in memory, at most
 
+TABLE_LEAVES = 256          # leaves whose tables are made at once
+
 # Up to this many path features a leaf's contributions are tabulated for all match patterns.
 TABLE_FEATURES = 8
 
@@ -42,13 +44,27 @@ class LeafGame:
     shares: np.ndarray        # cover share a row keeps when the feature is unknown
     table: np.ndarray | None  # contributions per match pattern, on short paths
 
-    def contributions(self, cols: np.ndarray) -> np.ndarray:
-        match = (cols > self.low) & (cols <= self.high)
-        pattern = match @ (1 << np.arange(len(self.features), dtype=np.int64))
+    def add(self, cols: Sequence[np.ndarray], out: Sequence[np.ndarray]) -> None:
+        """Add the leaf's contributions to ``out``; ``cols`` has the path features' values, one array each, as ``out``."""
+        kind = np.uint8 if len(cols) <= 8 else np.int64
+        pattern = np.zeros(len(cols[0]), dtype=kind)
+        for i, (x, low, high) in enumerate(zip(cols, self.low.tolist(), self.high.tolist())):
+            match = x <= high if low == -np.inf else x > low if high == np.inf else (x > low) & (x <= high)
+            pattern |= match.astype(kind) << kind(i)
         if self.table is not None:
-            return self.table[pattern]
-        _, first, back = np.unique(pattern, return_index=True, return_inverse=True)
-        return _leaf_values(self.value, self.shares, match[first].astype(float))[back]
+            pattern = pattern.astype(np.intp)
+            for i, o in enumerate(out):
+                o += self.table[:, i].take(pattern, mode="clip")      # no pattern lies outside; this spares the check
+            return
+        found, back = np.unique(pattern, return_inverse=True)
+        values = _leaf_values(self.value, self.shares, ((found[:, None] >> np.arange(len(cols))) & 1).astype(float))
+        for i, o in enumerate(out):
+            o += values[back, i]
+
+    def contributions(self, cols: np.ndarray) -> np.ndarray:
+        out = np.zeros((cols.shape[1], len(cols)))
+        self.add(np.ascontiguousarray(cols.T), out)
+        return out.T
 
 
 @dataclass
@@ -64,11 +80,13 @@ class Explainer:
     folder: str
 
     def contributions(self, x: np.ndarray) -> np.ndarray:
-        out = np.zeros(x.shape)
+        # One array per feature, so that a leaf touches only its own features, each from end to end.
+        cols = list(np.ascontiguousarray(x.T))
+        out = [np.zeros(len(x)) for _ in cols]
         for games in _leaf_files(self.folder):
             for game in games:
-                out[:, game.features] += game.contributions(x[:, game.features])
-        return out
+                game.add([cols[f] for f in game.features], [out[f] for f in game.features])
+        return np.stack(out, axis=1)
 
 
 def _leaf_files(folder: str) -> Iterable[list[LeafGame]]:
@@ -77,7 +95,7 @@ def _leaf_files(folder: str) -> Iterable[list[LeafGame]]:
     return _held_games(folder) if len(files) <= HELD_FILES else (_games(store, f) for f in files)
 
 
-@lru_cache(maxsize=4)
+@lru_cache(maxsize=2)
 def _held_games(folder: str) -> list[list[LeafGame]]:
     store, root = open_store(folder)
     files = sorted(f.path for f in store.get_file_info(fs.FileSelector(root)) if f.path.endswith(".parquet"))
@@ -85,37 +103,59 @@ def _held_games(folder: str) -> list[list[LeafGame]]:
 
 
 def _games(store: fs.FileSystem, file: str) -> list[LeafGame]:
-    rows = parquet.read_table(file, filesystem=store).to_pylist()
-    return [_game(r["value"], dict(zip(r["features"], zip(r["low"], r["high"], r["shares"])))) for r in rows if r["features"]]
-
-
-def _leaf_values(value: float, shares: np.ndarray, patterns: np.ndarray) -> np.ndarray:
-    """Shapley values of one leaf, one row per match pattern.
+    """The games of a file's leaves; the tables of all leaves with equally many features are made at once, as one array."""
+    columns = parquet.read_table(file, filesystem=store)
+    value, features, low, high, shares = (columns.column(c).combine_chunks() for c in ("value", "features", "low", "high", "shares"))
+    first = features.offsets.to_numpy()
+    starts, wide = first[:-1], np.diff(first)
+    value = value.to_numpy()
+    features, low, high, shares = (c.values.to_numpy() for c in (features, low, high, shares))
+    games: list[LeafGame | None] = [None] * len(wide)
+    for k in np.unique(wide[wide > 0]):
+        for rows in np.array_split(mine := np.flatnonzero(wide == k), len(mine) // TABLE_LEAVES + 1):
+            at = starts[rows][:, None] + np.arange(k)
+            tables = _tables(value[rows], shares[at]) if k <= TABLE_FEATURES else [None] * len(rows)
+            for row, place, table in zip(rows, at, tables):
+                games[row] = LeafGame(features[place], low[place], high[place], float(value[row]), shares[place], table)
+    return [g for g in games if g is not None]
+
+
+def _values(value: np.ndarray, shares: np.ndarray, patterns: np.ndarray) -> np.ndarray:
+    """Shapley values (leaf, match pattern, feature) of leaves with equally many features.
 
     A feature in the coalition contributes 1 or 0 (match or not), one outside it its cover share.
     """
-    k = len(shares)
+    k = shares.shape[1]
     weights = np.array([math.factorial(s) * math.factorial(k - s - 1) / math.factorial(k) for s in range(k)])
-    out = np.zeros((len(patterns), k))
+    out = np.zeros((len(value), len(patterns), k))
     for i in range(k):
         # Coefficient s of the product over the others: coalitions of size s.
-        poly = np.zeros((len(patterns), k))
-        poly[:, 0] = 1.0
+        poly = np.zeros((len(value), len(patterns), k))
+        poly[:, :, 0] = 1.0
         for j in range(k):
             if j != i:
-                grown = poly * shares[j]
-                grown[:, 1:] += poly[:, :-1] * patterns[:, [j]]
+                grown = poly * shares[:, j, None, None]
+                grown[:, :, 1:] += poly[:, :, :-1] * patterns[:, [j]]
                 poly = grown
-        out[:, i] = value * (patterns[:, i] - shares[i]) * (poly @ weights)
+        out[:, :, i] = value[:, None] * (patterns[:, i] - shares[:, i, None]) * (poly @ weights)
     return out
 
 
+def _leaf_values(value: float, shares: np.ndarray, patterns: np.ndarray) -> np.ndarray:
+    """Shapley values of one leaf, one row per match pattern."""
+    return _values(np.array([value]), shares[None], patterns)[0]
+
+
+def _tables(value: np.ndarray, shares: np.ndarray) -> np.ndarray:
+    """``_values`` for all match patterns, stored feature by feature: a lookup reads one feature's values only."""
+    k = shares.shape[1]
+    found = _values(value, shares, ((np.arange(1 << k)[:, None] >> np.arange(k)) & 1).astype(float))
+    return np.ascontiguousarray(found.transpose(0, 2, 1)).transpose(0, 2, 1)
+
+
 def _game(value: float, path: dict[int, tuple]) -> LeafGame:
     low, high, shares = (np.array([p[i] for p in path.values()]) for i in range(3))
-    k = len(path)
-    table = None
-    if k <= TABLE_FEATURES:
-        table = _leaf_values(value, shares, ((np.arange(1 << k)[:, None] >> np.arange(k)) & 1).astype(float))
+    table = _tables(np.array([value]), shares[None])[0] if len(path) <= TABLE_FEATURES else None
     return LeafGame(np.array(list(path)), low, high, value, shares, table)
 
 

@@ -203,3 +203,22 @@ def test_stack_is_the_same_whatever_runs_at_a_time(spark, checkered, tmp_path):
         again = M.StackedModel.load(spark, str(tmp_path / f"s{parallel}"))
         found.append(sorted(again.predict(rows).select("id", F.round("occ_prob", 9), "occ_pred").collect()))
     assert found[0] == found[1] and len({r[1] for r in found[0]}) > 1
+
+
+def test_leaves_read_from_files_are_the_games_they_were(spark, rows):
+    from gridpulse.session import open_store
+    model = M.fit_regressor(rows, NAMES, M.BoostSettings(3, 4, 0.3)).model
+    explainer = C.tree_explainer(spark, model, NAMES)
+    store, root = open_store(explainer.folder)
+    files = [f.path for f in store.get_file_info(C.fs.FileSelector(root)) if f.path.endswith(".parquet")]
+    x = np.random.default_rng(9).normal(size=(200, 3))
+    for file in files:
+        plain = [C._game(r["value"], dict(zip(r["features"], zip(r["low"], r["high"], r["shares"]))))
+                 for r in C.parquet.read_table(file, filesystem=store).to_pylist() if r["features"]]
+        read = C._games(store, file)
+        assert len(read) == len(plain)
+        for a, b in zip(read, plain):
+            assert a.features.tolist() == b.features.tolist() and a.table == pytest.approx(b.table)
+            # A feature's values lie side by side, and many leaves share one array.
+            assert a.table[:, 0].flags.c_contiguous and a.table.base is not None
+            assert a.contributions(x[:, a.features]) == pytest.approx(b.contributions(x[:, a.features]))
