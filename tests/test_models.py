@@ -222,3 +222,10 @@ def test_leaves_read_from_files_are_the_games_they_were(spark, rows):
             # A feature's values lie side by side, and many leaves share one array.
             assert a.table[:, 0].flags.c_contiguous and a.table.base is not None
             assert a.contributions(x[:, a.features]) == pytest.approx(b.contributions(x[:, a.features]))
+
+
+def test_training_rows_become_whole_matrices(spark, rows):
+    x = rows.select(F.array("b", "c").alias("x"))
+    stored = A._matrices(x, 2).collect()
+    found = np.concatenate([np.frombuffer(r.x).reshape(-1, 2) for r in stored])
+    assert sorted(map(tuple, found)) == sorted(tuple(r.x) for r in x.collect()) and len(stored) < len(found)
