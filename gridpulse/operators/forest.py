@@ -337,14 +337,8 @@ class Forest:
         @F.pandas_udf(T.DoubleType())
         def score(batch: pd.Series) -> pd.Series:
             x = np.array(batch.tolist(), dtype=float).reshape(len(batch), -1)
-            total, trees = np.zeros(len(x)), _trees(folder)
-            for feature, cut, left, share in trees:
-                at, moving = np.zeros(len(x), dtype=np.int64), np.arange(len(x))
-                while len(moving := moving[left[at[moving]] >= 0]):
-                    node = at[moving]
-                    at[moving] = left[node] + (x[moving, feature[node]] > cut[node])
-                total += share[at]
-            return pd.Series(total / len(trees))
+            trees = _trees(folder)
+            return pd.Series(leaf_sums(trees, x) / len(trees))
 
         return df.withColumn(name, score(vector_to_array(vector)))
 
@@ -359,10 +353,26 @@ class Forest:
         return cls(f"{path}/nodes", ForestSettings(**settings))
 
 
-@lru_cache(maxsize=2)
-def _trees(folder: str) -> list[tuple[np.ndarray, ...]]:
+def leaf_sums(trees: list[tuple[np.ndarray, ...]], x: np.ndarray) -> np.ndarray:
+    """Per row the sum of what the leaves it ends in hold."""
+    total = np.zeros(len(x))
+    for feature, cut, left, share in trees:
+        at, moving = np.zeros(len(x), dtype=np.int64), np.arange(len(x))
+        while len(moving := moving[left[at[moving]] >= 0]):
+            node = at[moving]
+            at[moving] = left[node] + (x[moving, feature[node]] > cut[node])
+        total += share[at]
+    return total
+
+
+def read_trees(folder: str) -> list[tuple[np.ndarray, ...]]:
     store, root = open_store(folder)
     files = sorted(f.path for f in store.get_file_info(fs.FileSelector(root)) if f.path.endswith(".parquet"))
     rows = pa.concat_tables([parquet.read_table(f, filesystem=store) for f in files]).sort_by("tree")
     kinds = {"feature": np.int16, "cut": np.float64, "left": np.int32, "share": np.float64}
     return [tuple(rows.column(c)[i].values.to_numpy(zero_copy_only=False).astype(k) for c, k in kinds.items()) for i in range(len(rows))]
+
+
+@lru_cache(maxsize=2)
+def _trees(folder: str) -> list[tuple[np.ndarray, ...]]:
+    return read_trees(folder)

@@ -23,6 +23,7 @@ from pyspark.util import inheritable_thread_target
 
 from gridpulse.functions.columns import exp_prediction
 from gridpulse.functions.skew import group_quantiles
+from gridpulse.operators.boosting import Boosted, BoostFit, fit_boosted
 from gridpulse.operators.forest import Forest, ForestSettings, fit_forest
 from gridpulse.operators.features import quoted, random_split, split_share, valid_targets
 from gridpulse.operators.metrics import (DURATION_GRID, SCOPE_GRID, route_hard, route_soft,
@@ -256,36 +257,32 @@ BASES = ("boost", "forest", "plain", "logistic")
 
 
 def _probability(model, df: DataFrame, name: str) -> DataFrame:
-    if isinstance(model, Forest):
+    if isinstance(model, (Boosted, Forest)):
         return model.probability(df, VECTOR, name)
     return model.transform(df).withColumn(name, vector_to_array("_probability")[1]).drop(
         "_probability", "_raw", "_class")
 
 
-def _base_learners(s: StackSettings) -> dict:
-    common = dict(featuresCol=VECTOR, labelCol="_y", predictionCol="_class", probabilityCol="_probability",
-                  rawPredictionCol="_raw")
-    return {
-        "boost": s.boost.classifier().setWeightCol("_w_boost"),
-        "forest": ForestSettings(s.forest_trees, s.forest_depth, s.forest_min_leaf, s.seed),
-        "plain": s.plain.classifier(),
-        "logistic": LogisticRegression(maxIter=s.logistic_rounds, weightCol="_w_balanced", **common),
-    }
+def _fit_bases(stored: DataFrame, s: StackSettings) -> list[dict]:
+    """The four base models of all folds but one, for each, and of all rows; boosting stops early on the rows marked ``_val``.
 
-
-def _fit_bases(parts: Sequence[DataFrame], s: StackSettings) -> list[dict]:
-    """The four base models of each part; boosting stops early on the rows marked ``_val``.
-
-    No fit needs another one, and most of a boosting round is waiting for small jobs: ``s.parallel`` of them run at a time.
+    All boosters grow side by side in the same passes. No other fit needs another one: ``s.parallel`` of them run at a time.
     """
-    fits = {"boost": _fit_stopping, "plain": _fit_stopping, "logistic": lambda learner, part: learner.fit(part),
-            "forest": lambda settings, part: fit_forest(part, VECTOR, "_y", "_w_balanced", settings)}
+    parts = [*range(s.folds), -1]
+    boosters = [BoostFit(settings, column, fold) for fold in parts for column, settings in enumerate((s.boost, s.plain))]
+    forest = ForestSettings(s.forest_trees, s.forest_depth, s.forest_min_leaf, s.seed)
+    logistic = LogisticRegression(maxIter=s.logistic_rounds, weightCol="_w_balanced", featuresCol=VECTOR, labelCol="_y", predictionCol="_class",
+                                  probabilityCol="_probability", rawPredictionCol="_raw")
+    fits = [partial(fit_boosted, stored.withColumn("_w_plain", F.lit(1.0)), VECTOR, "_y", boosters, ["_w_boost", "_w_plain"], "_fold", "_val")]
+    for fold in parts:
+        part = stored.where(F.col("_fold") != fold)
+        fits += [partial(fit_forest, part, VECTOR, "_y", "_w_balanced", forest), partial(logistic.copy().fit, part)]
     # Wrapped one by one: each needs a copy of the session's local properties of its own.
-    todo = [inheritable_thread_target(part.sparkSession)(partial(fits[name], learner, part))
-            for part in parts for name, learner in _base_learners(s).items()]
+    todo = [inheritable_thread_target(stored.sparkSession)(fit) for fit in fits]
     with ThreadPool(min(s.parallel, len(todo))) as pool:
-        fitted = pool.map(lambda fit: fit(), todo, chunksize=1)
-    return [dict(zip(BASES, fitted[i:i + len(BASES)])) for i in range(0, len(fitted), len(BASES))]
+        boosted, *rest = pool.map(lambda fit: fit(), todo, chunksize=1)
+    return [{"boost": boosted[2 * i], "forest": rest[2 * i], "plain": boosted[2 * i + 1], "logistic": rest[2 * i + 1]}
+            for i in range(len(parts))]
 
 
 @dataclass
@@ -310,7 +307,7 @@ class StackedModel:
 
     def save(self, path: str) -> None:
         for name, model in self.bases.items():
-            if isinstance(model, Forest):
+            if isinstance(model, (Boosted, Forest)):
                 model.save(f"{path}/{name}")
             else:
                 _save(model, path, name)
@@ -320,8 +317,7 @@ class StackedModel:
     @classmethod
     def load(cls, spark: SparkSession, path: str) -> StackedModel:
         meta = _load_meta(spark, path)
-        kinds = {"boost": GBTClassificationModel, "forest": Forest, "plain": GBTClassificationModel,
-                 "logistic": LogisticRegressionModel}
+        kinds = {"boost": Boosted, "forest": Forest, "plain": Boosted, "logistic": LogisticRegressionModel}
         return cls({n: k.load(f"{path}/{n}") for n, k in kinds.items()},
                    LogisticRegressionModel.load(f"{path}/final"), meta["features"], meta["threshold"])
 
@@ -359,7 +355,7 @@ def fit_stacking(train: DataFrame, features: Sequence[str], keys: Sequence[str],
         "_w_balanced": _class_weights(marked)})
     marked = marked.withColumn("_val", split_share(keys, s.seed + 2) < s.early_share)
     stored = training_frame(marked, features, ["_y", "_fold", "_val", "_w_boost", "_w_balanced"])
-    *inner, bases = _fit_bases([*(stored.where(F.col("_fold") != fold) for fold in range(s.folds)), stored], s)
+    *inner, bases = _fit_bases(stored, s)
     out_of_fold = []
     for fold in range(s.folds):
         outside = stored.where(F.col("_fold") == fold)
