@@ -88,3 +88,9 @@ def test_jobs_of_a_stack_do_not_grow_with_the_rounds(spark, rows):
         jobs.append(len(sc.statusTracker().getJobIdsForGroup(f"stack-{rounds}")))
     sc.setLocalProperty("spark.jobGroup.id", None)
     assert jobs[1] <= jobs[0] + 5
+
+
+def test_fits_run_at_the_same_time(spark):
+    from threading import Barrier
+    meet = Barrier(2)                    # one after another they would wait for each other in vain
+    assert sorted(M.at_once(spark, [lambda: meet.wait(20)] * 2)) == [0, 1]
