@@ -1,9 +1,10 @@
 """Random forest of class probabilities, grown where the rows of its nodes lie.
 
 Every tree sees all rows, each as often as a Poisson draw says (bootstrap). Rows are kept as blocks of binned features.
-A node of more than ``LOCAL_ROWS`` draws is split by a histogram summed over all blocks; the rows of a smaller one go to
-one task, which grows the rest of its tree level by level. So a draw is sent once, however deep its tree is, and no
-task holds more than one such node.
+Up to ``HELD_BYTES`` of blocks a task reads them all and grows some of the trees. Beyond that a node of more than ``LOCAL_ROWS``
+draws is split by a histogram summed over all blocks; the rows of a smaller one go to one task, which grows the rest of its
+tree level by level. So a draw is sent once, however deep its tree is, and no task holds more than one such node. Both ways
+run the same steps and give the same trees.
 """
 
 from __future__ import annotations
@@ -24,14 +25,16 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from gridpulse.session import cut_lineage, open_store, scratch_path
+from gridpulse.session import open_store, scratch_path
 
 BINS = 32
+HELD_BYTES = 1 << 25         # blocks that a task takes as a whole
 LOCAL_ROWS = 1 << 16         # draws of a node that one task takes over
 PASS_NODES = 1 << 14         # nodes whose histograms are summed in one pass
 LEAST_GAIN = 1e-12
 
 PARTS = "tree int, node int, feature array<int>, cut array<double>, left array<int>, zero array<double>, one array<double>"
+BLOCKS = "block long, data binary"
 NODES = "tree int, feature array<int>, cut array<double>, left array<int>, share array<double>"
 
 
@@ -82,52 +85,68 @@ def _subsets(rng: np.random.Generator, nodes: int, width: int) -> np.ndarray:
     return rng.random((nodes, width)).argsort(axis=1)[:, :int(np.ceil(np.sqrt(width)))]
 
 
-def _histograms(rows: np.ndarray, at: np.ndarray, chosen: np.ndarray) -> np.ndarray:
-    """Draws and weights per (node, chosen feature, bin, class) of rows at the places ``at``."""
-    nodes, wide = chosen.shape
-    bins = rows["bins"][np.arange(len(rows))[:, None], chosen[at]].astype(np.int64)
-    cell = (((at[:, None] * wide + np.arange(wide)) * BINS + bins) * 2 + rows["y"][:, None]).ravel()
-    draws = rows["n"].astype(float)
-    size = (nodes, wide, BINS, 2)
-    return np.stack([np.bincount(cell, np.repeat(v, wide), int(np.prod(size))).reshape(size) for v in (draws, draws * rows["w"])])
+class _Drawn:
+    """Rows of a bootstrap as columns."""
+
+    def __init__(self, rows: np.ndarray):
+        self.width = rows["bins"].shape[1]
+        self.bins, self.y = np.ascontiguousarray(rows["bins"]).ravel(), rows["y"].astype(np.int64)
+        self.draws = rows["n"].astype(float)
+        self.weight = self.draws * rows["w"]
+
+    def bin(self, row: np.ndarray, feature: np.ndarray) -> np.ndarray:
+        return self.bins.take(row * self.width + feature)
+
+    def histograms(self, row: np.ndarray, at: np.ndarray, chosen: np.ndarray) -> np.ndarray:
+        """Draws and weights as (what, class, node, chosen feature, bin) of the rows ``row`` at the places ``at``."""
+        nodes, wide = chosen.shape
+        out = np.empty((2, 2, nodes, wide, BINS))
+        start, first = (self.y.take(row) * nodes + at) * BINS, row * self.width
+        values = self.draws.take(row), self.weight.take(row)
+        for j, features in enumerate(chosen.T):
+            cell = start + self.bins.take(first + features.take(at))
+            for what, v in enumerate(values):
+                out[what, :, :, j] = np.bincount(cell, v, 2 * nodes * BINS).reshape(2, nodes, BINS)
+        return out
 
 
 def _best(hist: np.ndarray, chosen: np.ndarray, min_leaf: int):
     """Best split per node by Gini gain: (found, feature, bin, draws, weight), the last two as (node, side, class)."""
-    below = hist.cumsum(axis=3)
-    total = below[:, :, :, -1:]
-    left, right = below[:, :, :, :-1], total - below[:, :, :, :-1]
+    below = hist.cumsum(axis=-1)
+    left, right = below[..., :-1], below[..., -1:] - below[..., :-1]
     # What is left of a class without draws is rounding.
     lw, rw = (np.where(side[0] > 0, side[1], 0.0) for side in (left, right))
-    valid = (left[0].sum(axis=-1) >= min_leaf) & (right[0].sum(axis=-1) >= min_leaf)
+    valid = (left[0, 0] + left[0, 1] >= min_leaf) & (right[0, 0] + right[0, 1] >= min_leaf)
     with np.errstate(divide="ignore", invalid="ignore"):
-        score = sum((w ** 2).sum(axis=-1) / w.sum(axis=-1) for w in (lw, rw))
-        whole = total[1, :, 0, 0]
+        score = sum((zero * zero + one * one) / (zero + one) for zero, one in (lw, rw))
+        zero, one = below[1, :, :, 0, -1]
         flat = np.where(valid & ~np.isnan(score), score, -np.inf).reshape(len(chosen), -1)
         at = flat.argmax(axis=1)
         node = np.arange(len(chosen))
-        gain = (flat[node, at] - (whole ** 2).sum(axis=-1) / whole.sum(axis=-1)) / whole.sum(axis=-1)
+        gain = (flat[node, at] - (zero * zero + one * one) / (zero + one)) / (zero + one)
     slot, cut = at // (BINS - 1), at % (BINS - 1)
-    draws = np.stack([left[0][node, slot, cut], right[0][node, slot, cut]], axis=1)
-    weight = np.stack([lw[node, slot, cut], rw[node, slot, cut]], axis=1)
+    draws = np.stack([left[0][:, node, slot, cut].T, right[0][:, node, slot, cut].T], axis=1)
+    weight = np.stack([lw[:, node, slot, cut].T, rw[:, node, slot, cut].T], axis=1)
     return gain > LEAST_GAIN, chosen[node, slot], cut, draws, weight
 
 
 def _grow(rows: np.ndarray, depth: int, s: ForestSettings, rng: np.random.Generator) -> _Tree:
     """The tree below a node at ``depth``, all nodes of a level at once."""
-    sums = [np.bincount(rows["y"], rows["n"] * v, 2) for v in (np.ones(len(rows)), rows["w"])]
-    tree = _Tree(*sums)
+    own = _Drawn(rows)
+    tree = _Tree(*(np.bincount(own.y, v, 2) for v in (own.draws, own.weight)))
     tree.depth[0] = depth
     ids = np.flatnonzero(tree.open(np.array([0]), s))
-    at = np.zeros(len(rows), dtype=int)
+    row, at = np.arange(len(rows)), np.zeros(len(rows), dtype=int)
     while len(ids):
-        chosen = _subsets(rng, len(ids), rows["bins"].shape[1])
-        found, feature, cut, draws, weight = _best(_histograms(rows, at, chosen), chosen, s.min_leaf)
+        chosen = _subsets(rng, len(ids), own.width)
+        found, feature, cut, draws, weight = _best(own.histograms(row, at, chosen), chosen, s.min_leaf)
         kids = tree.split(ids[found], feature[found], cut[found], draws[found], weight[found])
         alive = tree.open(kids, s)
-        rows, at = rows[found[at]], at[found[at]]
-        kid = 2 * (np.cumsum(found) - 1)[at] + (rows["bins"][np.arange(len(rows)), feature[at]] > cut[at])
-        rows, at = rows[alive[kid]], (np.cumsum(alive) - 1)[kid[alive[kid]]]
+        going = found[at]
+        row, at = row[going], at[going]
+        kid = 2 * (np.cumsum(found) - 1)[at] + (own.bin(row, feature[at]) > cut[at])
+        going = alive[kid]
+        row, at = row[going], (np.cumsum(alive) - 1)[kid[going]]
         ids = kids[alive]
     return tree
 
@@ -154,8 +173,8 @@ def _dtype(width: int) -> np.dtype:
     return np.dtype([("bins", "u1", (width,)), ("y", "u1"), ("n", "u1"), ("w", "f8")])
 
 
-def _blocks(rows: DataFrame, cuts: list[np.ndarray]) -> DataFrame:
-    """Binned rows, one stored row per Arrow batch with a number of its own."""
+def _blocks(rows: DataFrame, cuts: list[np.ndarray]) -> str:
+    """Folder of binned rows, one stored row per Arrow batch with a number of its own."""
     kind = _dtype(len(cuts))
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -168,7 +187,9 @@ def _blocks(rows: DataFrame, cuts: list[np.ndarray]) -> DataFrame:
             out["y"], out["w"], out["n"] = batch.column("y").to_numpy(), batch.column("w").to_numpy(), 1
             yield pa.RecordBatch.from_pydict({"block": pa.array([first + i], pa.int64()), "data": pa.array([out.tobytes()], pa.binary())})
 
-    return cut_lineage(rows.mapInArrow(pack, "block long, data binary"), "blocks")
+    folder = scratch_path(rows.sparkSession, "blocks")
+    rows.mapInArrow(pack, BLOCKS).write.parquet(folder)
+    return folder
 
 
 def _drawn(rows: np.ndarray, seed: int, block: int, tree: int) -> np.ndarray:
@@ -189,8 +210,22 @@ def fit_forest(train: DataFrame, vector: str, label: str, weight: str, settings:
     if first is None:
         raise ValueError("no training rows")
     cuts = _cuts(rows, first.n)
-    blocks, kind = _blocks(rows, cuts), _dtype(len(cuts))
-    tops = _grow_tops(blocks, kind, rows.groupBy("y").agg(F.count(F.lit(1)).alias("n"), F.sum("w").alias("w")).collect(), s)
+    spark, stored, kind = train.sparkSession, _blocks(rows, cuts), _dtype(len(cuts))
+    known = _known(rows.groupBy("y").agg(F.count(F.lit(1)).alias("n"), F.sum("w").alias("w")).collect())
+    whole, folder = _arrow(spark, NODES), scratch_path(spark, "forest")
+    if known[0].sum() * kind.itemsize <= HELD_BYTES:
+        def grow(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            held = None
+            for batch in batches:
+                for number in batch.column("id").to_pylist():
+                    held = _held(stored, kind) if held is None else held
+                    yield from pa.Table.from_pylist([_joined(_whole_tree(held, known, number, cuts, s))], schema=whole).to_batches()
+
+        tasks = min(s.trees, 2 * spark.sparkContext.defaultParallelism)
+        spark.range(0, s.trees, 1, tasks).mapInArrow(grow, NODES).write.parquet(folder)
+        return Forest(folder, s)
+    blocks = spark.read.schema(BLOCKS).parquet(stored)
+    tops = _grow_tops(blocks, kind, known, s)
 
     def scatter(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -199,8 +234,7 @@ def fit_forest(train: DataFrame, vector: str, label: str, weight: str, settings:
                 for number, top in enumerate(tops):
                     own = _drawn(held, s.seed, block, number)
                     at = top.place(own["bins"])
-                    wanted = np.flatnonzero(top.open(np.arange(len(top.left)), s) & (top.left < 0))
-                    out += [(number, int(node), block, part.tobytes()) for node in wanted if len(part := own[at == node])]
+                    out += [(number, int(node), block, part.tobytes()) for node in _open_leaves(top, s) if len(part := own[at == node])]
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(c, t) for c, t in zip(zip(*out) if out else [[]] * 4, (pa.int32(), pa.int32(), pa.int64(), pa.binary()))],
                     names=["tree", "node", "block", "data"])
@@ -214,11 +248,9 @@ def fit_forest(train: DataFrame, vector: str, label: str, weight: str, settings:
     def join(table: pa.Table) -> pa.Table:
         return pa.Table.from_pylist([_joined(sorted(table.to_pylist(), key=lambda p: p["node"]))], schema=whole)
 
-    spark = train.sparkSession
-    wire, whole = (_arrow(spark, schema) for schema in (PARTS, NODES))
+    wire = _arrow(spark, PARTS)
     parts = blocks.mapInArrow(scatter, "tree int, node int, block long, data binary").groupBy("tree", "node").applyInArrow(below, PARTS)
     upper = spark.createDataFrame([_part(i, -1, top, cuts) for i, top in enumerate(tops)], PARTS)
-    folder = scratch_path(spark, "forest")
     parts.unionByName(upper).groupBy("tree").applyInArrow(join, NODES).write.parquet(folder)
     return Forest(folder, s)
 
@@ -228,30 +260,73 @@ def _arrow(spark: SparkSession, schema: str) -> pa.Schema:
     return to_arrow_schema(spark.createDataFrame([], schema).schema)
 
 
-def _grow_tops(blocks: DataFrame, kind: np.dtype, classes: Sequence, s: ForestSettings) -> list[_Tree]:
-    """The upper nodes of all trees, down to nodes of at most ``LOCAL_ROWS`` draws."""
+def _known(classes: Sequence) -> np.ndarray:
+    """Rows and weight per class: what a root is expected to draw. Its own draws are summed only where it is split."""
     counts = {r.y: (r.n, r.w) for r in classes}
     if set(counts) - {0, 1}:
         raise ValueError("labels must be 0 or 1")
-    # The root's own draws are summed only where it is split; these expected ones decide whether it is.
-    known = np.array([counts.get(y, (0, 0.0)) for y in (0, 1)], dtype=float).T
+    return np.array([counts.get(y, (0, 0.0)) for y in (0, 1)], dtype=float).T
+
+
+def _open_leaves(top: _Tree, s: ForestSettings) -> np.ndarray:
+    """Leaves of the upper part of a tree that may be split."""
+    return np.flatnonzero((top.left < 0) & top.open(np.arange(len(top.left)), s))
+
+
+def _large(top: _Tree, s: ForestSettings) -> list[int]:
+    """Those of more than ``LOCAL_ROWS`` draws; one that was found to have no split is at the depth limit."""
+    leaves = _open_leaves(top, s)
+    return leaves[top.draws[leaves].sum(axis=1) > LOCAL_ROWS].tolist()
+
+
+def _split_large(tops: Sequence[_Tree], found: list[tuple[int, int]], sums: np.ndarray, chosen: np.ndarray, s: ForestSettings) -> None:
+    """Split the nodes ``found`` (place of the tree, node) by their sums."""
+    best = _best(sums, chosen, s.min_leaf)
+    for i, (t, n) in enumerate(found):
+        if best[0][i]:
+            tops[t].split(np.array([n]), *(b[i:i + 1] for b in best[1:]))
+        else:
+            tops[t].depth[n] = s.depth           # stays a leaf
+
+
+def _chosen(found: list[tuple[int, int]], width: int, s: ForestSettings) -> np.ndarray:
+    return np.concatenate([_subsets(np.random.default_rng([s.seed, t, n, 0]), 1, width) for t, n in found])
+
+
+def _held(folder: str, kind: np.dtype) -> list[tuple[int, np.ndarray]]:
+    """All blocks of a folder by their number, in the memory of one task."""
+    store, root = open_store(folder)
+    files = [f.path for f in store.get_file_info(fs.FileSelector(root)) if f.path.endswith(".parquet")]
+    rows = [r for f in files for r in parquet.read_table(f, filesystem=store).to_pylist()]
+    return [(r["block"], np.frombuffer(r["data"], dtype=kind)) for r in sorted(rows, key=lambda r: r["block"])]
+
+
+def _whole_tree(held: list[tuple[int, np.ndarray]], known: np.ndarray, number: int, cuts: list[np.ndarray], s: ForestSettings) -> list[dict]:
+    """A tree's upper part and what grows below it."""
+    own = np.concatenate([_drawn(rows, s.seed, block, number) for block, rows in held])
+    top, drawn = _Tree(known[0].copy(), known[1].copy()), None
+    while nodes := _large(top, s):
+        drawn = drawn or _Drawn(own)
+        found, here = [(number, n) for n in nodes], np.full(len(top.left), -1)
+        here[nodes] = np.arange(len(nodes))
+        at = here[top.place(own["bins"])]
+        row = np.flatnonzero(at >= 0)
+        chosen = _chosen(found, drawn.width, s)
+        _split_large([top], [(0, n) for n in nodes], drawn.histograms(row, at[row], chosen), chosen, s)
+    at, parts = top.place(own["bins"]), [_part(number, -1, top, cuts)]
+    for node in _open_leaves(top, s).tolist():
+        if len(rows := own[at == node]):
+            tree = _grow(rows, int(top.depth[node]), s, np.random.default_rng([s.seed, number, node, 1]))
+            parts.append(_part(number, node, tree, cuts))
+    return parts
+
+
+def _grow_tops(blocks: DataFrame, kind: np.dtype, known: np.ndarray, s: ForestSettings) -> list[_Tree]:
+    """The upper nodes of all trees, down to nodes of at most ``LOCAL_ROWS`` draws."""
     tops = [_Tree(known[0].copy(), known[1].copy()) for _ in range(s.trees)]
-    settled = set()
-
-    def large() -> list[tuple[int, int]]:
-        return [(t, int(n)) for t, top in enumerate(tops) for n in np.flatnonzero(
-            (top.left < 0) & top.open(np.arange(len(top.left)), s) & (top.draws.sum(axis=1) > LOCAL_ROWS)) if (t, int(n)) not in settled]
-
-    while found := large()[:PASS_NODES]:
-        chosen = np.concatenate([_subsets(np.random.default_rng([s.seed, t, n, 0]), 1, kind["bins"].shape[0]) for t, n in found])
-        sums = _summed(blocks, kind, tops, found, chosen, s)
-        best = _best(sums, chosen, s.min_leaf)
-        settled |= set(found)
-        for i, (t, n) in enumerate(found):
-            if best[0][i]:
-                tops[t].split(np.array([n]), *(b[i:i + 1] for b in best[1:]))
-            else:
-                tops[t].depth[n] = s.depth           # stays a leaf
+    while found := [(t, n) for t, top in enumerate(tops) for n in _large(top, s)][:PASS_NODES]:
+        chosen = _chosen(found, kind["bins"].shape[0], s)
+        _split_large(tops, found, _summed(blocks, kind, tops, found, chosen, s), chosen, s)
     return tops
 
 
@@ -261,29 +336,30 @@ def _summed(blocks: DataFrame, kind: np.dtype, tops: list[_Tree], found: list[tu
     wanted: dict[int, dict[int, int]] = {}
     for i, (t, n) in enumerate(found):
         wanted.setdefault(t, {})[n] = i
-    shape = (2, 1, chosen.shape[1], BINS, 2)
+    shape = (2, 2, len(found), chosen.shape[1], BINS)
 
     def partial(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         total = None
         for batch in batches:
             for block, data in zip(batch["block"], batch["data"]):
                 held = np.frombuffer(data, dtype=kind)
-                total = np.zeros((2, len(found), *shape[2:])) if total is None else total
+                total = np.zeros(shape) if total is None else total
                 for t, nodes in wanted.items():
                     own = _drawn(held, s.seed, block, t)
                     here = np.full(len(tops[t].left), -1)
                     here[list(nodes)] = np.arange(len(nodes))
                     at = here[tops[t].place(own["bins"])]
-                    total[:, list(nodes.values())] += _histograms(own[at >= 0], at[at >= 0], chosen[list(nodes.values())])
+                    row, slots = np.flatnonzero(at >= 0), list(nodes.values())
+                    total[:, :, slots] += _Drawn(own).histograms(row, at[row], chosen[slots])
         for i in range(len(found) if total is not None else 0):
-            if total[0, i].any():
-                yield pd.DataFrame({"i": [i], "h": [total[:, i].ravel()]})
+            if total[0, :, i].any():
+                yield pd.DataFrame({"i": [i], "h": [total[:, :, i].ravel()]})
 
     sums = blocks.mapInPandas(partial, "i int, h array<double>").select("i", array_to_vector("h").alias("v")).groupBy("i").agg(
         Summarizer.sum(F.col("v")).alias("v")).select("i", vector_to_array("v").alias("v"))
-    out = np.zeros((2, len(found), *shape[2:]))
+    out = np.zeros(shape)
     for r in sums.toLocalIterator():
-        out[:, r.i] = np.array(r.v).reshape(2, *shape[2:])
+        out[:, :, r.i] = np.array(r.v).reshape(2, 2, *shape[3:])
     return out
 
 

@@ -177,6 +177,21 @@ def test_forest_learns_in_one_or_many_tasks(spark, checkered, tmp_path, monkeypa
     assert both.where("p <> q OR q IS NULL").isEmpty()
 
 
+@pytest.mark.parametrize("local", [1 << 16, 300])
+def test_tasks_that_hold_all_blocks_grow_the_trees_of_those_that_do_not(spark, checkered, monkeypatch, local):
+    from gridpulse.operators import forest as R
+    monkeypatch.setattr(R, "LOCAL_ROWS", local)
+    train, found = checkered.where("id < 1000").repartition(3).cache(), []
+    tops = R._grow_tops
+    for held, spread in ((1 << 25, None), (0, tops)):
+        monkeypatch.setattr(R, "HELD_BYTES", held)
+        monkeypatch.setattr(R, "_grow_tops", spread)        # held blocks need no pass over all of them
+        found.append(spark.read.schema(R.NODES).parquet(R.fit_forest(train, M.VECTOR, "_y", "_w", R.ForestSettings(12, 8, 3, 1)).folder)
+                     .orderBy("tree").collect())
+    assert [(t.tree, t.feature, t.cut, t.left) for t in found[0]] == [(t.tree, t.feature, t.cut, t.left) for t in found[1]]
+    assert all(a.share == pytest.approx(b.share) for a, b in zip(*found)) and len(found[0]) == 12
+
+
 def test_forest_tree_follows_its_rules():
     from gridpulse.operators import forest as R
     rng = np.random.default_rng(8)
