@@ -1,5 +1,7 @@
 """Boosting of many ensembles side by side."""
 
+from contextlib import nullcontext
+
 import numpy as np
 import pytest
 from pyspark.ml.functions import vector_to_array
@@ -42,6 +44,18 @@ def test_one_task_and_many_grow_the_same_trees(spark, rows, monkeypatch, tmp_pat
     assert both.agg(F.avg(((F.col("p") >= 0.5) == (F.col("_y") == 1)).cast("int"))).first()[0] > 0.75
 
 
+def test_a_task_may_grow_several_ensembles(spark, rows, monkeypatch):
+    fits = [B.BoostFit(M.BoostSettings(2, depth, 0.1), 0) for depth in (1, 3, 2)]
+    found = []
+    for tasks in (2, 3):
+        monkeypatch.setattr(B, "long_tasks", lambda spark, tasks=tasks: nullcontext(tasks))
+        models = B.fit_boosted(rows, M.VECTOR, "_y", fits, ["_w"], "_fold", "_val")
+        found.append([B.read_trees(m.folder) for m in models])
+    # Each ensemble is in its own place: a tree of depth d has at most 2^(d+1)-1 nodes.
+    assert [max(len(t[0]) for t in trees) for trees in found[0]] == [3, 15, 7]
+    assert all((x == y).all() for a, b in zip(*found) for s, t in zip(a, b) for x, y in zip(s, t))
+
+
 def test_probabilities_and_rounds_are_those_of_mllib(spark, rows):
     """Without any sampling both choose the same splits."""
     s = M.BoostSettings(40, 3, 0.1, tolerance=0.01)

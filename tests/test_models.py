@@ -220,6 +220,33 @@ def test_stack_is_the_same_whatever_runs_at_a_time(spark, checkered, tmp_path):
     assert found[0] == found[1] and len({r[1] for r in found[0]}) > 1
 
 
+def test_cascade_makes_each_matrix_once(spark, monkeypatch):
+    from gridpulse.plans import catalog
+    from gridpulse.plans import queries_models as Q
+    frame, made = spark.createDataFrame([(1, 2)], "fips_code int, key_fips_code int"), []
+    for name in ("occurrence_matrix", "scope_matrix", "duration_matrix"):
+        monkeypatch.setattr(Q, name, lambda spark, sf, name=name: made.append(name) or frame)
+    monkeypatch.setattr(Q, "stored_model", lambda spark, sf, name, kind, fit: fit())
+    monkeypatch.setattr(Q.M, "fit_stacking", lambda m, *rest, **more: "stack")
+    monkeypatch.setattr(Q.M, "fit_two_stage", lambda m, *rest, settings: settings.threshold)
+    monkeypatch.setattr(Q.T, "cascade_batch", lambda *parts: parts)
+    parts = catalog.QUERIES["pip8_cascade_batch"](spark, "none")
+    assert sorted(made) == ["duration_matrix", "occurrence_matrix", "scope_matrix"]
+    assert parts[3:6] == ("stack", Q.LARGE, Q.LONG_MINUTES) and all("code" in m.columns for m in parts[:3])
+
+
+def test_jobs_of_long_tasks_leave_cores_free_one_at_a_time(spark):
+    from gridpulse import session
+    seen = []
+
+    def job():
+        with session.long_tasks(spark) as tasks:
+            seen.append((tasks, session._LONG.acquire(blocking=False)))
+
+    M.at_once(spark, [job] * 4)
+    assert seen == [(spark.sparkContext.defaultParallelism * 3 // 4, False)] * 4 and not session._LONG.locked()
+
+
 def test_leaves_read_from_files_are_the_games_they_were(spark, rows):
     from gridpulse.session import open_store
     model = M.fit_regressor(rows, NAMES, M.BoostSettings(3, 4, 0.3)).model
