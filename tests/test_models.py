@@ -115,6 +115,19 @@ def test_isolation_forest_finds_the_outlier(spark, rows):
     assert top.id == 10_000 and top.iso_score > 0.6
 
 
+def test_anomaly_models_know_only_the_training_period_and_are_the_stored_ones(spark, rows, tmp_path):
+    from gridpulse.plans import training as T
+    late = F.col("id") >= 400
+    odd = rows.withColumns({c: F.when(late, F.col(f"`{c}`") * 50).otherwise(F.col(f"`{c}`")) for c in ("b", "c")})
+    found = [T.train_anomaly(df, ["id"], late, epochs=2, trees=5, path=str(tmp_path / str(i))) for i, df in enumerate((rows, odd))]
+    (ae, forest), (ae_odd, forest_odd) = found
+    assert forest.trees == forest_odd.trees and forest.threshold == forest_odd.threshold and ae.threshold == ae_odd.threshold
+    again = A.IsolationForest.load(spark, str(tmp_path / "0" / "forest"))
+    assert again == forest and len(forest.trees) == 5 and forest.features == NAMES
+    assert A.Autoencoder.load(spark, str(tmp_path / "0" / "autoencoder")).threshold == ae.threshold
+    assert forest.detect(odd).where("iso_anomaly").where(late).count() > 50
+
+
 def test_folds_hold_every_class(spark):
     rows = spark.range(400).selectExpr("id", "cast(id % 40 = 0 as double) AS y", "pmod(xxhash64(id), 1000003) / 1000003.0D AS u")
     counts = {(r.y, r._fold): r["count"] for r in M.stratified_folds(rows, "y", "u", 5).groupBy("y", "_fold").count().collect()}
