@@ -104,6 +104,23 @@ def test_jobs_of_a_stack_do_not_grow_with_the_rounds(spark, rows):
     assert jobs[1] <= jobs[0] + 5
 
 
+def test_features_summed_together_have_their_own_sums():
+    rng = np.random.default_rng(5)
+    wide = [1, 32, 7, 32, 2, 2, 32]                  # bins; one feature is constant
+    cuts = [np.arange(k - 1, dtype=float) for k in wide]
+    packs, n = B._Packs.of(cuts), 500
+    assert len(packs.groups) < 5 and sorted(f for g in packs.groups for f, _, _ in g) == [1, 2, 3, 4, 5, 6]
+    bins = np.stack([rng.integers(0, k, n) for k in wide]).astype("u1")
+    rows, at, moved = rng.permutation(n)[:400], rng.integers(0, 3, 400), rng.normal(size=400)
+    block = B._Block([(0, n)], bins, packs.codes(bins), *[None] * 5)
+    for weight in (np.ones(400), np.where(at > 1, 2.5, 1.0), rng.random(400)):       # one value, two, many
+        found = packs.sums(block, rows, at, 3, weight, moved)
+        for j in range(len(wide)):
+            for what, v in enumerate((None, weight, moved)):
+                plain = np.bincount(at * B.BINS + bins[j, rows], v, 3 * B.BINS).reshape(3, B.BINS)
+                assert found[:, what, j] == pytest.approx(plain)
+
+
 def test_fits_run_at_the_same_time(spark):
     from threading import Barrier
     meet = Barrier(2)                    # one after another they would wait for each other in vain
