@@ -220,6 +220,21 @@ def test_forest_tree_follows_its_rules():
         assert tree.weight[node] == pytest.approx(1.5 * tree.draws[node])
 
 
+def test_large_nodes_stay_in_one_task_and_splits_are_compared_in_pieces(monkeypatch):
+    from gridpulse.operators import forest as R
+    top = R._Tree(np.array([900_000.0, 100_000.0]), np.array([1.0, 1.0]))
+    assert R._large(top, R.ForestSettings()) == []           # no pass over all blocks for a million draws
+    rng = np.random.default_rng(8)
+    rows = np.zeros(2000, dtype=R._dtype(3))
+    rows["bins"], rows["y"], rows["n"], rows["w"] = rng.integers(0, 9, (2000, 3)), rng.random(2000) < 0.3, rng.integers(1, 4, 2000), 1.5
+    found = []
+    for some in (1 << 10, 3):
+        monkeypatch.setattr(R, "BEST_NODES", some)
+        tree = R._grow(rows, 0, R.ForestSettings(1, 8, 3), np.random.default_rng(1))
+        found.append([c.tolist() for c in (tree.feature, tree.bin, tree.left, tree.draws, tree.weight)])
+    assert found[0] == found[1] and len(found[0][0]) > 50
+
+
 def test_stack_is_the_same_whatever_runs_at_a_time(spark, checkered, tmp_path):
     rows = checkered.where("id < 400").drop(M.VECTOR, "_y", "_w").withColumn("label", ((F.col("a") > 0) == (F.col("b") > 0)).cast("int"))
     found = []
