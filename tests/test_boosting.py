@@ -121,6 +121,39 @@ def test_features_summed_together_have_their_own_sums():
                 assert found[:, what, j] == pytest.approx(plain)
 
 
+@pytest.mark.parametrize("loss", ["log", "squared", "absolute"])
+def test_models_are_those_mllib_fits(spark, rows, monkeypatch, loss):
+    df = rows.withColumns({"_c": F.col("_y"), "_y": F.log1p(F.abs(vector_to_array(M.VECTOR)[0]) * 10 + F.col("id") % 11)}).cache()
+    s = M.BoostSettings(12, 3, min_child=5, loss="absolute" if loss == "absolute" else "squared", tolerance=0.01)
+    if loss == "log":
+        learner, kind, weight, shown = s.classifier().setLabelCol("_c").setWeightCol("_w"), M.GBTClassificationModel, "_w", vector_to_array("_raw")[1]
+    else:
+        learner, kind, weight, shown = s.regressor(), M.GBTRegressionModel, None, F.col("_log_pred")
+    theirs = learner.copy().setValidationIndicatorCol("_val").fit(df)
+    for local in (B.LOCAL_ROWS, 100):               # held by a task, and spread
+        monkeypatch.setattr(B, "LOCAL_ROWS", local)
+        ours = B.fit_as_mllib(learner, kind, df, s, loss, M.VECTOR, learner.getLabelCol(), "_val", weight)
+        assert ours.getNumTrees == theirs.getNumTrees and ours.treeWeights == theirs.treeWeights
+        assert ours.featureImportances.toArray() == pytest.approx(theirs.featureImportances.toArray())
+        both = ours.transform(df).select("id", shown.alias("p")).join(theirs.transform(df).select("id", shown.alias("q")), "id")
+        assert both.agg(F.max(F.abs(F.col("p") - F.col("q")))).first()[0] < 1e-9
+
+
+def test_cut_points_of_many_rows_lie_at_equal_steps_of_weight(spark, monkeypatch):
+    rows = spark.range(0, 30000, 1, 3).select(
+        F.array(F.col("id") % 5, F.pmod(F.xxhash64("id"), F.lit(1 << 20)), F.lit(7)).cast("array<double>").alias("x"),
+        F.array(F.when(F.pmod(F.xxhash64("id"), F.lit(1 << 20)) < 100_000, 9.0).otherwise(1.0)).alias("w")).cache()
+    few, many, one = B._weighted_cuts(rows, 3)
+    assert few.tolist() == [0.5, 1.5, 2.5, 3.5] and len(one) == 0 and 20 <= len(many) <= 31
+    held = rows.select(F.col("x")[1].alias("x"), F.col("w")[0].alias("w")).collect()
+    x, w = np.array([r.x for r in held]), np.array([r.w for r in held])
+    assert 12 <= len(many[many < 100_000]) <= 18     # a tenth of the rows has half of the weight
+    monkeypatch.setattr(B, "EXACT_ROWS", 30000)
+    assert B._weighted_cuts(rows, 3)[0].tolist() == few.tolist()
+    exact = B._weighted_cuts(rows, 3)[1]
+    assert np.abs([w[x <= c].sum() / w.sum() for c in exact] - np.arange(1, len(exact) + 1) / 32).max() < 0.03
+
+
 def test_fits_run_at_the_same_time(spark):
     from threading import Barrier
     meet = Barrier(2)                    # one after another they would wait for each other in vain
